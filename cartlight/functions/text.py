@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import html
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,12 +28,9 @@ def unescape_html(text: Column) -> Column:
 
 def unescape_html_full(text: Column) -> Column:
     """The full entity table, one Arrow batch at a time."""
-    import pandas as pd
 
     @F.pandas_udf("string")
     def convert(values: pd.Series) -> pd.Series:
-        import html
-
         return values.map(lambda v: None if v is None else html.unescape(v))
 
     return F.when(text.contains("&"), convert(text)).otherwise(text)

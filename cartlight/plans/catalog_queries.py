@@ -31,8 +31,15 @@ select product_id, k, v, src, pos, row_number() over (partition by product_id, k
         where len(string_split(e, chr(2))) = 4 and lower(split_part(e, chr(2), 3)) = 'y' and lower(split_part(e, chr(2), 4)) = 'y') c) d
 where v not in ({JUNK})
 """)
+# keys stay even when every value is junk
+view("x_attrkey", """
+select product_id, k from x_attr union
+select product_id, lower(split_part(e, chr(2), 1)) as k
+from (select product_id, unnest(string_split(cpv, chr(3))) as e from v_feed) b
+where len(string_split(e, chr(2))) = 4 and lower(split_part(e, chr(2), 3)) = 'y' and lower(split_part(e, chr(2), 4)) = 'y'
+""")
 view("x_keyfreq", """
-select k, count(*) as n from (select distinct product_id, k, 0 as sku_no from x_attr union all select product_id, k, sku_no from x_sku) u group by k
+select k, count(*) as n from (select product_id, k, 0 as sku_no from x_attrkey union all select product_id, k, sku_no from x_sku) u group by k
 """)
 view("x_valfreq", """
 select v, count(*) as n from (select product_id, k, v from x_attr where nth = 1 union all select product_id, k, v from x_sku) u group by v
@@ -99,7 +106,9 @@ def unpack_spu(t):
 
 @query("unpack_cpv", """
 select product_id, string_agg(concat(k, '=', vs), ';' order by k) as cpv_text
-from (select product_id, k, string_agg(v, ',' order by v) as vs from x_attr where src = 1 group by 1, 2) s group by 1
+from (select c.product_id, c.k, coalesce(string_agg(a.v, ',' order by a.v), '') as vs
+      from x_attrkey c left join x_attr a on a.product_id = c.product_id and a.k = c.k and a.src = 1
+      where c.k in ('kind', 'color') group by 1, 2) s group by 1
 """)
 def unpack_cpv(t):
     return t.v_feed.select("product_id", _attr_text(B.unpack_cpv(F.col("cpv"))).alias("cpv_text"))
@@ -107,7 +116,8 @@ def unpack_cpv(t):
 
 @query("merge_attributes", """
 select product_id, string_agg(concat(k, '=', vs), ';' order by k) as attr_text
-from (select product_id, k, string_agg(v, ',' order by v) as vs from x_attr where nth = 1 group by 1, 2) s group by 1
+from (select c.product_id, c.k, coalesce(string_agg(a.v, ',' order by a.v), '') as vs
+      from x_attrkey c left join x_attr a on a.product_id = c.product_id and a.k = c.k and a.nth = 1 group by 1, 2) s group by 1
 """)
 def merge_attributes(t):
     return cleaned(t).select("product_id", _attr_text(F.col("attributes")).alias("attr_text"))

@@ -101,9 +101,9 @@ from events
 # sampled rollouts: groups of eight, six runs
 view("v_rollout", """
 select traj_id as uid, step as sample, event_id,
-       concat('t0', cast(traj_id % 3 as string), '_top_p09_seed', cast(floor(traj_id / 3) % 2 as string), '_g8') as run_id,
+       concat('t0', cast(traj_id % 3 as string), '_top_p09_seed', cast(cast(floor(traj_id / 3) as bigint) % 2 as string), '_g8') as run_id,
        cast(traj_id % 3 as int) as temperature_code,
-       cast(floor(traj_id / 3) % 2 as int) as seed,
+       cast(cast(floor(traj_id / 3) as bigint) % 2 as int) as seed,
        cast(floor(traj_id / 6) as bigint) as query_id,
        case when event_type = 'purchase' then 1 else 0 end as outcome,
        case when event_type in ('purchase', 'signup') then 1 else 0 end as paper,
@@ -120,9 +120,9 @@ from v_event
 # tool calls: eight turns per trajectory, the last turn may close it
 view("v_calls", """
 select traj_id, step, pos, name, user_id, ts, value, k,
-       case when name = 'find_product' then concat(case when k < 50 then 'Red ring ' else 'blue bolt' end, cast(floor(k / 20) as string)) end as q,
+       case when name = 'find_product' then concat(case when k < 50 then 'Red ring ' else 'blue bolt' end, cast(cast(floor(k / 20) as int) as string)) end as q,
        case when name = 'find_product' then cast(1 + k % 5 as string) end as page,
-       case when name = 'find_product' and k >= 60 then cast(floor(k / 10) as string) end as shop_param,
+       case when name = 'find_product' and k >= 60 then cast(cast(floor(k / 10) as int) as string) end as shop_param,
        case when name in ('view_product_information', 'budget_check', 'recommend_product')
             then concat(cast(100000 + cast(floor(k / 20) as int) as string), ',', cast(100001 + cast(floor(k / 20) as int) as string)) end as product_ids,
        case when name = 'terminate' then case when k < 70 then 'success' else 'failure' end end as status,
