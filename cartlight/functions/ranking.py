@@ -68,3 +68,95 @@ def top_k(df: DataFrame, by: list[str], order: list[Column], k: int, name: str |
         F.col(rank) <= k
     )
     return out if name else out.drop(rank)
+
+
+HOT_GROUP_ROWS = 2_000_000
+_RUNNING = {
+    "sum": (F.sum, F.sum),
+    "count": (F.count, F.sum),
+    "max": (F.max, F.max),
+    "min": (F.min, F.min),
+}
+
+
+def has_hot_group(df: DataFrame, by: list[str], limit: int = HOT_GROUP_ROWS) -> bool:
+    """Whether some group is too large to sort in one task."""
+    return not df.groupBy(*by).count().filter(F.col("count") > limit).isEmpty()
+
+
+def running(
+    df: DataFrame,
+    by: list[str],
+    order: list[Column],
+    columns: dict[str, tuple[str, Column]],
+    *,
+    upto: str = "before",
+    hot: bool | None = None,
+) -> DataFrame:
+    """Running sum, count, max or min per group, up to the row or before it.
+
+    Small groups use a window. When a group is hot (checked unless the caller
+    knows), its rows are spread by range and the pieces are combined by their
+    totals, so no task sorts the whole group.
+    """
+    end = -1 if upto == "before" else 0
+    if hot is None:
+        hot = has_hot_group(df, by)
+    frame = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
+    if not hot:
+        w = frame.partitionBy(*by)
+        return df.withColumns({n: _RUNNING[fn][0](c).over(w) for n, (fn, c) in columns.items()})
+    n_parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(n_parts, *[F.col(c) for c in by], *order)
+    ranged = cut_lineage(ranged.withColumn("_part", F.spark_partition_id()))
+    totals = ranged.groupBy("_part", *by).agg(
+        F.count("*").alias("_n"), *[_RUNNING[fn][0](c).alias(f"_t_{n}") for n, (fn, c) in columns.items()]
+    )
+    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(
+        "_part",
+        *by,
+        F.sum("_n").over(before).alias("_seen"),
+        *[_RUNNING[fn][1](f"_t_{n}").over(before).alias(f"_o_{n}") for n, (fn, _) in columns.items()],
+    ).filter("_seen is not null")
+    # at most one continued group per piece, so at most n_parts rows
+    joined = ranged.join(F.broadcast(offsets), ["_part", *by], "left")
+    inside = frame.partitionBy("_part", *by)
+
+    def combine(name: str, fn: str, col: Column) -> Column:
+        own, offset = _RUNNING[fn][0](col).over(inside), F.col(f"_o_{name}")
+        if fn in ("max", "min"):
+            return F.greatest(own, offset) if fn == "max" else F.least(own, offset)
+        both = F.coalesce(own, F.lit(0)) + F.coalesce(offset, F.lit(0))
+        return F.when(own.isNotNull() | offset.isNotNull(), both)
+
+    out = joined.withColumns({n: combine(n, fn, c) for n, (fn, c) in columns.items()})
+    return out.drop("_part", "_seen", *[f"_o_{n}" for n in columns])
+
+
+def neighbour(
+    df: DataFrame,
+    by: list[str],
+    order: list[Column],
+    columns: dict[str, tuple[Column, int]],
+    *,
+    hot: bool | None = None,
+) -> DataFrame:
+    """Values of the row ``offset`` places away (negative is earlier) in the group.
+
+    Hot groups are numbered piecewise and joined on (group, number), a key
+    that no longer repeats.
+    """
+    if hot is None:
+        hot = has_hot_group(df, by)
+    if not hot:
+        w = Window.partitionBy(*by).orderBy(*order)
+        return df.withColumns(
+            {n: (F.lag(c, -k) if k < 0 else F.lead(c, k)).over(w) for n, (c, k) in columns.items()}
+        )
+    numbered = ordered_sum(df, order, by=tuple(by), name="_i")
+    out = numbered
+    for name, (col, k) in columns.items():
+        other = numbered.select(*by, (F.col("_i") - k).alias("_i"), col.alias(name))
+        out = out.join(other, [*by, "_i"], "left")
+    return out.drop("_i")
