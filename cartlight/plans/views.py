@@ -107,7 +107,7 @@ select traj_id as uid, step as sample, event_id,
        cast(floor(traj_id / 6) as bigint) as query_id,
        case when event_type = 'purchase' then 1 else 0 end as outcome,
        case when event_type in ('purchase', 'signup') then 1 else 0 end as paper,
-       value / cast(512 as double) as score,
+       value / cast(487 as double) as score,
        cast(k * 97 + 40 as int) as response_tokens,
        case when k >= 98 then 1 else 0 end as truncated,
        case when event_type = 'error' and k < 10 then 1 else 0 end as server_error,
