@@ -7,7 +7,7 @@ import importlib
 from cartlight.plans import views  # noqa: F401
 from cartlight.plans.registry import ORACLES, QUERIES
 
-FAMILIES = ["voucher", "catalog", "search", "scoring", "trajectory", "folding", "groups", "advantage", "answers", "selection", "splits", "sources", "planning", "training"]
+FAMILIES = ["voucher", "catalog", "search", "scoring", "trajectory", "folding", "groups", "advantage", "answers", "selection", "splits", "sources", "planning", "training", "streaming"]
 
 
 def load() -> None:

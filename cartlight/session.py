@@ -1,8 +1,8 @@
 """Session defaults and lineage cutting.
 
-Nothing here is needed on a cluster that configures its own session; the
-builder only sets what the library relies on (UTC, ANSI off for tolerant
-casts, AQE with skew handling).
+Nothing here is needed on a cluster that configures its own session. The
+operators use tolerant casts where input may be dirty, so they work with ANSI
+mode on (the default) and off.
 """
 
 from __future__ import annotations
@@ -15,7 +15,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
-    "spark.sql.ansi.enabled": "false",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
