@@ -50,6 +50,14 @@ def ordered_sum(
     )
 
 
+BROADCAST_ROWS = 200_000
+
+
+def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    """Whether a table of short rows may be broadcast; stops counting at the limit."""
+    return df.limit(rows + 1).count() <= rows
+
+
 def with_group_stats(df: DataFrame, by: list[str], **aggs: Column) -> DataFrame:
     """Attach group aggregates to every row.
 

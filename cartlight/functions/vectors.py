@@ -11,6 +11,16 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(products, F.lit(0.0), lambda acc, x: acc + x)
 
 
+def unit_vector(a: Column) -> Column:
+    """The vector at length 1; a zero vector stays zero."""
+    wide = F.transform(a, lambda x: x.cast("double"))
+    norm = F.array(F.sqrt(F.aggregate(wide, F.lit(0.0), lambda acc, x: acc + x * x)))
+    # the norm is bound once, then divides every component
+    return F.element_at(
+        F.transform(norm, lambda n: F.transform(wide, lambda x: F.when(n > 0, x / n).otherwise(0.0))), 1
+    )
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Cosine similarity, 0 when a vector has no length."""
     norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))

@@ -68,7 +68,7 @@ REMOVED = [
     "\\mathrm{th}",
     "^\\circ",
     "^{\\circ}",
-    "\;",
+    "\\;",
     ",\\!",
     "{,}",
     '"',

@@ -43,7 +43,7 @@ FIELD_COUNTS = {
 SERVICE_TEXT = {
     "freeShipping": "The product offer with free shipping service.",
     "COD": "The product offer with cash on delivery service.",
-    "flashsale": "The product offer with LazFlash deals.",
+    "flashsale": "The product offer with flash sale deals.",
 }
 MIN_TOTAL = 100
 
@@ -63,13 +63,13 @@ def quota_numbers(total: int, weights: dict) -> dict:
     return quotas
 
 
-def expand_quota(df: DataFrame, *, key: str, name: str, weights: dict, seed: str) -> DataFrame:
+def expand_quota(df: DataFrame, *, key: str, name: str, weights: dict, seed: str, total: int | None = None) -> DataFrame:
     """Give every row a value so that each value has exactly its quota.
 
     The rows are numbered in hash order and the numbers cut into ranges, one
-    per value; only the row count reaches the driver.
+    per value; only the row count reaches the driver (unless given).
     """
-    quotas = quota_numbers(df.count(), weights)
+    quotas = quota_numbers(df.count() if total is None else total, weights)
     ranked = hash_index(df, key, seed, name="_q")
     value, upto = None, 0
     for v, n in quotas.items():
@@ -81,7 +81,8 @@ def expand_quota(df: DataFrame, *, key: str, name: str, weights: dict, seed: str
 def build_specs(base: DataFrame, *, key: str, seed: str = "0", complexity: bool = True) -> DataFrame:
     """Independent quota dimensions zipped into one spec per row of ``base``."""
     pairs = {f"{n}:{v}": w for (n, v), w in PRODUCT_VOUCHER_WEIGHTS.items()}
-    out = expand_quota(base, key=key, name="_pair", weights=pairs, seed=f"{seed}:pair")
+    total = base.count()
+    out = expand_quota(base, key=key, name="_pair", weights=pairs, seed=f"{seed}:pair", total=total)
     out = out.withColumns(
         {
             "n_products": F.split_part("_pair", F.lit(":"), F.lit(1)).cast("int"),
@@ -92,7 +93,7 @@ def build_specs(base: DataFrame, *, key: str, seed: str = "0", complexity: bool
     if complexity:
         dims.append(("constraint_complexity", COMPLEXITY_WEIGHTS))
     for name, weights in dims:
-        out = expand_quota(out, key=key, name=name, weights=weights, seed=f"{seed}:{name}")
+        out = expand_quota(out, key=key, name=name, weights=weights, seed=f"{seed}:{name}", total=total)
     return out
 
 
@@ -146,7 +147,8 @@ def assign_products(specs: DataFrame, products: DataFrame, *, excluded: DataFram
     # a spec needs all of its slots
     whole_spec = taken.groupBy("sample_id").agg(F.bool_and(F.col("product_id").isNotNull()).alias("_ok")).filter("_ok")
     platform = taken.join(whole_spec, "sample_id", "left_semi").select("sample_id", F.col("pos").cast("int").alias("pos"), "product_id", "shop_id")
-    return platform if chunks is None else chunks.unionByName(platform)
+    # the assignment is an artefact that plans and checks read many times
+    return cut_lineage(platform if chunks is None else chunks.unionByName(platform))
 
 
 def _by_bucket(table: dict[str, tuple[float, float]], side: int) -> Column:
@@ -185,7 +187,9 @@ def build_voucher(df: DataFrame, *, key: str = "sample_id", total: str = "total"
     p = F.col("price_after_voucher")
     lower = F.greatest(F.ceil(p), F.ceil(p * _by_bucket(BUDGET_SLACK, 0)))
     upper = F.greatest(lower, F.floor(p * _by_bucket(BUDGET_SLACK, 1)))
-    return out.withColumn("budget", hash_range(k, lower, upper, f"{seed}:budget"))
+    # every later step reads these draws several times; as a written table they
+    # stay plain columns instead of ever larger nested expressions
+    return cut_lineage(out.withColumn("budget", hash_range(k, lower, upper, f"{seed}:budget")))
 
 
 def _number_text(x: Column) -> Column:

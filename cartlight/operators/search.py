@@ -10,9 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cartlight.functions.ranking import top_k
+from cartlight.functions.ranking import is_small, top_k
 from cartlight.functions.text import normalize_space, tokens
-from cartlight.functions.vectors import cosine
+from cartlight.functions.vectors import dot, unit_vector
 
 # fixed values: paging and capacity of the search sandbox
 PAGE_SIZE, MAX_PAGE, CAPACITY = 10, 5, 5000
@@ -29,14 +29,15 @@ OPTIONAL_FILTERS = ["shop_id", "price", "sort", "service"]
 def postings(corpus: DataFrame, *, id_col: str = "id", text_col: str = "contents", terms: DataFrame | None = None) -> DataFrame:
     """``term, id, tf, dl`` rows; with ``terms`` only those terms are kept.
 
-    The semi-join comes before the count, so terms no query asks for never
-    reach a shuffle.
+    The semi-join comes first, so terms no query asks for never reach a
+    shuffle. Rows are partitioned by document, which the count by
+    (term, document) and later sums per document reuse.
     """
     words = corpus.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("words"))
     rows = words.select("id", F.size("words").alias("dl"), F.explode("words").alias("term"))
     if terms is not None:
         rows = rows.join(terms, "term", "left_semi")
-    return rows.groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
+    return rows.repartition("id").groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
 
 
 def bm25_topk(
@@ -57,12 +58,19 @@ def bm25_topk(
         .groupBy(query_id, "term")
         .agg(F.count("*").alias("qtf"))
     )
-    post = postings(corpus, id_col=id_col, text_col=text_col, terms=qterms.select("term"))
+    # few query terms: they are sent to the documents, and the sums per
+    # (query, document) stay where the document is; else terms meet in a shuffle
+    small = is_small(qterms)
+    asked = qterms.select("term").distinct()
+    post = postings(corpus, id_col=id_col, text_col=text_col, terms=F.broadcast(asked) if small else asked)
     lengths = corpus.select(F.size(tokens(F.col(text_col))).alias("dl"))
-    n_docs = lengths.agg(F.count("*")).scalar()
-    mean_dl = lengths.agg(F.avg("dl")).scalar()
+    # one pass for both numbers; they are read as a scalar subquery
+    stats = lengths.agg(F.struct(F.count("*").alias("n"), F.avg("dl").alias("dl"))).scalar()
+    n_docs, mean_dl = stats["n"], stats["dl"]
     df = post.groupBy("term").agg(F.count("*").alias("df"))
     weighted = qterms.join(df, "term")
+    if small:
+        weighted = F.broadcast(weighted)
     idf = F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
     gain = F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / mean_dl))
     scored = (
@@ -239,9 +247,11 @@ def semantic_match(
     Only distinct pairs are scored, and each vector is fetched by key.
     """
     distinct = pairs.select(left, right).distinct()
-    a = vectors.select(F.col("text_id").alias(left), F.col("embedding").alias("_a"))
-    b = vectors.select(F.col("text_id").alias(right), F.col("embedding").alias("_b"))
-    scored = distinct.join(a, left).join(b, right).withColumn("similarity", cosine(F.col("_a"), F.col("_b")))
+    # unit length once per text, so a pair costs one product
+    unit = vectors.select("text_id", unit_vector(F.col("embedding")).alias("_u"))
+    a = unit.select(F.col("text_id").alias(left), F.col("_u").alias("_a"))
+    b = unit.select(F.col("text_id").alias(right), F.col("_u").alias("_b"))
+    scored = distinct.join(a, left).join(b, right).withColumn("similarity", dot(F.col("_a"), F.col("_b")))
     return scored.drop("_a", "_b").withColumn("matched", (F.col("similarity") >= threshold).cast("int"))
 
 

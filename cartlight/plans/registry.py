@@ -66,6 +66,15 @@ class Tables:
                 raise AttributeError(name)
         return self._frames[name]
 
+    def spread(self, name: str) -> DataFrame:
+        """A table for row-wise heavy work: a scan with fewer partitions than cores is spread first.
+
+        A large table has more splits than cores, so nothing is shuffled there.
+        """
+        df = getattr(self, name)
+        cores = self.spark.sparkContext.defaultParallelism
+        return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
     def sql(self, text: str) -> DataFrame:
         """Run SQL over the tables and views it names."""
         words = _words(text)

@@ -60,7 +60,7 @@ def items(t):
 @query("bm25_topk", "with d_corpus as (select doc_id as id, text as contents from documents), d_query as (select item_id as qid, text as q from benchmark), "
        + DOC_RANK + " select qid as item_id, id as doc_id, score, rank from d_rank where rank <= 20")
 def bm25_topk(t):
-    out = C.bm25_topk(t.benchmark, t.documents, k=20, query_id="item_id", query_text="text", id_col="doc_id", text_col="text")
+    out = C.bm25_topk(t.benchmark, t.spread("documents"), k=20, query_id="item_id", query_text="text", id_col="doc_id", text_col="text")
     return out.select("item_id", F.col("id").alias("doc_id"), "score", "rank")
 
 

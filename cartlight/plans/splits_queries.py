@@ -237,7 +237,7 @@ with d as (select doc_id, {TOK} as w from documents), b as (select item_id, {TOK
 select d.doc_id, b.item_id from d join b on contains(d.w, b.w) where len(string_split(b.w, ' ')) - 2 >= 5
 """)
 def contamination_scan(t):
-    return J.contamination_scan(t.documents, t.benchmark, doc_id="doc_id", text="text", title_id="item_id", title="text")
+    return J.contamination_scan(t.spread("documents"), t.benchmark, doc_id="doc_id", text="text", title_id="item_id", title="text")
 
 
 @query("strata_panel", """
