@@ -102,42 +102,67 @@ def assign_openers(df: DataFrame, *, key: str, seed: str = "0") -> DataFrame:
     return expand_quota(df, key=key, name="opener_bucket", weights=OPENER_WEIGHTS, seed=f"{seed}:opener")
 
 
-def assign_products(specs: DataFrame, products: DataFrame, *, excluded: DataFrame | None = None, seed: str = "0") -> DataFrame:
+def _shop_baskets(specs: DataFrame, pool: DataFrame, *, seed: str, whole_shops: bool) -> DataFrame | None:
+    """One round of shop baskets: ``sample_id, pos, product_id, shop_id``.
+
+    The products of a shop are numbered in hash order and shared out to the
+    basket sizes in proportion to the demand (or the shop serves one size, by
+    hash). Whole baskets and specs of a size then meet on their number.
+    """
+    # demand per basket size: a handful of rows on the driver
+    need = (F.count("*") * F.col("n_products")).alias("need")
+    demand = [(r["n_products"], r["need"]) for r in specs.groupBy("n_products").agg(need).orderBy("n_products").collect()]
+    if not demand:
+        return None
+    known = pool.filter("shop_id is not null")
+    sizes = known.groupBy("shop_id").agg(F.count("*").alias("_c"))
+    ranked = hash_index(known, "product_id", f"{seed}:shop", name="_r", by=("shop_id",)).join(sizes, "shop_id")
+    whole, before = sum(n for _, n in demand), 0
+    u = hash_unit(F.col("shop_id"), f"{seed}:size")
+    size = low = high = None
+    for n, count in demand:
+        start, end = before / whole, (before + count) / whole
+        before += count
+        if whole_shops:
+            hit, lo, hi = (u >= start) & (u < end), F.lit(0), F.col("_c")
+        else:
+            lo, hi = F.floor(F.col("_c") * start), F.floor(F.col("_c") * end) if before < whole else F.col("_c")
+            hit = (F.col("_r") > lo) & (F.col("_r") <= hi)
+        size = F.when(hit, n) if size is None else size.when(hit, n)
+        low = F.when(hit, lo) if low is None else low.when(hit, lo)
+        high = F.when(hit, hi) if high is None else high.when(hit, hi)
+    cut = ranked.withColumns({"n_products": size, "_lo": low, "_hi": high}).filter("n_products is not null")
+    cut = cut.withColumn("_basket", F.floor((F.col("_r") - F.col("_lo") - 1) / F.col("n_products")))
+    full = cut.filter((F.col("_basket") + 1) * F.col("n_products") <= F.col("_hi") - F.col("_lo"))
+    full = full.withColumn("_bid", F.concat_ws(":", "shop_id", F.col("n_products").cast("string"), F.col("_basket").cast("string")))
+    numbered = hash_index(full.select("n_products", "_bid").distinct(), "_bid", f"{seed}:basket", name="_i", by=("n_products",))
+    asked = hash_index(specs, "sample_id", f"{seed}:spec", name="_i", by=("n_products",))
+    won = asked.join(numbered, ["n_products", "_i"]).select("sample_id", "_bid")
+    pos = F.pmod(F.col("_r") - F.col("_lo") - 1, F.col("n_products")) + 1
+    return cut_lineage(full.join(won, "_bid").select("sample_id", pos.cast("int").alias("pos"), "product_id", "shop_id"))
+
+
+def assign_products(
+    specs: DataFrame, products: DataFrame, *, excluded: DataFrame | None = None, seed: str = "0", rounds: int = 4
+) -> DataFrame:
     """``sample_id, pos, product_id, shop_id``; no product is used twice.
 
-    Shop specs: every shop serves one basket size (by hash, in proportion to
-    demand); its products are numbered and cut into whole baskets, and baskets
-    and specs meet on their number. Platform specs then take numbered slots of
-    the unused products. Specs that found no basket are absent from the result.
+    Shop specs take baskets of one shop, in a few rounds over what is left.
+    Platform specs then take numbered slots of the unused products. A spec that
+    found no basket is absent from the result (``unassigned`` lists them).
     """
     pool = products.select("product_id", "shop_id")
     if excluded is not None:
         pool = pool.join(excluded.select("product_id").distinct(), "product_id", "left_anti")
-    shop_specs = specs.filter("voucher_type = 'shop'").select("sample_id", "n_products")
-    # demand per basket size: at most a handful of rows on the driver
-    demand = [(r["n_products"], r["need"]) for r in shop_specs.groupBy("n_products").agg((F.count("*") * F.col("n_products")).alias("need")).orderBy("n_products").collect()]
+    waiting = specs.filter("voucher_type = 'shop'").select("sample_id", "n_products")
     chunks = None
-    if demand:
-        whole, upto, size = sum(n for _, n in demand), 0.0, None
-        u = hash_unit(F.col("shop_id"), f"{seed}:size")
-        for n, need in demand:
-            upto += need / whole
-            size = F.when(u < upto, n) if size is None else size.when(u < upto, n)
-        sized = pool.filter("shop_id is not null").withColumn("n_products", size.otherwise(demand[-1][0]))
-        ranked = hash_index(sized, "product_id", f"{seed}:shop", name="_r", by=("shop_id",))
-        counts = sized.groupBy("shop_id").agg(F.count("*").alias("_c"))
-        baskets = ranked.join(counts, "shop_id").withColumn("_basket", F.floor((F.col("_r") - 1) / F.col("n_products")))
-        baskets = baskets.filter((F.col("_basket") + 1) * F.col("n_products") <= F.col("_c"))
-        baskets = baskets.withColumn("_bid", F.concat_ws(":", "shop_id", F.col("_basket").cast("string")))
-        heads = baskets.select("n_products", "_bid").distinct()
-        numbered = hash_index(heads, "_bid", f"{seed}:basket", name="_i", by=("n_products",))
-        asked = hash_index(shop_specs, "sample_id", f"{seed}:spec", name="_i", by=("n_products",))
-        won = asked.join(numbered, ["n_products", "_i"]).select("sample_id", "_bid")
-        chunks = baskets.join(won, "_bid").select(
-            "sample_id", (F.pmod(F.col("_r") - 1, F.col("n_products")) + 1).cast("int").alias("pos"), "product_id", "shop_id"
-        )
-        chunks = cut_lineage(chunks)
-        pool = pool.join(chunks, "product_id", "left_anti")
+    for i in range(rounds):
+        got = _shop_baskets(waiting, pool, seed=f"{seed}:{i}", whole_shops=i % 2 == 1)
+        if got is None:
+            break
+        chunks = got if chunks is None else chunks.unionByName(got)
+        pool = pool.join(got, "product_id", "left_anti")
+        waiting = waiting.join(got, "sample_id", "left_anti")
     wide = specs.filter("voucher_type = 'platform'").select("sample_id", "n_products")
     starts = ordered_sum(wide, [hash_hex(F.col("sample_id"), f"{seed}:platform"), F.col("sample_id")], weight=F.col("n_products"), name="_end")
     slots = starts.select("sample_id", "n_products", "_end", F.explode(F.sequence(F.lit(1), F.col("n_products"))).alias("pos"))
@@ -151,6 +176,11 @@ def assign_products(specs: DataFrame, products: DataFrame, *, excluded: DataFram
     return cut_lineage(platform if chunks is None else chunks.unionByName(platform))
 
 
+def unassigned(specs: DataFrame, lines: DataFrame) -> DataFrame:
+    """Specs without products."""
+    return specs.join(lines.select("sample_id").distinct(), "sample_id", "left_anti")
+
+
 def _by_bucket(table: dict[str, tuple[float, float]], side: int) -> Column:
     b = F.col("difficulty_bucket")
     return F.when(b == "easy", table["easy"][side]).when(b == "medium", table["medium"][side]).otherwise(table["hard"][side])
