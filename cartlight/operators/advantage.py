@@ -62,10 +62,11 @@ def grpo_passk(df: DataFrame, *, by: str = "uid", sample: str = "sample", score:
     is_best = -F.col("_best.s") == F.col(sample)
     second = best.filter(~is_best).groupBy(by).agg(F.max(score).alias("_second"))
     out = best.join(second, by, "left")
-    checked = F.when(F.col("_n") < 2, F.raise_error(F.lit("pass@k needs at least two samples per group"))).otherwise(F.col("_second"))
-    gain = F.col(score) - checked
-    value = gain / (F.col("_s") + epsilon) if scale else gain
-    return out.withColumn("advantage", F.when(is_best, value).otherwise(checked * 0.0)).drop("_best", "_n", "_s", "_second")
+    gain = F.col(score) - F.col("_second")
+    value = F.when(is_best, gain / (F.col("_s") + epsilon) if scale else gain).otherwise(0.0)
+    # checked first, whatever the statistics of the group are
+    small = F.raise_error(F.lit("pass@k needs at least two samples per group")).cast("double")
+    return out.withColumn("advantage", F.when(F.col("_n") < 2, small).otherwise(value)).drop("_best", "_n", "_s", "_second")
 
 
 @register_advantage("rloo")

@@ -97,7 +97,7 @@ def batches(spark, path, frames):
         pdf.to_parquet(name)
         at = time.time() - 1000 + i * 10
         os.utime(name, (at, at))
-    return spark.readStream.schema("uid bigint, ts timestamp, outcome int").option("maxFilesPerTrigger", 1).parquet(path)
+    return spark.readStream.schema("uid bigint, ts timestamp, outcome bigint").option("maxFilesPerTrigger", 1).parquet(path)
 
 
 def test_groups_complete_over_batches_and_short_ones_expire(spark, tmp_path):
