@@ -175,7 +175,14 @@ def coverage_select(t):
     return out.select("order_id", "pick")
 
 
-@query("joint_panels")
+@query("joint_panels", """
+with s as (select voucher_type, discount_type, product_count, count(*) as size, count(*) * 100 / (select count(*) from x_feature)::double as exact, floor(count(*) / 2) as cap from x_feature group by 1, 2, 3),
+b as (select *, least(floor(exact), cap) as base from s),
+q as (select *, base + (base < cap and row_number() over (partition by base < cap order by round(exact - base, 9) desc, size desc, voucher_type desc, discount_type desc, product_count desc) <= 100 - (select sum(base) from b))::int as quota from b),
+r as (select order_id, voucher_type, discount_type, product_count, row_number() over (partition by voucher_type, discount_type, product_count order by md5('0:' || order_id), order_id) as r from x_feature)
+select r.order_id, case when r.r <= q.quota then 'calibration' else 'validation' end as panel
+from r join q on q.voucher_type = r.voucher_type and q.discount_type = r.discount_type and q.product_count = r.product_count where r.r <= 2 * q.quota
+""")
 def joint_panels(t):
     f = J.query_features(t.v_plan)
     return J.joint_panels(f, key="order_id", strata=["voucher_type", "discount_type", "product_count"], size=100).select("order_id", "panel")
