@@ -29,7 +29,7 @@ HEADLINE = [
 def main() -> None:
     path = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    spark = local_session(cpus)
+    spark = local_session(cpus, memory="16g")
     catalogue.load()
     spark.read.parquet(f"{path}/lineitem.parquet").groupBy("l_returnflag").count().collect()
     wanted = sys.argv[1:] or HEADLINE

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cartlight.functions.text import unescape_html, unescape_html_full
+from cartlight.session import materialize
 
 # fixed values: words that mean "no value", compared without case
 JUNK_WORDS = [
@@ -185,8 +186,10 @@ def filter_longtail(products: DataFrame, *, threshold: int = 20) -> DataFrame:
 
     The entries are exploded and semi-joined with the frequent keys and values
     (AQE picks broadcast or shuffle by their real size), then regrouped per
-    product.
+    product. The cleaned catalogue is read several times, so it is written
+    once: the packed fields are parsed once, and each scan takes its columns.
     """
+    products = materialize(products, "products")
     keys, values = attribute_frequency(products)
     keys = keys.filter(F.col("n") >= threshold).select("k")
     values = values.filter(F.col("n") >= threshold).select("v")

@@ -47,7 +47,7 @@ select v, count(*) as n from (select product_id, k, v from x_attr where nth = 1
 
 
 def cleaned(t):
-    return B.clean_feed(t.v_feed)
+    return B.clean_feed(t.spread("v_feed"))
 
 
 def _sku_text(col):

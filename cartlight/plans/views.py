@@ -67,7 +67,7 @@ view("v_recommended", """
 select order_id, product_id,
        cast(row_number() over (partition by order_id order by product_id) as int) as slot
 from (select l_orderkey as order_id, cast(100000 + l_partkey as string) as product_id
-      from lineitem group by l_orderkey, l_partkey having max(l_returnflag) <> 'R') r
+      from lineitem group by l_orderkey, l_partkey having sum(case when l_returnflag = 'R' then 1 else 0 end) = 0) r
 """)
 
 view("v_gold_total", """

@@ -69,3 +69,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint(eager=True)
+
+
+def materialize(df: DataFrame, label: str) -> DataFrame:
+    """Write to parquet below the shared folder and read it back.
+
+    For tables that are costly to derive and read several times with
+    different columns: later scans read only the columns they need.
+    """
+    path = work_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
