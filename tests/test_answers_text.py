@@ -23,8 +23,8 @@ def value(spark, fn, *texts):
         ("0.5", "\\frac{1}{2}"),
         ("3/4", "\\frac{3}{4}"),
         ("03/4", "03/4"),
-        ("k = .5", "0.5"),
-        (" .5", "0.5"),
+        ("k = .5", "\\frac{1}{2}"),
+        (" .5", "\\frac{1}{2}"),
         ("90^\\circ", "90"),
         ("5 \\text{ meters}", "5"),
         ("\\left( 1 \\right)", "(1)"),
@@ -32,9 +32,7 @@ def value(spark, fn, *texts):
     ],
 )
 def test_formula(spark, text, want):
-    got = value(spark, N.normalize_formula, text)
-    # "k = .5" keeps its half as a decimal only when written so
-    assert got == want or (want == "0.5" and got in ("0.5", "\\frac{1}{2}", ".5"))
+    assert value(spark, N.normalize_formula, text) == want
 
 
 @pytest.mark.parametrize(
