@@ -73,19 +73,19 @@ class OrdinalModel:
 
 
 def fit_ordinal(
-    rows: list[list[int]], grades: np.ndarray, n_grades: int, epochs: int = 12, batch: int = 256, rate: float = 0.03, sparse: float = 6e-3, least: float = 0.002
+    flat: np.ndarray, size: np.ndarray, grades: np.ndarray, n_grades: int, epochs: int = 12, batch: int = 256, rate: float = 0.03, sparse: float = 6e-3, least: float = 0.002
 ) -> OrdinalModel | None:
-    """Adam on the likelihood, weights drawn towards 0 by ``sparse`` a step; None if fewer than two grades occur.
+    """Fits documents given by their buckets, one after the other (``flat``), and their numbers of buckets (``size``).
+
+    Adam on the likelihood, weights drawn towards 0 by ``sparse`` a step; None if fewer than two grades occur.
 
     Buckets in a smaller share than ``least`` of the sample (or fewer than 4
     of its documents) keep weight 0: they would only learn the noise of rare words.
     """
     if len(set(grades.tolist())) < 2:
         return None
-    size = np.array([len(r) for r in rows])
-    flat = np.concatenate([np.asarray(r, dtype=np.int64) for r in rows])
     start = np.concatenate([[0], np.cumsum(size)])
-    known = np.bincount(flat, minlength=1 << BITS) >= max(4, least * len(rows))
+    known = np.bincount(flat, minlength=1 << BITS) >= max(4, least * len(size))
     index = np.full(1 << BITS, -1, dtype=np.int64)
     index[known] = np.arange(known.sum())
     n_known = int(known.sum())
@@ -97,8 +97,8 @@ def fit_ordinal(
     mean, square, step = np.zeros_like(p), np.zeros_like(p), 0
     rng = np.random.default_rng(7)
     for _ in range(epochs):
-        order = rng.permutation(len(rows))
-        for at in range(0, len(rows), batch):
+        order = rng.permutation(len(size))
+        for at in range(0, len(size), batch):
             pick = order[at : at + batch]
             ids = index[np.concatenate([flat[start[i] : start[i + 1]] for i in pick])]
             owner = np.repeat(np.arange(len(pick)), size[pick])
@@ -159,7 +159,8 @@ def train(
     found = texts.select("doc_id", "text", "grade").mapInArrow(hashed, "doc_id bigint, grade int, ids array<int>").toArrow().sort_by("doc_id")
     if not found.num_rows:
         return None
-    return fit_ordinal(found.column("ids").to_pylist(), np.asarray(found.column("grade")), n_grades)
+    ids = found.column("ids").combine_chunks()
+    return fit_ordinal(ids.flatten().to_numpy(), np.diff(ids.offsets.to_numpy()), np.asarray(found.column("grade")), n_grades)
 
 
 FIELDS = [T.StructField("expected_grade", T.DoubleType()), T.StructField("p_tail", T.DoubleType()), T.StructField("kept", T.BooleanType())]
