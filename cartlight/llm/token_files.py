@@ -17,7 +17,10 @@ of the index; magic.
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -33,8 +36,10 @@ from cartlight.session import materialize, work_path
 MAGIC = b"PFORTOK1"
 BLOCK = 8192
 PERCENTILE = 95
-#: Words that a worker remembers before it starts anew.
-CACHE = 400_000
+#: Words, and parts of words, that a worker remembers before it starts anew.
+CACHE, CACHE_PARTS = 700_000, 500_000
+#: A word of letters that ends in an ASCII letter and closing marks: the tokenizer always cuts between the two.
+LETTERS_AND_MARKS = re.compile(rb"([A-Za-z\x80-\xff]*[A-Za-z])([.,;:!?]*)")
 
 
 # --- blocks -------------------------------------------------------------------------------------
@@ -170,30 +175,45 @@ class Reader:
 
 
 class WordTokenizer:
-    """Ids of texts by a tokenizer file whose normalizer and pre-tokenizer never join across ASCII space.
+    """Ids of texts by a tokenizer file that lower-cases and never joins across ASCII space.
 
-    Distinct words between ASCII spaces go to the library in batches; a worker
-    remembers a bounded number of them.
+    Texts are cut at ASCII space. A new word of letters and closing marks is
+    cut once more and its letters lower-cased, as the tokenizer does itself,
+    so that the library sees each part once, in batches. A worker remembers a
+    bounded number of words and parts.
     """
 
     def __init__(self, tokenizer_json: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark has a task for every core
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(tokenizer_json)
-        self.known: dict[bytes, bytes] = {}
+        self.words: dict[bytes, bytes] = {}
+        self.parts: dict[bytes, bytes] = {}
+
+    def _learn(self, missing: list[bytes]) -> None:
+        found = map(LETTERS_AND_MARKS.fullmatch, missing)
+        cut = [(m[1].lower(), m[2]) if m else (word, b"") for m, word in zip(found, missing)]
+        parts = {p for pair in cut for p in pair} - self.parts.keys()
+        fresh = [*parts]
+        for at in range(0, len(fresh), 4096):
+            some = fresh[at : at + 4096]
+            for part, got in zip(some, self.library.encode_batch_fast([p.decode("utf-8", "replace") for p in some], add_special_tokens=False)):
+                self.parts[part] = array("I", got.ids).tobytes()
+        known = self.parts
+        self.words.update((word, known[a] + known[b]) for word, (a, b) in zip(missing, cut))
 
     def encode_batch(self, texts: list[str | None], end_id: int) -> list[np.ndarray]:
         cut = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
-        if len(self.known) >= CACHE:
-            self.known.clear()
-        missing = [*(set().union(*cut) - self.known.keys())]
-        for at in range(0, len(missing), 4096):
-            words = missing[at : at + 4096]
-            found = self.library.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
-            for word, got in zip(words, found):
-                self.known[word] = np.array(got.ids, dtype="<u4").tobytes()
+        if len(self.words) >= CACHE:
+            self.words.clear()
+        if len(self.parts) >= CACHE_PARTS:
+            self.parts.clear()
+        missing = [*(set().union(*cut) - self.words.keys())]
+        if missing:
+            self._learn(missing)
         end = np.array([end_id], dtype="<u4").tobytes()
-        get = self.known.__getitem__
+        get = self.words.__getitem__
         return [np.frombuffer(b"".join(map(get, words)) + end, dtype="<u4") for words in cut]
 
 
