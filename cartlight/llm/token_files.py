@@ -37,7 +37,7 @@ MAGIC = b"PFORTOK1"
 BLOCK = 8192
 PERCENTILE = 95
 #: Words, and parts of words, that a worker remembers before it starts anew.
-CACHE, CACHE_PARTS = 700_000, 500_000
+CACHE, CACHE_PARTS = 1_000_000, 700_000
 #: A word of letters that ends in an ASCII letter and closing marks: the tokenizer always cuts between the two.
 LETTERS_AND_MARKS = re.compile(rb"([A-Za-z\x80-\xff]*[A-Za-z])([.,;:!?]*)")
 
@@ -204,7 +204,8 @@ class WordTokenizer:
         self.words.update((word, known[a] + known[b]) for word, (a, b) in zip(missing, cut))
 
     def encode_batch(self, texts: list[str | None], end_id: int) -> list[np.ndarray]:
-        cut = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
+        raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+        cut = [(r if b"<|" in r else r.lower()).split() for r in raw]  # special tokens keep their case
         if len(self.words) >= CACHE:
             self.words.clear()
         if len(self.parts) >= CACHE_PARTS:
