@@ -69,8 +69,9 @@ def count_words(docs: DataFrame) -> DataFrame:
 
 def vocabulary(docs: DataFrame) -> list[bytes]:
     """The most frequent words, at most SIZE - RARE of them; equal counts by word."""
-    rows = count_words(docs).orderBy(F.desc("n"), "word").limit(SIZE - RARE).collect()
-    return [bytes(r["word"]) for r in rows]
+    best = count_words(docs).orderBy(F.desc("n"), "word").limit(SIZE - RARE)
+    rows = materialize(best, "lm-vocabulary").collect()  # written first, so that partitions are not merged in the driver
+    return [bytes(r["word"]) for r in sorted(rows, key=lambda r: (-r["n"], bytes(r["word"])))]
 
 
 class Numbers(dict):
