@@ -16,6 +16,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,7 +29,9 @@ QUERIES = 512
 #: Leading bits that a round resolves.
 STEP_BITS = 12
 LOW = np.iinfo(np.int64).min
-PACKED = "dim int, ids binary, vectors binary, kind string, largest bigint"
+#: Tasks that score block pairs, at most.
+TASKS = 2048
+PACKED = "part int, seq int, dim int, ids binary, vectors binary, kind string, largest bigint"
 
 
 def quantize(vectors: np.ndarray) -> np.ndarray:
@@ -46,6 +49,7 @@ def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 def pack(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
     """Blocks of at most ``rows`` quantized vectors of one dimension, in the smallest integer type that holds them."""
+    part, seq = TaskContext.get().partitionId(), 0
     for batch in batches:
         ids, lists = batch.column(0).to_numpy(), batch.column(1)
         size = np.diff(lists.offsets.to_numpy())
@@ -58,9 +62,10 @@ def pack(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatc
                 largest = int(np.abs(block).max(initial=0))
                 kind = next(k for k, most in (("<i2", 2**15), ("<i4", 2**31), ("<i8", 2**63)) if largest < most)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([int(dim)], pa.int32()), pa.array([ids[some].astype("<i8").tobytes()]), pa.array([block.astype(kind).tobytes()]), pa.array([kind]), pa.array([largest])],
-                    ["dim", "ids", "vectors", "kind", "largest"],
+                    [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([int(dim)], pa.int32()), pa.array([ids[some].astype("<i8").tobytes()]), pa.array([block.astype(kind).tobytes()]), pa.array([kind]), pa.array([largest])],
+                    ["part", "seq", "dim", "ids", "vectors", "kind", "largest"],
                 )
+                seq += 1
 
 
 def blocks(rows: DataFrame, size: int) -> DataFrame:
@@ -83,7 +88,9 @@ def _pairs(candidates: DataFrame, queries: DataFrame, use: Callable, schema: str
         F.col("block").alias("query_block"), "dim", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.col("kind").alias("q_kind"), "state",
         F.explode(F.sequence(F.lit(0), F.lit(n_candidates))).alias("block"),
     )
-    both = left.join(right, ["block", "query_block", "dim"]).select("dim", "ids", "vectors", "kind", "q_ids", "q_vectors", "q_kind", "state")
+    tasks = min(TASKS, (n_candidates + 1) * (n_queries + 1))
+    deal = lambda side: side.repartition(tasks, "block", "query_block")  # noqa: E731  by work, not by bytes
+    both = deal(left).join(deal(right), ["block", "query_block", "dim"]).select("dim", "ids", "vectors", "kind", "q_ids", "q_vectors", "q_kind", "state")
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
@@ -140,13 +147,17 @@ def _query_blocks(queries: DataFrame, parts: int) -> DataFrame:
     """Packed queries with their state (low and high end of the open interval), numbered."""
 
     def run(batches: Iterator[pa.RecordBatch]):
+        seq = 0
         for batch in batches:
             for at in range(0, batch.num_rows, QUERIES):
                 some = batch.slice(at, QUERIES)
                 state = np.stack([some.column(2).to_numpy(), some.column(3).to_numpy()], axis=1).astype("<i8")
                 by_id = dict(zip(some.column(0).to_pylist(), state))
-                for block in pack(iter([pa.RecordBatch.from_arrays([some.column(0), pa.array(some.column(1).to_pylist(), pa.list_(pa.float64()))], ["v", "e"])]), QUERIES):
-                    own = np.stack([by_id[i] for i in np.frombuffer(block.column(1)[0].as_py(), dtype="<i8").tolist()])
+                rows = pa.RecordBatch.from_arrays([some.column(0), pa.array(some.column(1).to_pylist(), pa.list_(pa.float64()))], ["v", "e"])
+                for block in pack(iter([rows]), QUERIES):
+                    own = np.stack([by_id[i] for i in np.frombuffer(block.column("ids")[0].as_py(), dtype="<i8").tolist()])
+                    block = block.set_column(1, "seq", pa.array([seq], pa.int32()))
+                    seq += 1
                     yield pa.RecordBatch.from_arrays([*block.columns, pa.array([own.tobytes()])], [*block.schema.names, "state"])
 
     packed = queries.select("vec_id", "embedding", "low", "high").repartition(parts, "vec_id").mapInArrow(run, PACKED + ", state binary")
@@ -154,8 +165,9 @@ def _query_blocks(queries: DataFrame, parts: int) -> DataFrame:
 
 
 def _numbered(packed: DataFrame) -> DataFrame:
-    """Blocks numbered from 0; a block is one row."""
-    return packed.withColumn("block", F.row_number().over(Window.orderBy("ids")) - 1)
+    """Blocks numbered from 0: only the places of the blocks, a row each, meet in one task."""
+    places = packed.select("part", "seq").withColumn("block", F.row_number().over(Window.orderBy("part", "seq")) - 1)
+    return packed.join(places, ["part", "seq"])
 
 
 def top_k(df: DataFrame, k: int = 5, is_query: Callable | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
