@@ -191,7 +191,7 @@ def test_twins(spark, name):
 
 def test_pipeline_stages(spark, docs_of):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    extra = spark.createDataFrame([(i, t, None, None, None) for i, t in ROWS], docs.schema)
+    extra = spark.createDataFrame([(i and i + 10**6, t, None, None, None) for i, t in ROWS], docs.schema)
     docs = docs.unionByName(extra).cache()
     at, texts = docs, {}
     for name, stage in corpus_pipeline.STAGES[:4]:
