@@ -50,6 +50,9 @@ def _pad(raw: bytes, unit: int) -> bytes:
 
 
 def pack_bits(values: np.ndarray, width: int) -> bytes:
+    """The low bits of all values, highest first; a width of whole bytes needs no bit array."""
+    if width in (8, 16, 32):
+        return values.astype(f">u{width // 8}").tobytes()
     bits = np.unpackbits(values.astype(">u4").view(np.uint8).reshape(-1, 4), axis=1)[:, 32 - width :]
     return np.packbits(bits).tobytes()
 
@@ -57,6 +60,8 @@ def pack_bits(values: np.ndarray, width: int) -> bytes:
 def unpack_bits(raw: np.ndarray, width: int, count: int) -> np.ndarray:
     if not width:
         return np.zeros(count, dtype=np.uint32)
+    if width in (8, 16, 32):
+        return raw.view(f">u{width // 8}").astype(np.uint32)
     bits = np.unpackbits(raw, count=count * width).reshape(count, width)
     whole = np.zeros((count, 32), dtype=np.uint8)
     whole[:, 32 - width :] = bits
@@ -210,12 +215,14 @@ class WordTokenizer:
             self.words.clear()
         if len(self.parts) >= CACHE_PARTS:
             self.parts.clear()
-        missing = [*(set().union(*cut) - self.words.keys())]
-        if missing:
-            self._learn(missing)
+        found = [[*map(self.words.get, words)] for words in cut]
+        gaps = [i for i, f in enumerate(found) if None in f]
+        if gaps:
+            self._learn([*{word for i in gaps for word, f in zip(cut[i], found[i]) if f is None}])
+            for i in gaps:
+                found[i] = [self.words[word] if f is None else f for word, f in zip(cut[i], found[i])]
         end = np.array([end_id], dtype="<u4").tobytes()
-        get = self.words.__getitem__
-        return [np.frombuffer(b"".join(map(get, words)) + end, dtype="<u4") for words in cut]
+        return [np.frombuffer(b"".join([*f, end]), dtype="<u4") for f in found]
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
