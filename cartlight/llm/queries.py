@@ -85,7 +85,7 @@ def op9_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = token_files.write_token_files(_table(spark, sf_dir, "documents"), WORD_TOKENIZER)
-    return token_files.read_token_files(manifest).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return token_files.read_token_files(manifest, with_ids=False).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_lm_scoring, op3_url_filter, op4_source_mixing, op5_chat_format, op6_quality_classifier, op7_simhash_golay, op8_byte_bpe, op9_topk_search, op10_token_files)}

@@ -284,11 +284,13 @@ def write_token_files(df: DataFrame, tokenizer_path: str, target: str | None = N
     return files.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
 
 
-def read_token_files(manifest: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32, ids) of every document, read back from the files of a manifest.
+def read_token_files(manifest: DataFrame, with_ids: bool = True) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32 and, if wanted, ids) of every document, read back from the files of a manifest.
 
-    ``start`` counts the ids of all documents before, over all files.
+    ``start`` counts the ids of all documents before, over all files. All ids
+    are read and checked in any case; ``with_ids`` tells whether they go on.
     """
+    names = ["doc_id", "start", "n_tokens", "ids_crc32", *["ids"] * with_ids]
 
     def read(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
@@ -302,11 +304,11 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                         size = np.array([len(i) for i in ids], dtype=np.int64)
                         start = row["start"] + reader.ends[span.start : span.stop] - size
                         crc = [zlib.crc32(i.astype("<u4").tobytes()) for i in ids]
-                        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(np.concatenate(ids).astype(np.int32)))
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(reader.docs[span.start : span.stop], pa.int64()), pa.array(start), pa.array(size), pa.array(crc, pa.int64()), lists],
-                            ["doc_id", "start", "n_tokens", "ids_crc32", "ids"],
-                        )
+                        columns = [pa.array(reader.docs[span.start : span.stop], pa.int64()), pa.array(start), pa.array(size), pa.array(crc, pa.int64())]
+                        if with_ids:
+                            ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+                            columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids).astype(np.int32))))
+                        yield pa.RecordBatch.from_arrays(columns, names)
 
     n_files = manifest.count()
-    return manifest.repartition(max(1, n_files)).mapInArrow(read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint, ids array<int>")
+    return manifest.repartition(max(1, n_files)).mapInArrow(read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids)
