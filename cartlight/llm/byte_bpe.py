@@ -1,12 +1,19 @@
 """Byte-level BPE: ranked merges folded over the bytes of distinct words.
 
-``encode_texts`` is the main path. Arrow batches of texts are cut into words;
-every worker folds ranked merges over the bytes of each distinct word once and
-remembers the result (a bounded memory), and a text's ids are the joined
-results of its words. Nothing is shuffled. ``encode_word`` is the same fold as
-Spark higher-order functions over a literal rank map; it gives the same ids
-but takes about 100 microseconds a word, too slow for whole corpora of many
-distinct words (see README).
+Spark higher-order functions fold the merges over byte arrays, looking ranks
+up in a literal rank map (``encode_word``). ``encode_texts`` folds every word
+that it can not look up:
+
+1. all words of all texts are counted, and the most frequent ones (at most
+   ``HEAD``) are folded once; they and their ids are broadcast;
+2. a worker cuts each text into words, writes the ids of those and leaves a
+   place for each other one, listing a text's distinct other words;
+3. the fold runs over these lists, and the ids go to their places.
+
+Counting shuffles distinct words only, and the texts are never shuffled. The
+share of words beyond a fixed head is a matter of the language, not of the
+corpus' size. A word of more than ``FOLD_BYTES`` bytes is merged by a heap in
+the worker, because arrays would cost the square of its length.
 
 ``decode_ids`` concatenates the binary pieces of the ids with higher-order
 functions over a literal of all pieces.
@@ -17,7 +24,8 @@ from __future__ import annotations
 import base64
 import json
 import re
-import zlib
+import uuid
+from collections import Counter
 from collections.abc import Iterator
 from heapq import heappop, heappush
 
@@ -28,11 +36,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cartlight.llm.common import append_columns, position, slices
-
-#: Buckets of the rank map: a lookup scans one bucket.
-BUCKETS = 1 << 15
-#: Words that a worker remembers before it starts anew.
+from cartlight.llm.common import append_columns, narrow, position, slices
+from cartlight.session import materialize
+
+#: Buckets of the rank map (a prime): a lookup scans one bucket.
+BUCKETS = 65_521
+#: More than any token id.
+SPAN = 1 << 20
+#: Most frequent words that are folded once and broadcast.
+HEAD = 600_000
+#: Word counts up to here are told apart exactly when the head is chosen.
+EXACT = 64
+#: Distinct words that a task counts before it sends them on.
+FLUSH = 200_000
+#: Parts of texts that a worker remembers before it starts anew.
 CACHE = 400_000
 #: Bytes of a word up to which merges are folded over an array; beyond, a heap avoids work that grows with the square.
 FOLD_BYTES = 200
@@ -48,16 +65,22 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
 
 
-# --- ranks as a literal -------------------------------------------------------------------------
+# --- the fold -----------------------------------------------------------------------------------
 
 
 def rank_literal(ranks: dict[bytes, int]) -> Column:
-    """array<map<hex, rank>>, by crc32 of the token's hex digits; a foldable expression that becomes one literal."""
-    table: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
+    """The rank map as one literal: ids of single bytes, and by bucket the pairs of ids and the ids of their tokens."""
+    pairs: list[list[int]] = [[] for _ in range(BUCKETS)]
+    joined: list[list[int]] = [[] for _ in range(BUCKETS)]
     for token, rank in ranks.items():
-        name = token.hex()
-        table[zlib.crc32(name.encode()) % BUCKETS][name] = rank
-    return F.from_json(F.lit(json.dumps(table, separators=(",", ":"))), "array<map<string,int>>")
+        for cut in range(1, len(token)):
+            left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
+            if left is not None and right is not None:
+                pair = left * SPAN + right
+                pairs[pair % BUCKETS].append(pair)
+                joined[pair % BUCKETS].append(rank)
+    table = {"bytes": [ranks.get(bytes([b]), -1) for b in range(256)], "pairs": pairs, "joined": joined}
+    return F.from_json(F.lit(json.dumps(table, separators=(",", ":"))), "bytes array<int>, pairs array<array<bigint>>, joined array<array<int>>")
 
 
 def let(value: Column, use) -> Column:
@@ -66,69 +89,44 @@ def let(value: Column, use) -> Column:
 
 
 def encode_word(word: Column, table: Column) -> Column:
-    """Token ids of a word given as hex digits of its bytes.
+    """Token ids of a word, an array of its bytes as integers from 0 to 255.
 
-    The state is the array of pieces and the array of the ranks of neighbours
-    joined. Every step joins the pair of lowest rank, the leftmost of equals.
+    The state is the array of ids and the array of the ids that neighbours
+    would join to. An id is a rank, so every step joins the pair of the
+    lowest one, the leftmost of equals.
     """
-    rank = lambda name: F.coalesce(F.try_element_at(F.get(table, (F.crc32(name) % BUCKETS).cast("int")), name), F.lit(NONE))
-    pieces = F.regexp_extract_all(word, F.lit("(..)"), F.lit(1))
+
+    def joined(left: Column, right: Column) -> Column:
+        pair = left * F.lit(SPAN).cast("bigint") + right
+        at = (pair % BUCKETS).cast("int")
+        return F.coalesce(F.get(F.get(table["joined"], at), F.array_position(F.get(table["pairs"], at), pair).cast("int") - 1), F.lit(NONE))
+
+    none = F.array().cast("array<int>")
 
     def start(p: Column) -> Column:
-        ends = F.sequence(F.lit(1), F.size(p) - 1)
-        return F.struct(p.alias("p"), F.when(F.size(p) > 1, F.transform(ends, lambda i: rank(F.concat(F.get(p, i - 1), F.get(p, i))))).otherwise(F.array().cast("array<int>")).alias("r"))
+        pairs = F.transform(F.slice(p, 1, F.size(p) - 1), lambda left, i: joined(left, F.get(p, i + 1)))
+        return F.struct(p.alias("p"), F.when(F.size(p) > 1, pairs).otherwise(none).alias("r"))
 
-    def join(state: Column, i: Column) -> Column:
-        """Join pieces i and i + 1 (from 1)."""
+    def join(state: Column, i: Column, new: Column) -> Column:
+        """Pieces i and i + 1 (from 1) become ``new``."""
         p, r = state["p"], state["r"]
         n = F.size(p)
+        left = F.when(i > 1, F.array(joined(F.get(p, i - 2), new))).otherwise(none)
+        right = F.when(i + 1 < n, F.array(joined(new, F.get(p, i + 1)))).otherwise(none)
+        return F.struct(
+            F.concat(F.slice(p, 1, i - 1), F.array(new), F.slice(p, i + 2, n)).alias("p"),
+            F.concat(F.slice(r, 1, F.greatest(i - 2, F.lit(0))), left, right, F.slice(r, i + 2, n)).alias("r"),
+        )
+
+    def step(state: Column) -> Column:
+        low = F.array_min(state["r"])
+        return let(low, lambda low: F.when(low < NONE, let(F.array_position(state["r"], low).cast("int"), lambda i: join(state, i, low))).otherwise(state))
 
-        def with_new(new: Column) -> Column:
-            left = F.when(i > 1, F.array(rank(F.concat(F.get(p, i - 2), new)))).otherwise(F.array().cast("array<int>"))
-            right = F.when(i + 1 < n, F.array(rank(F.concat(new, F.get(p, i + 1))))).otherwise(F.array().cast("array<int>"))
-            return F.struct(
-                F.concat(F.slice(p, 1, i - 1), F.array(new), F.slice(p, i + 2, n)).alias("p"),
-                F.concat(F.slice(r, 1, F.greatest(i - 2, F.lit(0))), left, right, F.slice(r, i + 2, n)).alias("r"),
-            )
+    first = F.transform(word, lambda b: F.get(table["bytes"], b))
+    return let(first, lambda p: F.when(F.size(p) < 2, p).otherwise(F.aggregate(F.slice(p, 1, F.size(p) - 1), start(p), lambda state, _: step(state), lambda state: state["p"])))
 
-        return let(F.concat(F.get(p, i - 1), F.get(p, i)), with_new)
 
-    def step(state: Column) -> Column:
-        return let(F.array_min(state["r"]), lambda low: F.when(low < NONE, join(state, F.array_position(state["r"], low).cast("int"))).otherwise(state))
-
-    steps = lambda p: F.sequence(F.lit(1), F.greatest(F.size(p) - 1, F.lit(1)))
-    return let(
-        pieces,
-        lambda p: F.aggregate(
-            steps(p), start(p), lambda state, _: F.when(F.size(state["r"]) > 0, step(state)).otherwise(state), lambda state: F.transform(state["p"], rank)
-        ),
-    )
-
-
-
-# --- the fold in a worker -----------------------------------------------------------------------
-
-
-def merge_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Token ids of one word: join the pair of lowest rank, the leftmost of equals, until no pair has a rank."""
-    whole = ranks.get(word)
-    if whole is not None:
-        return [whole]
-    if len(word) > FOLD_BYTES:
-        return merge_long(word, ranks)
-    get = ranks.get
-    pieces = [word[i : i + 1] for i in range(len(word))]
-    pairs = [get(word[i : i + 2], NONE) for i in range(len(word) - 1)]
-    while pairs and (low := min(pairs)) < NONE:
-        i = pairs.index(low)
-        new = pieces[i] + pieces.pop(i + 1)
-        pieces[i] = new
-        del pairs[i]
-        if i:
-            pairs[i - 1] = get(pieces[i - 1] + new, NONE)
-        if i < len(pairs):
-            pairs[i] = get(new + pieces[i + 1], NONE)
-    return [ranks[p] for p in pieces]
+# --- long words ---------------------------------------------------------------------------------
 
 
 def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -162,12 +160,25 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+# --- texts --------------------------------------------------------------------------------------
+
+
+def pack(ids: list[int]) -> bytes:
+    return np.array(ids, dtype="<i4").tobytes()
+
+
+def word_bytes(words: list[bytes]) -> pa.Array:
+    """Words as arrays of their bytes."""
+    ends = np.concatenate([[0], np.cumsum([len(w) for w in words], dtype=np.int64)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(words), dtype=np.uint8).astype(np.int32)))
+
+
 class Irregular(Exception):
     """A part between two spaces that is empty or begins or ends with white space."""
 
 
 class Words(dict):
-    """Parts of a text between single spaces -> their ids as little-endian bytes.
+    """Parts of a text between single spaces -> their ids as little-endian bytes; None if a word is not in the head.
 
     A space between two characters that are no white space always starts a
     piece of the pattern: every alternative that takes a space takes it first.
@@ -178,78 +189,162 @@ class Words(dict):
         super().__init__()
         self.encoder, self.space = encoder, space
 
-    def __missing__(self, part: str) -> bytes:
+    def __missing__(self, part: str) -> bytes | None:
         if not part or part[0].isspace() or part[-1].isspace():
             raise Irregular
+        found = [self.encoder.head.get(w) for w in self.encoder.find(self.space + part)]
+        if None in found:
+            return None
         if len(self) >= CACHE:
             self.clear()
-        self[part] = found = self.encoder.pieces(self.space + part)
+        self[part] = found = b"".join(found)
         return found
 
 
 class Encoder:
-    """Ids of texts; remembers at most CACHE words of each kind."""
+    """Ids of texts by a head of known words (word -> ids as bytes), with places for the other words."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.ranks, self.find = ranks, regex.compile(pattern).findall
+    def __init__(self, ranks: dict[bytes, int], pattern: str, head: dict[str, bytes]):
+        self.ranks, self.find, self.head = ranks, regex.compile(pattern).findall, head
         self.first, self.rest = Words(self, ""), Words(self, " ")
-        self.known: dict[str, bytes] = {}
 
-    def pieces(self, text: str) -> bytes:
+    def pieces(self, text: str, others: dict[bytes, int]) -> bytes:
         out = []
         for piece in self.find(text):
-            ids = self.known.get(piece)
+            ids = self.head.get(piece)
             if ids is None:
-                if len(self.known) >= CACHE:
-                    self.known.clear()
-                ids = np.array(merge_word(piece.encode("utf-8", "surrogatepass"), self.ranks), dtype="<u4").tobytes()
-                if len(piece) <= 64:
-                    self.known[piece] = ids
+                word = piece.encode("utf-8", "surrogatepass")
+                if word in self.ranks:
+                    ids = pack([self.ranks[word]])
+                elif len(word) > FOLD_BYTES:
+                    ids = pack(merge_long(word, self.ranks))
+                else:
+                    ids = pack([-1 - others.setdefault(word, len(others))])
             out.append(ids)
         return b"".join(out)
 
-    def encode(self, text: str | None) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
+    def encode(self, text: str | None) -> tuple[bytes, list[bytes]]:
+        """Ids as little-endian 32-bit integers, where -1 - k is the place of word k of the list, and that list."""
+        others: dict[bytes, int] = {}
         if not text:
-            return b""
+            return b"", []
         parts = text.split(" ")
         try:
-            return self.first[parts[0]] + b"".join(map(self.rest.__getitem__, parts[1:]))
+            out = [self.first[parts[0]], *map(self.rest.__getitem__, parts[1:])]
+            if None in out:
+                out = [self.pieces(" " * (k > 0) + parts[k], others) if ids is None else ids for k, ids in enumerate(out)]
         except Irregular:  # runs of white space: cut only where that is safe
             first, *rest = INNER_SPACE.split(text)
-            return b"".join([self.pieces(first), *(self.pieces(" " + part) for part in rest)])
+            out = [self.pieces(first, others), *(self.pieces(" " + part, others) for part in rest)]
+        return b"".join(out), list(others)
 
 
-_encoders: dict[tuple, Encoder] = {}
+def count_words(docs: DataFrame, pattern: str, tokens: set[bytes]) -> DataFrame:
+    """(word binary, n) of the words that are no token and not above FOLD_BYTES; ``docs`` has a column text.
 
+    The counts only choose the head: where runs of white space make words differ from those of the whole text, no id changes.
+    """
 
-def encode_texts(df: DataFrame, rank_path: str, pattern: str, text_col: str = "text") -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]):
+        find = regex.compile(pattern).findall
+        parts: Counter = Counter()
+
+        def out():
+            words: Counter = Counter()
+            for part, n in parts.items():
+                for piece in find(" " + part):
+                    words[piece] += n
+            raw = {w.encode("utf-8", "surrogatepass"): n for w, n in words.items()}
+            raw = {w: n for w, n in raw.items() if len(w) <= FOLD_BYTES and w not in tokens}
+            return pa.RecordBatch.from_arrays([pa.array(list(raw), pa.binary()), pa.array(list(raw.values()), pa.int64())], ["word", "n"])
+
+        for batch in batches:
+            for part in slices(batch):
+                for text in part.column(0).to_pylist():
+                    parts.update((text or "").split(" "))
+                if len(parts) > FLUSH:
+                    yield out()
+                    parts.clear()
+        if parts:
+            yield out()
+
+    return docs.select("text").mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def fold_head(docs: DataFrame, ranks: dict[bytes, int], pattern: str, most: int) -> pa.Table:
+    """(word, ids) of the most frequent words, at most ``most``: all those whose count is above some level."""
+    counts = materialize(count_words(docs, pattern, set(ranks)), "bpe-words")
+    level = F.when(F.col("n") <= EXACT, F.col("n")).otherwise(EXACT + F.floor(F.log2(F.col("n") / EXACT) * 4) + 1).cast("int")
+    least, held = None, 0
+    for row in sorted(counts.groupBy(level.alias("level")).count().collect(), key=lambda r: -r["level"]):  # a few hundred levels at most
+        held += row["count"]
+        if held > most:
+            break
+        least = row["level"]
+    if least is None:
+        return pa.table({"word": pa.array([], pa.binary()), "ids": pa.array([], pa.list_(pa.int32()))})
+    byte = F.transform(F.regexp_extract_all(F.hex("word"), F.lit("(..)"), F.lit(1)), lambda h: F.conv(h, 16, 10).cast("int"))
+    return counts.filter(level >= least).select("word", let(rank_literal(ranks), lambda t: encode_word(byte, t)).alias("ids")).toArrow()
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encode_texts(df: DataFrame, rank_path: str, pattern: str, text_col: str = "text", head: int = HEAD) -> DataFrame:
     """Adds n_tokens, ids (array of int) and ids_le (the ids as little-endian unsigned 32-bit integers).
 
     Every match of ``pattern`` is encoded alone and no special token is known.
-    A null or empty text has no id. The rank file is read by the driver and
-    broadcast (its size is the vocabulary's, not the data's). Repeated rows
-    are encoded alike, an empty table gives an empty one; input columns named
-    like a result are replaced.
+    A null or empty text has no id. ``df`` is read twice: words are counted at
+    once. The rank file and at most ``head`` words with their ids are
+    broadcast; the head changes no result, only how often a word is folded.
+    Repeated rows are encoded alike, an empty table gives an empty one; input
+    columns named like a result are replaced.
     """
     at = position(df, text_col)
-    ranks = df.sparkSession.sparkContext.broadcast(load_ranks(rank_path))
-    key = (rank_path, pattern)
+    ranks = load_ranks(rank_path)
+    words = fold_head(narrow(df.toDF(*map(str, range(len(df.columns)))), text=str(at)), ranks, pattern, head)
+    shared = df.sparkSession.sparkContext.broadcast((ranks, words))
+    key = uuid.uuid4().hex
 
     def make(batches: Iterator[pa.RecordBatch]):
         encoder = _encoders.get(key)
         if encoder is None:
             _encoders.clear()
-            encoder = _encoders[key] = Encoder(ranks.value, pattern)
+            tokens, table = shared.value
+            known = {}
+            for token, rank in tokens.items():
+                try:
+                    known[token.decode()] = pack([rank])
+                except UnicodeDecodeError:  # part of a character: never a word
+                    continue
+            for chunk in table.to_batches(max_chunksize=10_000):
+                known.update((w.decode("utf-8", "surrogatepass"), pack(ids)) for w, ids in zip(chunk.column(0).to_pylist(), chunk.column(1).to_pylist()))
+            encoder = _encoders[key] = Encoder(tokens, pattern, known)
         for batch in batches:
             for part in slices(batch):
-                raw = [encoder.encode(t) for t in part.column(at).to_pylist()]
-                size = np.array([len(r) // 4 for r in raw], dtype=np.int64)
-                ids = np.frombuffer(b"".join(raw), dtype="<u4").astype(np.int32)
-                ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
-                yield part, [pa.array(size), pa.ListArray.from_arrays(pa.array(ends), pa.array(ids)), pa.array(raw, pa.binary())]
-
-    return append_columns(df, make, FIELDS)
+                raw, others = zip(*(encoder.encode(t) for t in part.column(at).to_pylist()))
+                ends = np.concatenate([[0], np.cumsum([len(r) // 4 for r in raw])]).astype(np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(raw), dtype="<i4")))
+                ends = np.concatenate([[0], np.cumsum([len(o) for o in others])]).astype(np.int32)
+                yield part, [ids, pa.ListArray.from_arrays(pa.array(ends), word_bytes([w for o in others for w in o]))]
+
+    new = {f.name for f in FIELDS}
+    ints = T.ArrayType(T.IntegerType())
+    cut = append_columns(df, make, [T.StructField("bpe ids", ints), T.StructField("bpe words", T.ArrayType(ints))])
+    names = cut.columns
+    cut = cut.toDF(*(f"c{i}" for i in range(len(names))))
+    keep = [F.col(f"c{i}").alias(n) for i, n in enumerate(names[:-2]) if n.lower() not in new]
+    found, others = F.col(f"c{len(names) - 2}"), F.col(f"c{len(names) - 1}")
+    folded = F.when(F.size(others) > 0, let(rank_literal(ranks), lambda t: F.transform(others, lambda w: encode_word(w, t))))
+    placed = let(folded, lambda words: F.flatten(F.transform(found, lambda i: F.when(i >= 0, F.array(i)).otherwise(F.get(words, -1 - i)))))
+    whole = cut.select(*keep, F.when(F.size(others) == 0, found).otherwise(placed).alias("ids"))
+    return whole.select(*whole.columns[:-1], F.size("ids").cast("bigint").alias("n_tokens"), "ids", ids_le(F.col("ids"), max(ranks.values(), default=-1)).alias("ids_le"))
+
+
+def ids_le(ids: Column, largest: int) -> Column:
+    """Ids up to ``largest`` as little-endian unsigned 32-bit integers."""
+    table = F.split(F.lit(",".join(i.to_bytes(4, "little").hex() for i in range(largest + 1))), ",")
+    return let(table, lambda t: F.unhex(F.array_join(F.transform(ids, lambda i: F.get(t, i)), "")))
 
 
 def decode_ids(ids: Column, rank_path: str) -> Column:

@@ -93,33 +93,36 @@ def reference_encoder():
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.load_ranks(RANKS), special_tokens={})
 
 
-def test_byte_bpe(docs_of, reference_encoder):
-    got = byte_bpe.encode_texts(docs_of(ROWS), RANKS, public_tokenizers.PATTERN).withColumn("back", byte_bpe.decode_ids(F.col("ids"), RANKS)).collect()
-    assert len(got) == len(ROWS)
+@pytest.mark.parametrize("head", [byte_bpe.HEAD, 3, 0])
+def test_byte_bpe(docs_of, reference_encoder, head):
+    rows = [*ROWS, (30, "xqzjv " + "q" * 300 + " xqzjv-unfoldable zzyzx"), (31, "zzyzx"), (32, "zzyzx zzyzx")]
+    got = byte_bpe.encode_texts(docs_of(rows), RANKS, public_tokenizers.PATTERN, head=head).withColumn("back", byte_bpe.decode_ids(F.col("ids"), RANKS)).collect()
+    assert len(got) == len(rows) and "KEPT" in got[0].asDict()
     for r in got:
         assert r.ids == reference_encoder.encode_ordinary(r.text or "") and r.n_tokens == len(r.ids)
         assert bytes(r.back) == (r.text or "").encode() and np.frombuffer(r.ids_le, "<u4").tolist() == r.ids
 
 
 def test_encoder_on_random_texts(reference_encoder):
-    encoder = byte_bpe.Encoder(byte_bpe.load_ranks(RANKS), public_tokenizers.PATTERN)
+    ranks = byte_bpe.load_ranks(RANKS)
+    encoder = byte_bpe.Encoder(ranks, public_tokenizers.PATTERN, {" the": byte_bpe.pack([ranks[b" the"]])})
     rng = random.Random(2)
     signs = [*"ab cde'  \n\t\r\x1c\x85\xa0é中😀12٣.,!<|", " the", "'ll ", "\n\n", " "]
-    for _ in range(1500):
-        text = "".join(rng.choice(signs) for _ in range(rng.randint(0, 40)))
-        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == reference_encoder.encode_ordinary(text)
-    for text in ("a" * 1500, " " * 900 + "x", "ab" * 700, "中" * 400):
-        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == reference_encoder.encode_ordinary(text)
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 40))) for _ in range(1500)]
+    for text in [*texts, "a" * 1500, " " * 900 + "x", "ab" * 700, "中" * 400]:
+        ids, others = encoder.encode(text)
+        ids = [x for i in np.frombuffer(ids, "<i4").tolist() for x in ([i] if i >= 0 else byte_bpe.merge_long(others[-1 - i], ranks))]
+        assert ids == reference_encoder.encode_ordinary(text) and len(set(others)) == len(others)
 
 
 def test_fold_of_higher_order_functions(spark, reference_encoder):
     ranks = byte_bpe.load_ranks(RANKS)
-    words = ["a", " the", "unbelievable", "étranger", "zzzzzzzz", "12345", "😀!"]
-    df = spark.createDataFrame([(w, w.encode().hex()) for w in words], "w string, h string")
-    table = byte_bpe.rank_literal(ranks)
-    got = df.select("w", byte_bpe.let(table, lambda t: byte_bpe.encode_word(F.col("h"), t)).alias("ids")).collect()
+    rng = random.Random(4)
+    words = ["a", " the", "unbelievable", "étranger", "zzzzzzzz", "12345", "😀!", "ab" * 90, *("".join(rng.choice("aeinrst éß中") for _ in range(rng.randint(1, 25))) for _ in range(300))]
+    df = spark.createDataFrame([(w, list(w.encode())) for w in words], "w string, b array<int>")
+    got = df.select("w", byte_bpe.let(byte_bpe.rank_literal(ranks), lambda t: byte_bpe.encode_word(F.col("b"), t)).alias("ids")).collect()
     for r in got:
-        assert r.ids == byte_bpe.merge_word(r.w.encode(), ranks) == byte_bpe.merge_long(r.w.encode(), ranks)
+        assert r.ids == reference_encoder._encode_single_piece(r.w.encode()) == byte_bpe.merge_long(r.w.encode(), ranks)
 
 
 def test_lm_scores_both_sides(docs_of):
