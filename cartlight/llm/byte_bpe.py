@@ -4,8 +4,8 @@ Spark higher-order functions fold the merges over byte arrays, looking ranks
 up in a literal rank map (``encode_word``). ``encode_texts`` folds every word
 that it can not look up:
 
-1. all words of all texts are counted, and the most frequent ones (at most
-   ``HEAD``) are folded once; they and their ids are broadcast;
+1. the texts that hold a word are counted for all words, and the most frequent
+   words (at most ``HEAD``) are folded once; they and their ids are broadcast;
 2. a worker cuts each text into words, writes the ids of those and leaves a
    place for each other one, listing a text's distinct other words;
 3. the fold runs over these lists, and the ids go to their places.
@@ -240,7 +240,7 @@ class Encoder:
 
 
 def count_words(docs: DataFrame, pattern: str, tokens: set[bytes]) -> DataFrame:
-    """(word binary, n) of the words that are no token and not above FOLD_BYTES; ``docs`` has a column text.
+    """(word binary, n): texts by word, for words that are no token and not above FOLD_BYTES; ``docs`` has a column text.
 
     The counts only choose the head: where runs of white space make words differ from those of the whole text, no id changes.
     """
@@ -261,7 +261,7 @@ def count_words(docs: DataFrame, pattern: str, tokens: set[bytes]) -> DataFrame:
         for batch in batches:
             for part in slices(batch):
                 for text in part.column(0).to_pylist():
-                    parts.update((text or "").split(" "))
+                    parts.update(set((text or "").split(" ")))
                 if len(parts) > FLUSH:
                     yield out()
                     parts.clear()
