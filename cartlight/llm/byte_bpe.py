@@ -39,10 +39,11 @@ from pyspark.sql import types as T
 from cartlight.llm.common import append_columns, narrow, position, slices
 from cartlight.session import materialize
 
-#: Buckets of the rank map (a prime): a lookup scans one bucket.
-BUCKETS = 65_521
+#: Places of the two tables of the rank map: primes that are not near a power of two, which would put ids of like sums together.
+PLACES = (196_613, 98_317)
 #: More than any token id.
-SPAN = 1 << 20
+SPAN_BITS = 20
+SPAN = 1 << SPAN_BITS
 #: Most frequent words that are folded once and broadcast.
 HEAD = 600_000
 #: Word counts up to here are told apart exactly when the head is chosen.
@@ -54,6 +55,8 @@ CACHE = 400_000
 #: Bytes of a word up to which merges are folded over an array; beyond, a heap avoids work that grows with the square.
 FOLD_BYTES = 200
 NONE = 2**31 - 1
+#: A slice's length that takes all that follows.
+REST = 1 << 30
 #: A single space between two characters that are not white space.
 INNER_SPACE = re.compile(r"(?<=\S) (?=\S)")
 FIELDS = [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("ids_le", T.BinaryType())]
@@ -68,19 +71,45 @@ def load_ranks(path: str) -> dict[bytes, int]:
 # --- the fold -----------------------------------------------------------------------------------
 
 
+def two_tables(packed: dict[int, int]) -> tuple[list[int], list[int]]:
+    """Every key in the place ``key % size`` of one of two tables, so that a lookup reads two places at most; free places hold -1."""
+    tables = [[-1] * n for n in PLACES]
+    for key in packed:
+        side = 0 if tables[0][key % PLACES[0]] < 0 else 1
+        for _ in range(500):
+            at = key % PLACES[side]
+            key, tables[side][at] = tables[side][at], key
+            if key < 0:
+                break
+            side = 1 - side
+        else:
+            raise ValueError("the rank map needs more PLACES")
+    first, second = ([k if k < 0 else k * SPAN + packed[k] for k in table] for table in tables)
+    return first, second
+
+
 def rank_literal(ranks: dict[bytes, int]) -> Column:
-    """The rank map as one literal: ids of single bytes, and by bucket the pairs of ids and the ids of their tokens."""
-    pairs: list[list[int]] = [[] for _ in range(BUCKETS)]
-    joined: list[list[int]] = [[] for _ in range(BUCKETS)]
+    """The rank map as one literal of flat arrays.
+
+    ids of single bytes, ranks of two bytes, and for pairs of ids two tables of
+    (left id, right id, id of their token) packed into one number.
+    """
+    packed = {}
     for token, rank in ranks.items():
         for cut in range(1, len(token)):
             left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
             if left is not None and right is not None:
-                pair = left * SPAN + right
-                pairs[pair % BUCKETS].append(pair)
-                joined[pair % BUCKETS].append(rank)
-    table = {"bytes": [ranks.get(bytes([b]), -1) for b in range(256)], "pairs": pairs, "joined": joined}
-    return F.from_json(F.lit(json.dumps(table, separators=(",", ":"))), "bytes array<int>, pairs array<array<bigint>>, joined array<array<int>>")
+                packed[left * SPAN + right] = rank
+    first, second = two_tables(packed)
+    single = [bytes([b]) for b in range(256)]
+    table = {
+        "bytes": [ranks.get(b, -1) for b in single],
+        "twos": [ranks.get(a + b, NONE) for a in single for b in single],
+        "first": first,
+        "second": second,
+    }
+    kinds = "bytes array<int>, twos array<int>, first array<bigint>, second array<bigint>"
+    return F.from_json(F.lit(json.dumps(table, separators=(",", ":"))), kinds)
 
 
 def let(value: Column, use) -> Column:
@@ -91,39 +120,43 @@ def let(value: Column, use) -> Column:
 def encode_word(word: Column, table: Column) -> Column:
     """Token ids of a word, an array of its bytes as integers from 0 to 255.
 
-    The state is the array of ids and the array of the ids that neighbours
-    would join to. An id is a rank, so every step joins the pair of the
-    lowest one, the leftmost of equals.
+    The state is an array of two: the ids between two ends that join nothing,
+    and the ids that neighbours would join to. An id is a rank, so every step
+    joins the pair of the lowest one, the leftmost of equals.
     """
+    end = F.lit(SPAN - 1)
 
     def joined(left: Column, right: Column) -> Column:
-        pair = left * F.lit(SPAN).cast("bigint") + right
-        at = (pair % BUCKETS).cast("int")
-        return F.coalesce(F.get(F.get(table["joined"], at), F.array_position(F.get(table["pairs"], at), pair).cast("int") - 1), F.lit(NONE))
-
-    none = F.array().cast("array<int>")
-
-    def start(p: Column) -> Column:
-        pairs = F.transform(F.slice(p, 1, F.size(p) - 1), lambda left, i: joined(left, F.get(p, i + 1)))
-        return F.struct(p.alias("p"), F.when(F.size(p) > 1, pairs).otherwise(none).alias("r"))
-
-    def join(state: Column, i: Column, new: Column) -> Column:
-        """Pieces i and i + 1 (from 1) become ``new``."""
-        p, r = state["p"], state["r"]
-        n = F.size(p)
-        left = F.when(i > 1, F.array(joined(F.get(p, i - 2), new))).otherwise(none)
-        right = F.when(i + 1 < n, F.array(joined(new, F.get(p, i + 1)))).otherwise(none)
-        return F.struct(
-            F.concat(F.slice(p, 1, i - 1), F.array(new), F.slice(p, i + 2, n)).alias("p"),
-            F.concat(F.slice(r, 1, F.greatest(i - 2, F.lit(0))), left, right, F.slice(r, i + 2, n)).alias("r"),
-        )
-
-    def step(state: Column) -> Column:
-        low = F.array_min(state["r"])
-        return let(low, lambda low: F.when(low < NONE, let(F.array_position(state["r"], low).cast("int"), lambda i: join(state, i, low))).otherwise(state))
-
-    first = F.transform(word, lambda b: F.get(table["bytes"], b))
-    return let(first, lambda p: F.when(F.size(p) < 2, p).otherwise(F.aggregate(F.slice(p, 1, F.size(p) - 1), start(p), lambda state, _: step(state), lambda state: state["p"])))
+        def found(pair: Column) -> Column:
+            first = F.get(table["first"], (pair % PLACES[0]).cast("int"))
+            second = F.get(table["second"], (pair % PLACES[1]).cast("int"))
+            hit = F.when(F.shiftright(first, SPAN_BITS) == pair, first).when(F.shiftright(second, SPAN_BITS) == pair, second)
+            return F.coalesce(hit.bitwiseAND(F.lit(SPAN - 1).cast("bigint")).cast("int"), F.lit(NONE))
+
+        return let(F.shiftleft(left.cast("bigint"), SPAN_BITS).bitwiseOR(right.cast("bigint")), found)
+
+    def start(w: Column) -> Column:
+        none = F.array(F.lit(NONE))
+        twos = F.transform(F.slice(w, 1, F.size(w) - 1), lambda a, i: F.get(table["twos"], a * 256 + F.get(w, i + 1)))
+        ids = F.transform(w, lambda b: F.get(table["bytes"], b))
+        return F.array(F.flatten(F.array(F.array(end), ids, F.array(end))), F.flatten(F.array(none, twos, none)))
+
+    def join(state: Column, i: Column) -> Column:
+        """Pieces i and i + 1 (from 1) become one."""
+        p, r = F.get(state, 0), F.get(state, 1)
+        new = F.get(r, i - 1)
+        beside = F.array(joined(F.get(p, i - 2), new), joined(new, F.get(p, i + 1)))
+        parts = F.array(F.slice(p, 1, i - 1), F.array(new), F.slice(p, i + 2, REST))
+        return F.array(F.flatten(parts), F.flatten(F.array(F.slice(r, 1, i - 2), beside, F.slice(r, i + 2, REST))))
+
+    def step(state: Column, _: Column) -> Column:
+        r = F.get(state, 1)
+        lowest = F.array_position(r, F.array_min(r)).cast("int")
+        return let(lowest, lambda i: F.when(F.get(r, i - 1) < NONE, join(state, i)).otherwise(state))
+
+    folded = F.aggregate(F.slice(word, 1, F.size(word) - 1), start(word), step, lambda state: F.get(state, 0))
+    inner = let(folded, lambda p: F.slice(p, 2, F.size(p) - 2))
+    return F.when(F.size(word) < 2, F.transform(word, lambda b: F.get(table["bytes"], b))).otherwise(inner)
 
 
 # --- long words ---------------------------------------------------------------------------------
@@ -283,7 +316,7 @@ def fold_head(docs: DataFrame, ranks: dict[bytes, int], pattern: str, most: int)
         least = row["level"]
     if least is None:
         return pa.table({"word": pa.array([], pa.binary()), "ids": pa.array([], pa.list_(pa.int32()))})
-    byte = F.transform(F.regexp_extract_all(F.hex("word"), F.lit("(..)"), F.lit(1)), lambda h: F.conv(h, 16, 10).cast("int"))
+    byte = F.transform(F.split(F.decode("word", "ISO-8859-1"), ""), F.ascii)
     return counts.filter(level >= least).select("word", let(rank_literal(ranks), lambda t: encode_word(byte, t)).alias("ids")).toArrow()
 
 
