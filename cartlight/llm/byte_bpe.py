@@ -39,8 +39,6 @@ from pyspark.sql import types as T
 from cartlight.llm.common import append_columns, narrow, position, slices
 from cartlight.session import materialize
 
-#: Places of the two tables of the rank map: primes that are not near a power of two, which would put ids of like sums together.
-PLACES = (196_613, 98_317)
 #: More than any token id.
 SPAN_BITS = 20
 SPAN = 1 << SPAN_BITS
@@ -73,17 +71,24 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 def two_tables(packed: dict[int, int]) -> tuple[list[int], list[int]]:
     """Every key in the place ``key % size`` of one of two tables, so that a lookup reads two places at most; free places hold -1."""
-    tables = [[-1] * n for n in PLACES]
-    for key in packed:
-        side = 0 if tables[0][key % PLACES[0]] < 0 else 1
-        for _ in range(500):
-            at = key % PLACES[side]
-            key, tables[side][at] = tables[side][at], key
-            if key < 0:
-                break
-            side = 1 - side
-        else:
-            raise ValueError("the rank map needs more PLACES")
+
+    def place(sizes: tuple[int, int]) -> list[list[int]] | None:
+        tables = [[-1] * n for n in sizes]
+        for key in packed:
+            side = 0 if tables[0][key % sizes[0]] < 0 else 1
+            for _ in range(500):
+                at = key % sizes[side]
+                key, tables[side][at] = tables[side][at], key
+                if key < 0:
+                    break
+                side = 1 - side
+            else:
+                return None
+        return tables
+
+    size = len(packed) + 1
+    while (tables := place((2 * size + 1, size | 1))) is None:
+        size += size // 8 + 1
     first, second = ([k if k < 0 else k * SPAN + packed[k] for k in table] for table in tables)
     return first, second
 
@@ -128,8 +133,8 @@ def encode_word(word: Column, table: Column) -> Column:
 
     def joined(left: Column, right: Column) -> Column:
         def found(pair: Column) -> Column:
-            first = F.get(table["first"], (pair % PLACES[0]).cast("int"))
-            second = F.get(table["second"], (pair % PLACES[1]).cast("int"))
+            first = F.get(table["first"], (pair % F.size(table["first"])).cast("int"))
+            second = F.get(table["second"], (pair % F.size(table["second"])).cast("int"))
             hit = F.when(F.shiftright(first, SPAN_BITS) == pair, first).when(F.shiftright(second, SPAN_BITS) == pair, second)
             return F.coalesce(hit.bitwiseAND(F.lit(SPAN - 1).cast("bigint")).cast("int"), F.lit(NONE))
 
