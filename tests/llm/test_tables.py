@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from cartlight.llm import chat_format, mixing, quality_rules, queries, simhash_golay, token_files, topk_search
+from cartlight.llm import chat_format, mixing, near_copies, quality_rules, queries, simhash_golay, token_files, topk_search
 from cartlight.llm.components import connected_components
 from cartlight.llm.queries import WORD_TOKENIZER
 from tests.llm.conftest import ROWS
@@ -209,3 +209,56 @@ def test_pipeline_stages(spark, docs_of):
     empty = docs.limit(0)
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SF).count() == 0, name
+
+
+def jaccard(a, b, size=5):
+    sets = [{tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} for w in (a.lower().split(), b.lower().split())]
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def test_near_copies_by_jaccard(spark):
+    """Copies of 0.8 to 0.95 leave, texts below 0.8 stay; a chain is one group."""
+    rng = random.Random(9)
+    docs, group = [], 0
+    for i in range(60):
+        words = [f"w{rng.randint(0, 9999)}" for _ in range(200)]
+        for _ in range(3):
+            docs.append((len(docs), " ".join(words)))
+            for _ in range(rng.randint(1, 6)):
+                words[rng.randrange(200)] = f"new{rng.randint(0, 9999)}"
+    names = list(range(len(docs)))
+    for i, (_, x) in enumerate(docs):
+        for j in range(i):
+            if i // 3 == j // 3 and jaccard(x, docs[j][1]) >= 0.8:
+                names = [names[j] if n == names[i] else n for n in names]
+    table = spark.createDataFrame([(i, t, None, None, None) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id for r in corpus_pipeline.dedup_stage(spark, table, SF).collect()}
+    expected = {min(i for i, m in enumerate(names) if m == n) for n in names}
+    assert len(expected) < 140 and got == expected
+    assert corpus_pipeline.dedup_stage(spark, table.limit(0), SF).count() == 0
+
+
+def test_near_copies_of_documents(spark):
+    """The stage after the two before it, against all pairs."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    before = corpus_pipeline.rules_stage(spark, corpus_pipeline.classifier_stage(spark, docs, SF), SF).cache()
+    texts = sorted((r.doc_id, r.text) for r in before.collect())
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in (t.encode().lower().split() for _, t in texts)]
+    names = list(range(len(texts)))
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if names[i] != names[j] and len(x & sets[j]) >= 0.8 * len(x | sets[j]):
+                names = [names[j] if n == names[i] else n for n in names]
+    expected = {min(d for (d, _), m in zip(texts, names) if m == n) for n in set(names)}
+    assert {r.doc_id for r in corpus_pipeline.dedup_stage(spark, before, SF).collect()} == expected
+
+
+def test_near_copies_without_a_common_first(spark, monkeypatch):
+    """Members of one bucket that are unlike its first are compared with one another."""
+    monkeypatch.setattr(near_copies, "keys_of", lambda least: (np.arange(len(least)), np.zeros(len(least), dtype=np.int64)))
+    texts = [" ".join(f"{c}{i}" for i in range(100)) + end for c in "abcdef" for end in ("", " x", " x y")]
+    rows = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
+    groups = {}
+    for r in near_copies.near_copies(rows).collect():
+        groups.setdefault(r.component, set()).add(r.row)
+    assert sorted(map(sorted, groups.values())) == [[3 * i, 3 * i + 1, 3 * i + 2] for i in range(6)]
