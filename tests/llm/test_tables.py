@@ -262,3 +262,12 @@ def test_near_copies_without_a_common_first(spark, monkeypatch):
     for r in near_copies.near_copies(rows).collect():
         groups.setdefault(r.component, set()).add(r.row)
     assert sorted(map(sorted, groups.values())) == [[3 * i, 3 * i + 1, 3 * i + 2] for i in range(6)]
+
+
+def test_clashing_ids_lose_no_text(spark):
+    """Text b under id 2 is in the group of id 1; the other text of id 2 stays, as does that of a clashing unique id."""
+    text = lambda c: " ".join(f"{c}{i}" for i in range(60))
+    rows = [(1, text("b")), (2, text("b")), (2, text("z")), (3, text("x")), (3, text("y")), (3, text("y")), (None, text("n")), (None, text("y"))]
+    table = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r.doc_id or 0, r.text[0]) for r in corpus_pipeline.dedup_stage(spark, table, SF).collect()))
+    assert got == [(0, "n"), (1, "b"), (2, "z"), (3, "x"), (3, "y")]
