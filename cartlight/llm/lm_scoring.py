@@ -6,6 +6,11 @@ tanh, and a two-level softmax gives P(class) * P(word | class). It is trained
 in numpy on masked words of all documents: every partition trains a copy on
 its own documents and the copies are averaged, weighted by their words. A
 document's score is the sum of the log-probabilities of all its words.
+
+The last class stands for every word beyond the vocabulary. Such a word is
+predicted as P(last class | context) * P(word | beyond the vocabulary), the
+second factor spelt byte by byte, so that no two words share a probability by
+falling into one bucket and unseen words have a defined one.
 """
 
 from __future__ import annotations
@@ -28,8 +33,8 @@ from cartlight.session import materialize
 CLASSES = 64
 PER_CLASS = 64
 SIZE = CLASSES * PER_CLASS
-#: Words beyond the vocabulary fall into so many hash buckets, which are predicted like words.
-RARE = 64
+#: Words beyond the vocabulary fall into so many hash buckets as context; they are the last class as targets.
+RARE = PER_CLASS
 PAD = SIZE
 WIDTH = 24
 SHIFTS = (-2, -1, 1, 2)
@@ -40,6 +45,12 @@ CHUNK = 1 << 15
 #: Copies of the parameters added up in one task; slices of a copy.
 FAN_IN = 32
 PIECES = 16
+#: Bytes and the end of a word; slots that pairs of preceding bytes are hashed to; weight of the shorter context.
+SYMBOLS = 257
+SLOTS = 4096
+BACKOFF = 8.0
+#: Spelt words that a worker remembers before it starts anew.
+CACHE = 1 << 19
 
 
 def split_words(text: str | None) -> list[bytes]:
@@ -67,13 +78,79 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def vocabulary(docs: DataFrame) -> list[bytes]:
-    """The most frequent words, at most SIZE - RARE of them; equal counts by word."""
-    best = count_words(docs).orderBy(F.desc("n"), "word").limit(SIZE - RARE)
+def vocabulary(counts: DataFrame) -> list[bytes]:
+    """The most frequent words, at most SIZE - RARE of them; equal counts by word. ``counts`` is (word, n)."""
+    best = counts.orderBy(F.desc("n"), "word").limit(SIZE - RARE)
     rows = materialize(best, "lm-vocabulary").collect()  # written first, so that partitions are not merged in the driver
     return [bytes(r["word"]) for r in sorted(rows, key=lambda r: (-r["n"], bytes(r["word"])))]
 
 
+def letters(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols of all words with their ends, the symbol before each, the slot of the two before, and the ends' places."""
+    size = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1
+    ends = np.cumsum(size) - 1
+    symbols = np.frombuffer(b"\0".join(words) + b"\0", dtype=np.uint8).astype(np.int64)
+    symbols[ends] = SYMBOLS - 1
+    before = np.concatenate([[SYMBOLS - 1], symbols[:-1]])
+    second = np.where(before == SYMBOLS - 1, SYMBOLS - 1, np.concatenate([[SYMBOLS - 1], before[:-1]]))
+    return symbols, before, ((second * SYMBOLS + before) * 2654435761 >> 12) % SLOTS, ends
+
+
+class Spelling:
+    """P(word | beyond the vocabulary) by bytes, each from the two before it; interpolated with shorter contexts."""
+
+    def __init__(self, pairs: np.ndarray, triples: np.ndarray, known: list[bytes]):
+        self.pairs, self.triples = pairs, triples  # counts (SYMBOLS, SYMBOLS) and (SLOTS, SYMBOLS)
+        self._short = (pairs + BACKOFF / SYMBOLS) / (pairs.sum(axis=1, keepdims=True) + BACKOFF)
+        self._sums = triples.sum(axis=1)
+        self._rest, self._memo = 0.0, {}
+        taken = sum(np.exp(self._spell(known)).tolist())  # words of the vocabulary are never spelt
+        self._rest = float(np.log(max(1 - taken, 1e-12)))
+
+    def _spell(self, words: list[bytes]) -> np.ndarray:
+        if not words:
+            return np.zeros(0)
+        symbols, before, slot, ends = letters(words)
+        p = (self.triples[slot, symbols] + BACKOFF * self._short[before, symbols]) / (self._sums[slot] + BACKOFF)
+        total = np.cumsum(np.log(p))[ends]
+        return np.diff(total, prepend=0.0) - self._rest
+
+    def log_probabilities(self, words: list[bytes]) -> np.ndarray:
+        """One number a word; ``words`` are all beyond the vocabulary."""
+        if len(self._memo) > CACHE:
+            self._memo.clear()
+        new = [w for w in set(words) if w not in self._memo]
+        self._memo.update(zip(new, self._spell(new).tolist()))
+        return np.fromiter(map(self._memo.__getitem__, words), dtype=np.float64, count=len(words))
+
+
+def spelling(counts: DataFrame, known: list[bytes]) -> Spelling:
+    """Counts of symbols over all occurrences of all words beyond the vocabulary; two tables of fixed size are collected."""
+    cells = (SYMBOLS + SLOTS) * SYMBOLS
+    shared = counts.sparkSession.sparkContext.broadcast(frozenset(known))
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        total = np.zeros(cells)
+        for batch in batches:
+            rows = [(w, n) for w, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if w not in shared.value]
+            if rows:
+                words, times = zip(*rows)
+                symbols, before, slot, ends = letters(list(words))
+                weight = np.repeat(np.array(times, dtype=np.float64), np.diff(ends, prepend=-1))
+                for context in (before, SYMBOLS + slot):
+                    total += np.bincount(context * SYMBOLS + symbols, weight, cells)
+        at = np.nonzero(total)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at].astype(np.int64))], ["cell", "n"])
+
+    # one table a task and not one a partition of the shuffle
+    summed = counts.select("word", "n").coalesce(FAN_IN).mapInArrow(run, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
+    rows = materialize(summed, "lm-spelling").toArrow()
+    table = np.zeros(cells)
+    table[np.asarray(rows.column("cell"))] = np.asarray(rows.column("n"))
+    table = table.reshape(-1, SYMBOLS)
+    return Spelling(table[:SYMBOLS], table[SYMBOLS:], known)
+
+
 class Numbers(dict):
     """Word -> id; unknown words go to hash buckets and are not remembered."""
 
@@ -114,9 +191,22 @@ class Network:
         return cls(*out)
 
 
-def log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def softmax(x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Probabilities of each row, and the logarithm of the one at ``at``; ``x`` is overwritten."""
+    lines = np.arange(len(x))
+    x -= x.max(axis=1, keepdims=True)
+    own = x[lines, at]
+    np.exp(x, out=x)
+    total = x.sum(axis=1, keepdims=True)
+    x /= total
+    return x, own - np.log(total[:, 0])
+
+
+def log_softmax_at(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Log-probability at ``at`` of each row; ``x`` is overwritten."""
+    x -= x.max(axis=1, keepdims=True)
+    own = x[np.arange(len(x)), at]
+    return own - np.log(np.exp(x, out=x).sum(axis=1))
 
 
 def stream(texts: list[str | None], numbers: Numbers) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -137,24 +227,24 @@ def hidden(net: Network, flat: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def _groups(classes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Rows of each class that has words of its own, all but the last."""
     order = np.argsort(classes, kind="stable")
     bounds = np.searchsorted(classes[order], np.arange(CLASSES + 1))
-    for c in range(CLASSES):
+    for c in range(CLASSES - 1):
         if bounds[c] < bounds[c + 1]:
             yield c, order[bounds[c] : bounds[c + 1]]
 
 
 def log_probabilities(net: Network, flat: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """log P(word | two before, two after) at the positions."""
+    """log P(word | two before, two after) at the positions; of a word beyond the vocabulary, that it is one."""
     out = np.empty(len(at), dtype=np.float64)
     for start in range(0, len(at), CHUNK):
         some = at[start : start + CHUNK]
         h = hidden(net, flat, some)
         classes, words = np.divmod(flat[some], PER_CLASS)
-        lines = np.arange(len(some))
-        part = log_softmax(h @ net.to_class + net.class_bias)[lines, classes].astype(np.float64)
+        part = log_softmax_at(h @ net.to_class + net.class_bias, classes).astype(np.float64)
         for c, rows in _groups(classes):
-            part[rows] += log_softmax(h[rows] @ net.to_word[c] + net.word_bias[c])[np.arange(len(rows)), words[rows]]
+            part[rows] += log_softmax_at(h[rows] @ net.to_word[c] + net.word_bias[c], words[rows])
         out[start : start + len(some)] = part
     return out
 
@@ -164,7 +254,7 @@ def train_step(net: Network, squares: list[np.ndarray], flat: np.ndarray, at: np
     n = np.float32(len(at))
     h = hidden(net, flat, at)
     classes, words = np.divmod(flat[at], PER_CLASS)
-    d_class = np.exp(log_softmax(h @ net.to_class + net.class_bias))
+    d_class = softmax(h @ net.to_class + net.class_bias, classes)[0]
     d_class[np.arange(len(at)), classes] -= 1
     d_class /= n
     gradients = [np.zeros_like(p) for p in net.parts()]
@@ -172,7 +262,7 @@ def train_step(net: Network, squares: list[np.ndarray], flat: np.ndarray, at: np
     gradients[2], gradients[3] = h.T @ d_class, d_class.sum(axis=0)
     for c, rows in _groups(classes):
         own = h[rows]
-        d_word = np.exp(log_softmax(own @ net.to_word[c] + net.word_bias[c]))
+        d_word = softmax(own @ net.to_word[c] + net.word_bias[c], words[rows])[0]
         d_word[np.arange(len(rows)), words[rows]] -= 1
         d_word /= n
         gradients[4][c], gradients[5][c] = own.T @ d_word, d_word.sum(axis=0)
@@ -243,21 +333,25 @@ def _train_round(docs: DataFrame, net: Network, words: list[bytes], every: int,
 class Model:
     words: list[bytes]
     net: Network
+    spelling: Spelling
 
 
 def train(df: DataFrame, text_col: str = "text", rounds: int = 2, every: int = 16, seed: int = 5) -> Model:
     """Vocabulary and network from all texts.
 
     A round masks one word in ``every`` of each document (others each round),
-    so the words trained on grow with the corpus. The vocabulary, of fixed
-    size, is all that is collected besides one averaged set of parameters.
+    so the words trained on grow with the corpus. The vocabulary of
+    whole words has a fixed size, all other words are spelt; both and one
+    averaged set of parameters are all that is collected.
     """
     docs = narrow(df, text=text_col)
-    words = vocabulary(docs)
+    counts = materialize(count_words(docs), "lm-counts")
+    words = vocabulary(counts)
+    spelt = spelling(counts, words)
     net = Network.fresh(seed)
     for turn in range(rounds):
         net = _train_round(docs, net, words, every, turn * every // max(1, rounds))
-    return Model(words, net)
+    return Model(words, net, spelt)
 
 
 FIELDS = [T.StructField("n_words", T.LongType()), T.StructField("log_probability", T.DoubleType()), T.StructField("mean_log_probability", T.DoubleType())]
@@ -271,17 +365,20 @@ def score(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     like a result are replaced. Whole texts are scored, in passes of CHUNK words.
     """
     at = position(df, text_col)
-    shared = df.sparkSession.sparkContext.broadcast((model.net.flat(), model.words))
+    shared = df.sparkSession.sparkContext.broadcast((model.net.flat(), model.words, model.spelling.pairs, model.spelling.triples))
 
     def make(batches: Iterator[pa.RecordBatch]):
-        values, known = shared.value
+        values, known, pairs, triples = shared.value
         numbers = Numbers({w: i for i, w in enumerate(known)})
-        net = Network.unflat(values)
+        net, spelt = Network.unflat(values), Spelling(pairs, triples, known)
         for batch in batches:
             for part in slices(batch):
-                flat, where, size = stream(part.column(at).to_pylist(), numbers)
+                texts = part.column(at).to_pylist()
+                flat, where, size = stream(texts, numbers)
                 ends = np.concatenate([[0], np.cumsum(size)])
-                sums = np.concatenate([[0.0], np.cumsum(log_probabilities(net, flat, where))])
+                each = log_probabilities(net, flat, where)
+                each[flat[where] >= SIZE - RARE] += spelt.log_probabilities([w for t in texts for w in split_words(t) if w not in numbers])
+                sums = np.concatenate([[0.0], np.cumsum(each)])
                 total = sums[ends[1:]] - sums[ends[:-1]]
                 mean = pa.array(total / np.maximum(size, 1), mask=size == 0)
                 yield part, [pa.array(size), pa.array(total), mean]

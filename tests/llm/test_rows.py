@@ -150,3 +150,19 @@ def test_digest_columns_of_the_queries(spark):
         assert r.decoded_sha256 == hashlib.sha256(docs[r.doc_id].encode()).hexdigest()
     for r in queries.op1_quality_rules(spark, "/root/testdata/sf0.001").collect():
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == base(docs[r.doc_id])
+
+
+def test_lm_predicts_words_beyond_the_vocabulary(docs_of, monkeypatch):
+    """Every rare word has a probability of its own, unseen ones too, and all of them sum to at most 1."""
+    monkeypatch.setattr(lm_scoring, "vocabulary", lambda counts: [b"red", b"apple"])
+    texts = ["red apple tree red apple trees red apple treat"] * 30
+    model = lm_scoring.train(docs_of(list(enumerate(texts))))
+    probe = ["red apple tree", "red apple qzxjkvwqzxjkvw", "red apple teert"]
+    got = [r.log_probability for r in sorted(lm_scoring.score(docs_of(list(enumerate(probe))), model).collect(), key=lambda r: r.doc_id)]
+    assert got[0] > got[2] > got[1] and got[1] < got[0] - 20
+    short = [bytes([a]) for a in range(256)] + [bytes([a, b]) for a in range(256) for b in range(256)]
+    assert 0 < np.exp(model.spelling.log_probabilities(short)).sum() < 1
+    by_hand = model.spelling.log_probabilities([b"tree"])[0]
+    assert abs(by_hand - model.spelling.log_probabilities([b"xx", b"tree", b"y"])[1]) < 1e-9
+    # "tr" goes on with e always, "re" with e in two of three words, "ee" with the end in one of two
+    assert -3 < by_hand < np.log(1 / 3)
