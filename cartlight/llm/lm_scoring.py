@@ -257,33 +257,41 @@ def train_step(net: Network, squares: list[np.ndarray], flat: np.ndarray, at: np
     d_class = softmax(h @ net.to_class + net.class_bias, classes)[0]
     d_class[np.arange(len(at)), classes] -= 1
     d_class /= n
-    gradients = [np.zeros_like(p) for p in net.parts()]
+    gradients = [np.zeros_like(p) for p in net.parts()[1:]]
     d_h = d_class @ net.to_class.T
-    gradients[2], gradients[3] = h.T @ d_class, d_class.sum(axis=0)
+    gradients[1], gradients[2] = h.T @ d_class, d_class.sum(axis=0)
     for c, rows in _groups(classes):
         own = h[rows]
         d_word = softmax(own @ net.to_word[c] + net.word_bias[c], words[rows])[0]
         d_word[np.arange(len(rows)), words[rows]] -= 1
         d_word /= n
-        gradients[4][c], gradients[5][c] = own.T @ d_word, d_word.sum(axis=0)
+        gradients[3][c], gradients[4][c] = own.T @ d_word, d_word.sum(axis=0)
         d_h[rows] += d_word @ net.to_word[c].T
     d_h *= 1 - h * h
-    gradients[1] = d_h.sum(axis=0)
-    for k, shift in enumerate(SHIFTS):
-        np.add.at(gradients[0][k], flat[at + shift], d_h)
-    for p, s, g in zip(net.parts(), squares, gradients):
+    gradients[0] = d_h.sum(axis=0)
+    for k, shift in enumerate(SHIFTS):  # only the rows of words that occur: the others have gradient 0
+        ids = flat[at + shift]
+        order = np.argsort(ids, kind="stable")
+        ids = ids[order]
+        first = np.nonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))[0]
+        g, ids = np.add.reduceat(d_h[order], first, axis=0), ids[first]
+        own = squares[0][k][ids] + g * g
+        squares[0][k][ids] = own
+        net.embed[k][ids] -= rate * g / (np.sqrt(own) + np.float32(1e-6))
+    for p, s, g in zip(net.parts()[1:], squares[1:], gradients):
         s += g * g
         p -= rate * g / (np.sqrt(s) + np.float32(1e-6))
 
 
 def train_copy(net: Network, batches: Iterator[list[str | None]], numbers: Numbers, every: int, turn: int, batch: int = 4096, rate: float = 0.05) -> int:
-    """Trains on one word in ``every`` of all texts, another choice each turn; gives the number of words used."""
+    """Trains on one word in ``every`` of each text, by its place in the text; another choice each turn. Gives the number of words used."""
     squares = [np.zeros_like(p) for p in net.parts()]
     used = 0
     rng = np.random.default_rng(turn)
     for texts in batches:
-        flat, at, _ = stream(texts, numbers)
-        picked = at[np.arange(turn % every, len(at), every)]
+        flat, at, size = stream(texts, numbers)
+        place = np.arange(len(at)) - np.repeat(np.cumsum(size) - size, size)
+        picked = at[place % every == turn % every]
         picked = picked[rng.permutation(len(picked))]
         for start in range(0, len(picked), batch):
             train_step(net, squares, flat, picked[start : start + batch], rate)
@@ -336,11 +344,11 @@ class Model:
     spelling: Spelling
 
 
-def train(df: DataFrame, text_col: str = "text", rounds: int = 2, every: int = 16, seed: int = 5) -> Model:
+def train(df: DataFrame, text_col: str = "text", rounds: int = 2, every: int = 2, seed: int = 5) -> Model:
     """Vocabulary and network from all texts.
 
-    A round masks one word in ``every`` of each document (others each round),
-    so the words trained on grow with the corpus. The vocabulary of
+    A round masks one word in ``every`` of each document (others each round).
+    With as many rounds as ``every`` each word is a target once. The vocabulary of
     whole words has a fixed size, all other words are spelt; both and one
     averaged set of parameters are all that is collected.
     """

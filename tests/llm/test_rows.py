@@ -166,3 +166,29 @@ def test_lm_predicts_words_beyond_the_vocabulary(docs_of, monkeypatch):
     assert abs(by_hand - model.spelling.log_probabilities([b"xx", b"tree", b"y"])[1]) < 1e-9
     # "tr" goes on with e always, "re" with e in two of three words, "ee" with the end in one of two
     assert -3 < by_hand < np.log(1 / 3)
+
+
+def test_lm_trains_on_every_word(docs_of, monkeypatch):
+    """The parameters of the query make each word of each text a target once, however the texts are dealt to batches."""
+    rounds, seen = [], []
+    texts = ["a", "b c", "d e f g h", "", "i j k", "l " * 37]
+    docs = docs_of(list(enumerate(texts)))
+    with monkeypatch.context() as patch:
+        patch.setattr(lm_scoring, "_train_round", lambda docs, net, words, every, turn: rounds.append((every, turn)) or net)
+        lm_scoring.train(docs)
+    numbers = lm_scoring.Numbers({w: i for i, w in enumerate(sorted({w for t in texts for w in lm_scoring.split_words(t)}))})
+    monkeypatch.setattr(lm_scoring, "train_step", lambda net, squares, flat, at, rate: seen.extend(flat[at].tolist()))
+    for i, (every, turn) in enumerate(rounds):
+        dealt = [texts] if i % 2 else [texts[:3], texts[3:]]
+        lm_scoring.train_copy(lm_scoring.Network.fresh(1), iter(dealt), numbers, every, turn)
+    assert Counter(seen) == Counter(numbers[w] for t in texts for w in lm_scoring.split_words(t))
+
+
+def test_lm_quality_with_the_parameters_of_the_query(docs_of):
+    rng = random.Random(3)
+    draw = lambda n: " ".join(x for _ in range(n) for x in rng.choice([("red", "apple", "tree"), ("blue", "whale", "sea")]))
+    model = lm_scoring.train(docs_of([(i, draw(40)) for i in range(1500)]))
+    held_out = [draw(40) for _ in range(20)]
+    mixed = [" ".join(rng.sample(t.split(), 120)) for t in held_out]
+    got = {r.doc_id: r.mean_log_probability for r in lm_scoring.score(docs_of(list(enumerate(held_out + mixed))), model).collect()}
+    assert all(got[i] > got[20 + i] + 0.3 for i in range(20))
