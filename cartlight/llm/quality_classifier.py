@@ -27,6 +27,8 @@ BITS = 18
 CACHE = 1 << 19
 NOT_LETTERS = re.compile(r"[\W_]+")
 SYMBOLS = "#*$%&|<>"
+#: Words of a text among which distinct ones are counted, so that their share does not fall with its length.
+WINDOW = 200
 _buckets: dict[str, tuple[int, int]] = {}
 
 
@@ -53,7 +55,7 @@ def features(text: str | None) -> list[int]:
         "shouts": text.count("!") / n,
         "capitals": sum(map(str.isupper, words)) / n,
         "repeats": sum(map(eq, words, words[1:])) / n,
-        "variety": 1 - len(set(words)) / n if len(words) < 400 else 0.0,
+        "variety": 1 - sum(len(set(words[i : i + WINDOW])) for i in range(0, len(words), WINDOW)) / n,
         "stops": text.count(".") / n,
     }
     for name, value in shape.items():

@@ -192,3 +192,11 @@ def test_lm_quality_with_the_parameters_of_the_query(docs_of):
     mixed = [" ".join(rng.sample(t.split(), 120)) for t in held_out]
     got = {r.doc_id: r.mean_log_probability for r in lm_scoring.score(docs_of(list(enumerate(held_out + mixed))), model).collect()}
     assert all(got[i] > got[20 + i] + 0.3 for i in range(20))
+
+
+def test_variety_of_long_texts():
+    """Repetitive texts are told from varied ones at any length, and the share does not fall with the length."""
+    shape = lambda words: {k for k in range(11) if quality_classifier.bucket(f"s:variety:{k}") in quality_classifier.features(" ".join(words))}
+    for n in (150, 399, 400, 5000):
+        varied = [f"w{i % 1000}" for i in range(n)]
+        assert shape(varied) == {0} and shape([f"w{i % 20}" for i in range(n)]) == {8 if n == 150 else 9 if n % 200 == 0 else 8}
