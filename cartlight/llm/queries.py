@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartlight.llm import byte_bpe, chat_format, lm_scoring, mixing, quality_classifier, quality_rules, simhash_golay, token_files, topk_search, url_filter
+from cartlight.llm import byte_bpe, chat_format, lm_scoring, mixing, piece_bpe, quality_classifier, quality_rules, simhash_golay, token_files, topk_search, url_filter
 
 #: Target shares of characters: named sources, and all others together.
 TARGETS = {"src0": 0.2, "src1": 0.1, "src2": 0.05, "src3": 0.05}
@@ -14,6 +14,7 @@ OTHER = 0.6
 MIX_SEED = "mix-1"
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -88,7 +89,17 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(manifest, with_ids=False).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_lm_scoring, op3_url_filter, op4_source_mixing, op5_chat_format, op6_quality_classifier, op7_simhash_golay, op8_byte_bpe, op9_topk_search, op10_token_files)}
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = piece_bpe.encode_texts(_table(spark, sf_dir, "documents").select("doc_id", "text"), PIECES)
+    decoded = piece_bpe.decode_ids(encoded.select("doc_id", "n_tokens", "ids"), PIECES)
+    return decoded.select("doc_id", "n_tokens", F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+OPERATORS = (
+    op1_quality_rules, op2_lm_scoring, op3_url_filter, op4_source_mixing, op5_chat_format, op6_quality_classifier, op7_simhash_golay, op8_byte_bpe, op9_topk_search,
+    op10_token_files, op11_sentencepiece,
+)
+QUERIES = {f.__name__: f for f in OPERATORS}
 
 _named = ", ".join(f"('{s}', {w})" for s, w in TARGETS.items())
 
