@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartlight.llm import byte_bpe, chat_format, lm_scoring, mixing, piece_bpe, quality_classifier, quality_rules, simhash_golay, token_files, topk_search, url_filter
+from cartlight.llm import byte_bpe, chat_format, lm_scoring, mixing, piece_bpe, quality_classifier, quality_rules, simhash_golay, spelling, token_files, topk_search, url_filter, whitening
 
 #: Target shares of characters: named sources, and all others together.
 TARGETS = {"src0": 0.2, "src1": 0.1, "src2": 0.05, "src3": 0.05}
@@ -95,9 +95,17 @@ def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", "n_tokens", F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(_table(spark, sf_dir, "documents"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").cast("bigint"))
+
+
 OPERATORS = (
     op1_quality_rules, op2_lm_scoring, op3_url_filter, op4_source_mixing, op5_chat_format, op6_quality_classifier, op7_simhash_golay, op8_byte_bpe, op9_topk_search,
-    op10_token_files, op11_sentencepiece,
+    op10_token_files, op11_sentencepiece, op12_spelling_variants, op13_embedding_whitening,
 )
 QUERIES = {f.__name__: f for f in OPERATORS}
 
