@@ -202,8 +202,7 @@ def test_pipeline_stages(spark, docs_of):
     judged = [(r.doc_id, quality_rules.judge(r.text, quality_rules.LineRules())) for r in before]
     assert sorted((str(i), j[-1]) for i, j in judged if j[6]) == sorted((str(r.doc_id), r.text) for r in after)
     before, after = texts["near-duplicates"]
-    names = components_of([plain_fingerprint(r.text) for r in before])
-    assert len(after) == len(set(names)) and {r.text for r in after} <= {r.text for r in before}
+    assert len(after) == len(set(alike([r.text for r in before]))) and {r.text for r in after} <= {r.text for r in before}
     last = corpus_pipeline.tokens_stage(spark, at, SF).collect()
     assert len(last) == at.count() and all(r.exact for r in last)
     empty = docs.limit(0)
@@ -216,6 +215,17 @@ def jaccard(a, b, size=5):
     return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
 
 
+def alike(texts):
+    """Component of each text by all pairs of 5-word shingle sets with a Jaccard similarity of 0.8 or more."""
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in (t.encode().lower().split() for t in texts)]
+    names = list(range(len(texts)))
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if names[i] != names[j] and len(x & sets[j]) >= 0.8 * len(x | sets[j]):
+                names = [names[j] if n == names[i] else n for n in names]
+    return names
+
+
 def test_near_copies_by_jaccard(spark):
     """Copies of 0.8 to 0.95 leave, texts below 0.8 stay; a chain is one group."""
     rng = random.Random(9)
@@ -243,12 +253,7 @@ def test_near_copies_of_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     before = corpus_pipeline.rules_stage(spark, corpus_pipeline.classifier_stage(spark, docs, SF), SF).cache()
     texts = sorted((r.doc_id, r.text) for r in before.collect())
-    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in (t.encode().lower().split() for _, t in texts)]
-    names = list(range(len(texts)))
-    for i, x in enumerate(sets):
-        for j in range(i):
-            if names[i] != names[j] and len(x & sets[j]) >= 0.8 * len(x | sets[j]):
-                names = [names[j] if n == names[i] else n for n in names]
+    names = alike([t for _, t in texts])
     expected = {min(d for (d, _), m in zip(texts, names) if m == n) for n in set(names)}
     assert {r.doc_id for r in corpus_pipeline.dedup_stage(spark, before, SF).collect()} == expected
 
