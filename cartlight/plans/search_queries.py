@@ -3,7 +3,9 @@
 from pyspark.sql import functions as F
 
 from cartlight.operators import search as C
+from cartlight.operators import search_index as X
 from cartlight.plans.registry import query, view
+from cartlight.session import work_path
 
 view("v_request", """
 select traj_id, step, k, q, page,
@@ -53,6 +55,9 @@ placed as (select *, row_number() over (partition by q, page, shop_id, price, so
 """
 
 
+HIT_RANK = "with i_corpus as (select product_id as id, contents from v_item), i_query as (select distinct q as qid, q from v_request), " + RANK.format(p="i", corpus="i_corpus", queries="i_query")
+
+
 def items(t):
     return t.v_item.withColumn("service", F.split("services", ","))
 
@@ -266,3 +271,49 @@ def overlap_rank(t):
         F.array("role", F.lit("la"), F.lit("the")).alias("vals"))
     out = C.overlap_rank(df, key=["conv_id", "turn"], segments="segments", title="title", values="vals")
     return out.select("conv_id", "turn", "pos", "overlap", "rank")
+
+
+def built_index(t, corpus, parts=3):
+    """An index of ``corpus`` (id, contents), appended to by hash of the id."""
+    path = work_path(t.spark, "search-index")
+    for part in range(parts):
+        X.append_to_index(corpus.filter(F.pmod(F.xxhash64("id"), F.lit(parts)) == part), path, width=512)
+    return path
+
+
+def document_index(t):
+    return built_index(t, t.spread("documents").select(F.col("doc_id").alias("id"), F.col("text").alias("contents")))
+
+
+@query("search_index", "with d_corpus as (select doc_id as id, text as contents from documents), d_query as (select item_id as qid, text as q from benchmark), "
+       + DOC_RANK + " select qid as item_id, id as doc_id, score, rank from d_rank where rank <= 20")
+def search_index(t):
+    out = X.search_index(t.benchmark, document_index(t), k=20, query_id="item_id", query_text="text", prune_above=0)
+    return out.select("item_id", F.col("id").alias("doc_id"), "score", "rank")
+
+
+@query("search_index_products", HIT_RANK + " select qid as q, id as product_id, score, rank from i_rank where rank <= 50")
+def search_index_products(t):
+    path = built_index(t, t.v_item.select(F.col("product_id").alias("id"), "contents"), parts=2)
+    return X.search_index(t.v_request.select("q").distinct(), path, k=50, query_id="q", query_text="q").select("q", F.col("id").alias("product_id"), "score", "rank")
+
+
+# every list of the index once more: lengths and largest counts by term, whatever the appends and blocks
+@query("search_index_terms", """
+with w as (select doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w <> '') as words from documents),
+tf as (select doc_id, len(words) as dl, unnest(words) as term from w), c as (select doc_id, dl, term, count(*) as tf from tf group by 1, 2, 3)
+select term, count(*) as df, sum(tf)::bigint as occurrences, max(tf) as max_tf, min(dl) as min_dl from c group by 1
+""")
+def search_index_terms(t):
+    lists = X.index_postings(t.spark, document_index(t))
+    return lists.groupBy("term").agg(
+        F.sum("n").cast("bigint").alias("df"), F.sum(F.aggregate("tf", F.lit(0).cast("bigint"), lambda a, x: a + x)).alias("occurrences"), F.max("max_tf").alias("max_tf"), F.min("min_dl").alias("min_dl"))
+
+
+@query("search_index_manifest", """
+with w as (select len(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w <> '')) as dl from documents)
+select 3::bigint as appends, count(*) as documents, count(dl) as texts, sum(dl)::bigint as words from w
+""")
+def search_index_manifest(t):
+    return X.index_manifest(t.spark, document_index(t)).agg(
+        F.count("*").alias("appends"), F.sum("documents").alias("documents"), F.sum("texts").alias("texts"), F.sum("words").alias("words"))
