@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cartlight.functions.hashing import hash_hex, hash_index
 from cartlight.functions.ranking import ordered_sum
 from cartlight.functions.text import normalize_space, tokens, word_count
+from cartlight.operators.matching import EQUAL, match_nearest
 from cartlight.session import cut_lineage
 
 # fixed values: required openers of a generated query
@@ -98,32 +99,32 @@ def product_overlap(lines: DataFrame, *, split: str, test: str = "test", query:
     return lines.filter(F.col(split) == test).join(outside, product, "left_semi").select(query, product)
 
 
-def swap_repair(features: DataFrame, lines: DataFrame, *, split: str, stratum: list[str], query: str = "query_id", seed: str = "0") -> DataFrame:
+def swap_repair(
+    features: DataFrame,
+    lines: DataFrame,
+    *,
+    split: str,
+    stratum: list[str],
+    distance: list[tuple[str, str]] | None = None,
+    reserved: tuple[str, ...] = (),
+    query: str = "query_id",
+    seed: str = "0",
+) -> DataFrame:
     """A replacement for every conflicting test query: ``removed, replacement, exact``.
 
-    Candidates are outside the test split and all their products occur once.
-    Conflicts and candidates are numbered by hash inside their stratum and
-    matched on the number; what is left over is matched along the sorted
-    strata, which pairs neighbouring strata. No candidate is used twice.
+    Candidates are outside the test split and the ``reserved`` ones, and all
+    their products occur once. In order of their ids the conflicts take the
+    nearest unused candidate: one of their stratum, else by ``distance`` (see
+    ``match_nearest``; the stratum's columns by default). Conflicts beyond the
+    number of candidates have a null replacement.
     """
     conflicts = product_overlap(lines, split=split, query=query).select(query).distinct()
     counts = lines.groupBy("product_id").agg(F.count("*").alias("_c"))
     shared = lines.join(counts.filter("_c > 1"), "product_id", "left_semi").select(query).distinct()
-    candidates = features.filter(F.col(split) != "test").join(shared, query, "left_anti").select(query, *stratum)
-    wanted = features.join(conflicts, query, "left_semi").select(query, *stratum)
-    a = hash_index(wanted, query, seed, name="_i", by=tuple(stratum))
-    b = hash_index(candidates, query, f"{seed}:c", name="_i", by=tuple(stratum))
-    exact = a.select(*stratum, "_i", F.col(query).alias("removed")).join(
-        b.select(*stratum, "_i", F.col(query).alias("replacement")), [*stratum, "_i"]
-    )
-    exact = cut_lineage(exact.select("removed", "replacement", F.lit(True).alias("exact")))
-    rest_a = wanted.join(exact, F.col(query) == F.col("removed"), "left_anti")
-    rest_b = candidates.join(exact, F.col(query) == F.col("replacement"), "left_anti")
-    order = [*[F.col(c) for c in stratum], F.col(query)]
-    left = ordered_sum(rest_a, order, name="_i").select("_i", F.col(query).alias("removed"))
-    right = ordered_sum(rest_b, order, name="_i").select("_i", F.col(query).alias("replacement"))
-    near = left.join(right, "_i").select("removed", "replacement", F.lit(False).alias("exact"))
-    return exact.unionByName(near)
+    candidates = features.filter(~F.col(split).isin("test", *reserved)).join(shared, query, "left_anti")
+    wanted = features.join(conflicts, query, "left_semi")
+    found = match_nearest(wanted, candidates, key=query, stratum=stratum, distance=distance or [(c, EQUAL) for c in stratum], seed=seed)
+    return found.select(F.col(query).alias("removed"), F.col("match").alias("replacement"), "exact")
 
 
 def assert_partition(parts: DataFrame, universe: DataFrame, *, key: str, split: str, lines: DataFrame | None = None) -> DataFrame:

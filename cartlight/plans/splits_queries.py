@@ -93,12 +93,38 @@ def product_overlap(t):
     return J.product_overlap(t.v_split_line, split="split", query="order_id")
 
 
-@query("swap_repair")
+view("x_swap_base", """
+select doc_id as query_id, lang, source, cast(floor(n_chars / 400) as bigint) as size_class, md5(text) as product_id,
+       case when doc_id % 3 = 0 then 'test' else 'train' end as split
+from documents
+""")
+
+
+# one conflict a step takes its nearest unused candidate
+@query("swap_repair", """
+with recursive conflicts as (
+  select query_id, lang, source, size_class, row_number() over (order by query_id) as i from x_swap_base
+  where split = 'test' and product_id in (select product_id from x_swap_base where split <> 'test')),
+candidates as (
+  select query_id, lang, source, size_class, md5('0:candidate:' || query_id) as h,
+    md5('0:class:' || coalesce(lang, '~') || '|' || coalesce(source, '~') || '|' || coalesce(size_class::varchar, '~')) as ch
+  from x_swap_base where split <> 'test' and product_id is not null and product_id in (select product_id from x_swap_base group by 1 having count(*) = 1)
+  union all select query_id, lang, source, size_class, md5('0:candidate:' || query_id),
+    md5('0:class:' || coalesce(lang, '~') || '|' || coalesce(source, '~') || '|' || coalesce(size_class::varchar, '~')) from x_swap_base where split <> 'test' and product_id is null),
+steps(i, used, exact) as (
+  select 0::bigint, []::bigint[], []::boolean[]
+  union all
+  select s.i + 1, list_append(any_value(s.used), arg_min(c.query_id, row(f.lang is distinct from c.lang or f.source is distinct from c.source,
+      f.lang is distinct from c.lang, abs(f.size_class - c.size_class), f.source is distinct from c.source, c.ch, c.h))),
+    list_append(any_value(s.exact), not min(f.lang is distinct from c.lang or f.source is distinct from c.source))
+  from steps s join conflicts f on f.i = s.i + 1 join candidates c on not list_contains(s.used, c.query_id) group by s.i),
+final as (select used, exact from steps order by i desc limit 1)
+select query_id as removed, used[i] as replacement, exact[i] as exact from conflicts, final
+""")
 def swap_repair(t):
-    # conversations against documents: a turn is a query, its speaker role and length class the product
-    base = t.documents.select(F.col("doc_id").alias("query_id"), F.col("lang"), F.md5("text").alias("product_id"),
-                              F.when(F.col("source").isin("src-0", "src1") | (F.col("n_chars") < 600), "test").otherwise("train").alias("split"))
-    return J.swap_repair(base.select("query_id", "lang", "split"), base.select("query_id", "product_id", "split"), split="split", stratum=["lang"])
+    base = t.x_swap_base
+    return J.swap_repair(base.select("query_id", "lang", "source", "size_class", "split"), base.select("query_id", "product_id", "split"), split="split",
+                         stratum=["lang", "source"], distance=[("lang", "equal"), ("size_class", "number"), ("source", "equal")])
 
 
 @query("assert_partition", """
