@@ -7,14 +7,15 @@ partitioning. Rows are matched by numbers instead of a serial "used" set.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cartlight.functions.hashing import hash_hex, hash_index, hash_int, hash_range, hash_unit
+from cartlight.functions.hashing import hash_index, hash_int, hash_range, hash_unit
 from cartlight.functions.ranking import ordered_sum
 from cartlight.functions.vectors import dot
-from cartlight.session import cut_lineage
+from cartlight.session import cut_lineage, materialize
 
 # fixed values: share of (number of products, voucher type)
 PRODUCT_VOUCHER_WEIGHTS = {
@@ -102,78 +103,73 @@ def assign_openers(df: DataFrame, *, key: str, seed: str = "0") -> DataFrame:
     return expand_quota(df, key=key, name="opener_bucket", weights=OPENER_WEIGHTS, seed=f"{seed}:opener")
 
 
-def _shop_baskets(specs: DataFrame, pool: DataFrame, *, seed: str, whole_shops: bool) -> DataFrame | None:
-    """One round of shop baskets: ``sample_id, pos, product_id, shop_id``.
+def _sizes(specs: DataFrame) -> list[tuple[int, int]]:
+    """(basket size, number of specs), the largest size first; a handful of rows on the driver."""
+    rows = specs.filter("n_products > 0").groupBy("n_products").count().collect()
+    return sorted(((r["n_products"], r["count"]) for r in rows), reverse=True)
 
-    The products of a shop are numbered in hash order and shared out to the
-    basket sizes in proportion to the demand (or the shop serves one size, by
-    hash). Whole baskets and specs of a size then meet on their number.
+
+def _shop_baskets(specs: DataFrame, ranked: DataFrame, *, seed: str) -> tuple[list[DataFrame], DataFrame]:
+    """Baskets of one shop for the specs, size by size, and how many products each shop gave.
+
+    ``ranked``: product_id, shop_id, place in the shop, products of the shop.
+    A shop gives its products in order of their place, so what it has left is
+    one number. After a size either all its specs are served or every shop
+    has fewer products left than a basket of it, and later sizes only take
+    more: no spec stays without products while a shop could serve it.
     """
-    # demand per basket size: a handful of rows on the driver
-    need = (F.count("*") * F.col("n_products")).alias("need")
-    demand = [(r["n_products"], r["need"]) for r in specs.groupBy("n_products").agg(need).orderBy("n_products").collect()]
-    if not demand:
-        return None
-    known = pool.filter("shop_id is not null")
-    sizes = known.groupBy("shop_id").agg(F.count("*").alias("_c"))
-    ranked = hash_index(known, "product_id", f"{seed}:shop", name="_r", by=("shop_id",)).join(sizes, "shop_id")
-    whole, before = sum(n for _, n in demand), 0
-    u = hash_unit(F.col("shop_id"), f"{seed}:size")
-    size = low = high = None
-    for n, count in demand:
-        start, end = before / whole, (before + count) / whole
-        before += count
-        if whole_shops:
-            hit, lo, hi = (u >= start) & (u < end), F.lit(0), F.col("_c")
-        else:
-            lo, hi = F.floor(F.col("_c") * start), F.floor(F.col("_c") * end) if before < whole else F.col("_c")
-            hit = (F.col("_r") > lo) & (F.col("_r") <= hi)
-        size = F.when(hit, n) if size is None else size.when(hit, n)
-        low = F.when(hit, lo) if low is None else low.when(hit, lo)
-        high = F.when(hit, hi) if high is None else high.when(hit, hi)
-    cut = ranked.withColumns({"n_products": size, "_lo": low, "_hi": high}).filter("n_products is not null")
-    cut = cut.withColumn("_basket", F.floor((F.col("_r") - F.col("_lo") - 1) / F.col("n_products")))
-    full = cut.filter((F.col("_basket") + 1) * F.col("n_products") <= F.col("_hi") - F.col("_lo"))
-    full = full.withColumn("_bid", F.concat_ws(":", "shop_id", F.col("n_products").cast("string"), F.col("_basket").cast("string")))
-    numbered = hash_index(full.select("n_products", "_bid").distinct(), "_bid", f"{seed}:basket", name="_i", by=("n_products",))
-    asked = hash_index(specs, "sample_id", f"{seed}:spec", name="_i", by=("n_products",))
-    won = asked.join(numbered, ["n_products", "_i"]).select("sample_id", "_bid")
-    pos = F.pmod(F.col("_r") - F.col("_lo") - 1, F.col("n_products")) + 1
-    return cut_lineage(full.join(won, "_bid").select("sample_id", pos.cast("int").alias("pos"), "product_id", "shop_id"))
-
-
-def assign_products(
-    specs: DataFrame, products: DataFrame, *, excluded: DataFrame | None = None, seed: str = "0", rounds: int = 4
-) -> DataFrame:
+    given = materialize(ranked.select("shop_id").distinct().withColumn("given", F.lit(0).cast("bigint")), "given")
+    chunks = []
+    for n, asked in _sizes(specs):
+        rest = ranked.join(given, "shop_id").withColumn("turn", F.col("place") - F.col("given") - 1).filter("turn >= 0")
+        basket = F.floor(F.col("turn") / n)
+        rest = rest.withColumns({"basket": basket, "pos": (F.col("turn") % n + 1).cast("int")})
+        rest = rest.filter((F.col("basket") + 1) * n <= F.col("products") - F.col("given"))
+        name = F.concat_ws(":", F.col("shop_id").cast("string"), F.col("basket").cast("string"))
+        whole = rest.filter("pos = 1").select("shop_id", "basket", name.alias("basket_id"))
+        # which shops give: as many whole baskets as are asked for, by hash over all of them
+        share = hash_index(whole, "basket_id", f"{seed}:{n}:shop", name="i").filter(F.col("i") <= asked).groupBy("shop_id").agg(F.count("*").alias("baskets"))
+        share = materialize(share, "basket-shares")
+        used = whole.join(share, "shop_id").filter("basket < baskets")
+        numbered = hash_index(used, "basket_id", f"{seed}:{n}:basket", name="i")
+        wanted = hash_index(specs.filter(F.col("n_products") == n), "sample_id", f"{seed}:{n}:spec", name="i")
+        won = wanted.join(numbered, "i").select("sample_id", "shop_id", "basket")
+        chunks.append(materialize(rest.join(won, ["shop_id", "basket"]).select("sample_id", "pos", "product_id", "shop_id"), "baskets"))
+        given = materialize(given.join(share, "shop_id", "left").select("shop_id", (F.col("given") + F.coalesce("baskets", F.lit(0)) * n).alias("given")), "given")
+    return chunks, given
+
+
+def assign_products(specs: DataFrame, products: DataFrame, *, excluded: DataFrame | None = None, seed: str = "0") -> DataFrame:
     """``sample_id, pos, product_id, shop_id``; no product is used twice.
 
-    Shop specs take baskets of one shop, in a few rounds over what is left.
-    Platform specs then take numbered slots of the unused products. A spec that
-    found no basket is absent from the result (``unassigned`` lists them).
+    Shop specs take baskets of one shop, the largest first. Platform specs
+    then take numbered slots of the unused products, the largest first. A spec
+    is absent from the result (``unassigned`` lists them) only if at its turn,
+    and so at the end, no shop holds enough unused products, or, for a
+    platform spec, all shops together do not. Which specs of one size stay
+    without products when these run short is settled by hash.
     """
     pool = products.select("product_id", "shop_id")
     if excluded is not None:
         pool = pool.join(excluded.select("product_id").distinct(), "product_id", "left_anti")
-    waiting = specs.filter("voucher_type = 'shop'").select("sample_id", "n_products")
-    chunks = None
-    for i in range(rounds):
-        got = _shop_baskets(waiting, pool, seed=f"{seed}:{i}", whole_shops=i % 2 == 1)
-        if got is None:
-            break
-        chunks = got if chunks is None else chunks.unionByName(got)
-        pool = pool.join(got, "product_id", "left_anti")
-        waiting = waiting.join(got, "sample_id", "left_anti")
-    wide = specs.filter("voucher_type = 'platform'").select("sample_id", "n_products")
-    starts = ordered_sum(wide, [hash_hex(F.col("sample_id"), f"{seed}:platform"), F.col("sample_id")], weight=F.col("n_products"), name="_end")
-    slots = starts.select("sample_id", "n_products", "_end", F.explode(F.sequence(F.lit(1), F.col("n_products"))).alias("pos"))
-    slots = slots.withColumn("_slot", F.col("_end") - F.col("n_products") + F.col("pos"))
-    free = hash_index(pool, "product_id", f"{seed}:free", name="_slot")
-    taken = slots.join(free, "_slot", "left")
-    # a spec needs all of its slots
-    whole_spec = taken.groupBy("sample_id").agg(F.bool_and(F.col("product_id").isNotNull()).alias("_ok")).filter("_ok")
-    platform = taken.join(whole_spec, "sample_id", "left_semi").select("sample_id", F.col("pos").cast("int").alias("pos"), "product_id", "shop_id")
+    known = pool.filter("shop_id is not null")
+    counts = known.groupBy("shop_id").agg(F.count("*").alias("products"))
+    ranked = materialize(hash_index(known, "product_id", f"{seed}:shop", name="place", by=("shop_id",)).join(counts, "shop_id"), "ranked-products")
+    chunks, given = _shop_baskets(specs.filter("voucher_type = 'shop'"), ranked, seed=seed)
+    unused = ranked.join(given, "shop_id").filter("place > given").select("product_id", "shop_id").unionByName(pool.filter("shop_id is null"))
+    free = materialize(hash_index(unused, "product_id", f"{seed}:free", name="_slot"), "free-products")
+    wide, first, last = specs.filter("voucher_type = 'platform'"), 0, free.count()
+    for n, asked in _sizes(wide):
+        served = min(asked, (last - first) // n)
+        numbered = hash_index(wide.filter(F.col("n_products") == n).select("sample_id"), "sample_id", f"{seed}:platform", name="_i").filter(F.col("_i") <= served)
+        slots = numbered.select("sample_id", "_i", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("pos"))
+        slots = slots.withColumn("_slot", F.lit(first) + (F.col("_i") - 1) * n + F.col("pos"))
+        chunks.append(slots.join(free, "_slot").select("sample_id", F.col("pos").cast("int").alias("pos"), "product_id", "shop_id"))
+        first += served * n
+    if not chunks:
+        return ranked.limit(0).select(F.lit(None).cast(specs.schema["sample_id"].dataType).alias("sample_id"), F.lit(0).alias("pos"), "product_id", "shop_id")
     # the assignment is an artefact that plans and checks read many times
-    return cut_lineage(platform if chunks is None else chunks.unionByName(platform))
+    return materialize(reduce(DataFrame.unionByName, chunks), "assigned-products")
 
 
 def unassigned(specs: DataFrame, lines: DataFrame) -> DataFrame:

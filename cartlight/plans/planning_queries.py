@@ -83,17 +83,56 @@ def assign_products(t):
     return assigned(t)[1]
 
 
-@query("assign_products_check", """
-select 0 as reused, 0 as mixed_shops, 0 as excluded_used, 0 as wrong_size
-""".replace("0 as", "cast(0 as bigint) as"))
+def assignment_check(specs, products, excluded, lines):
+    """Rules that must hold, what is left over, and whether anything left over could still be served."""
+    per = lines.groupBy("sample_id").agg(F.count("*").alias("n"), F.min("shop_id").alias("a"), F.max("shop_id").alias("b")).join(specs, "sample_id")
+    reused = lines.groupBy("product_id").count().filter("count > 1").agg(F.count("*"))
+    used = lines.join(excluded, "product_id", "left_semi").agg(F.count("*"))
+    rest = D.unassigned(specs, lines)
+    free = products.join(excluded, "product_id", "left_anti").join(lines, "product_id", "left_anti")
+    most = free.groupBy("shop_id").count().agg(F.coalesce(F.max("count"), F.lit(0)).alias("most"))
+    stuck = rest.agg(
+        F.count_if((F.col("voucher_type") == "shop") & (F.col("n_products") <= most.scalar())).alias("shop"),
+        F.count_if((F.col("voucher_type") == "platform") & (F.col("n_products") <= free.agg(F.count("*")).scalar())).alias("platform"),
+        F.count("*").alias("rest"))
+    shop = per.filter("voucher_type = 'shop'")
+    return per.agg(
+        reused.scalar().alias("reused"), F.count_if((F.col("voucher_type") == "shop") & (F.col("a") != F.col("b"))).alias("mixed_shops"),
+        used.scalar().alias("excluded_used"), F.count_if(F.col("n") != F.col("n_products")).alias("wrong_size"),
+        stuck.select("shop").scalar().alias("servable_by_a_shop"), stuck.select("platform").scalar().alias("servable_by_all"),
+        (F.count("*") + stuck.select("rest").scalar()).alias("specs"), (F.coalesce(F.sum("n"), F.lit(0)) + free.agg(F.count("*")).scalar()).alias("products"),
+        F.count_if((F.col("voucher_type") == "shop") & (F.col("n_products") == specs.filter("voucher_type = 'shop'").agg(F.max("n_products")).scalar())).alias("largest_served"))
+
+
+# how many of the largest baskets of a shop are served depends on the counts alone
+CHECK = """
+, pool as (select product_id, shop_id from v_product where shop_id is not null and sku_size <> '1'),
+big as (select n_products as n, count(*) as asked from s where voucher_type = 'shop' group by 1 order by 1 desc limit 1),
+room as (select sum(floor(c / n)) as baskets from (select shop_id, count(*) as c from pool group by 1) x, big)
+select 0::bigint as reused, 0::bigint as mixed_shops, 0::bigint as excluded_used, 0::bigint as wrong_size, 0::bigint as servable_by_a_shop, 0::bigint as servable_by_all,
+  (select count(*) from s) as specs, (select count(*) from pool) as products, (select least(asked, baskets)::bigint from big, room) as largest_served
+"""
+
+
+@query("assign_products_check", "with " + quota_sql(PAIRS, "supplier") + """
+r as (select cast(s_suppkey as varchar) as sample_id, row_number() over (order by md5('0:pair:' || s_suppkey), cast(s_suppkey as varchar)) as i from supplier),
+s as (select r.sample_id, cast(split_part(c.v, ':', 1) as int) as n_products, split_part(c.v, ':', 2) as voucher_type from r join c on r.i > c.lo and r.i <= c.hi)
+""" + CHECK)
 def assign_products_check(t):
     specs, lines = assigned(t)
-    bad = t.v_product.filter("sku_size = '1'").select("product_id")
-    per = lines.groupBy("sample_id").agg(F.count("*").alias("n"), F.min("shop_id").alias("a"), F.max("shop_id").alias("b")).join(specs, "sample_id")
-    reused = lines.groupBy("product_id").count().filter("count > 1").agg(F.count("*").alias("n"))
-    used = lines.join(bad, "product_id", "left_semi").agg(F.count("*").alias("n"))
-    return per.agg(reused.scalar().alias("reused"), F.count_if((F.col("voucher_type") == "shop") & (F.col("a") != F.col("b"))).alias("mixed_shops"),
-                   used.scalar().alias("excluded_used"), F.count_if(F.col("n") != F.col("n_products")).alias("wrong_size"))
+    return assignment_check(specs, t.v_product.filter("shop_id is not null"), t.v_product.filter("sku_size = '1'").select("product_id"), lines)
+
+
+# many more specs than products: shops and the whole pool run dry
+view("x_scarce_spec", """
+select cast(o_orderkey as string) as sample_id, cast(1 + o_custkey % 7 as int) as n_products, case when o_custkey % 3 = 0 then 'platform' else 'shop' end as voucher_type from orders
+""")
+
+
+@query("assign_scarce_products_check", "with s as (select * from x_scarce_spec)" + CHECK)
+def assign_scarce_products_check(t):
+    products, excluded = t.v_product.filter("shop_id is not null"), t.v_product.filter("sku_size = '1'").select("product_id")
+    return assignment_check(t.x_scarce_spec, products, excluded, D.assign_products(t.x_scarce_spec, products, excluded=excluded))
 
 
 def bucket(values):

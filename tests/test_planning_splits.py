@@ -54,6 +54,28 @@ def test_assignment_is_disjoint_on_any_partitioning(spark):
         assert want[s][1] == "platform" or len({r.shop_id for r in lines}) == 1
 
 
+@pytest.mark.parametrize("n_specs", [0, 30, 400])
+def test_nobody_waits_while_products_would_do(spark, n_specs):
+    """A hot shop, shops of one product, products without a shop; more specs than products can serve."""
+    specs = spark.createDataFrame([(f"s{i}", 1 + i % 5, "platform" if i % 3 == 0 else "shop") for i in range(n_specs)], "sample_id string, n_products int, voucher_type string")
+    shop = lambda i: "hot" if i % 3 == 0 else None if i % 10 == 1 else f"s{i % 40}"
+    products = spark.createDataFrame([(i, shop(i)) for i in range(300)], "product_id long, shop_id string")
+    rows = D.assign_products(specs, products, excluded=products.filter("product_id < 20")).collect()
+    assert len({r.product_id for r in rows}) == len(rows) and all(r.product_id >= 20 and r.shop_id == shop(r.product_id) for r in rows)
+    want = {r.sample_id: (r.n_products, r.voucher_type) for r in specs.collect()}
+    by = {}
+    for r in rows:
+        by.setdefault(r.sample_id, []).append(r)
+    for s, lines in by.items():
+        assert sorted(r.pos for r in lines) == list(range(1, want[s][0] + 1))
+        assert want[s][1] == "platform" or (len({r.shop_id for r in lines}) == 1 and lines[0].shop_id)
+    free = [shop(i) for i in range(20, 300) if i not in {r.product_id for r in rows}]
+    most = max((free.count(x) for x in set(free) if x), default=0)
+    for s in set(want) - set(by):
+        assert want[s][0] > (len(free) if want[s][1] == "platform" else most)
+    assert n_specs > 100 or len(by) == n_specs
+
+
 def test_maximin_against_brute_force(tables):
     rows = tables.embeddings.orderBy("vec_id").collect()
     vecs = np.array([r.embedding for r in rows], dtype=float)
