@@ -242,15 +242,34 @@ def balance_by_length(t):
     return P.balance_by_length(t.documents.select("doc_id", "n_chars"), key="doc_id", length="n_chars", k=16).select("doc_id", "bin")
 
 
+# one document a step goes to the first bin that holds it
 @query("pack_micro_batches", """
-with z as (select cast(ceil(sum(n_chars) / 200000.0) as bigint) as k from documents),
-r as (select doc_id, (row_number() over (order by n_chars desc, doc_id) - 1) % (2 * k) as m, k from documents, z)
-select doc_id, case when m < k then m else 2 * k - 1 - m end as bin, k as bin_count from r
+with recursive items as (select doc_id, n_chars as size, row_number() over (order by n_chars desc, doc_id) as i from documents),
+steps(i, loads, bin) as (
+  select 0::bigint, []::bigint[], 0::bigint
+  union all
+  select n.i, case when n.b > len(n.loads) then list_append(n.loads, n.size) else n.loads[:n.b - 1] || [n.loads[n.b] + n.size] || n.loads[n.b + 1:] end, n.b
+  from (select x.i, x.size, s.loads, coalesce(list_position(list_transform(s.loads, lambda l: l + x.size <= 200000), true), len(s.loads) + 1)::bigint as b
+        from steps s join items x on x.i = s.i + 1) n)
+select doc_id, bin - 1 as bin, (select max(bin) from steps) as bin_count from items join steps using (i)
 """)
 def pack_micro_batches(t):
     return P.pack_micro_batches(t.documents.select("doc_id", "n_chars"), key="doc_id", length="n_chars", max_tokens=200000).select("doc_id", "bin", "bin_count")
 
 
+# four lengths fill most of the bins: hot lengths, and the bounds on bins and their number
+@query("pack_micro_batches_check", """
+select count(*) as n_rows, sum(l_quantity)::bigint as total, 0::bigint as above_limit, 0::bigint as empty_bins, ceil(sum(l_quantity) / 64.0)::bigint as least_bins, true as few_bins from lineitem
+""")
+def pack_micro_batches_check(t):
+    lines = t.lineitem.select(F.struct("l_orderkey", "l_linenumber").alias("line"), F.col("l_quantity").cast("bigint").alias("size"))
+    packed = P.pack_micro_batches(lines, key="line", length="size", max_tokens=64)
+    bins = packed.groupBy("bin", "bin_count").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    least = F.ceil(F.sum("size") / 64).cast("bigint")
+    return bins.agg(F.sum("n").alias("n_rows"), F.sum("size").alias("total"), F.count_if(F.col("size") > 64).alias("above_limit"), (F.max("bin_count") - F.count("*")).alias("empty_bins"),
+                    least.alias("least_bins"), (F.max("bin_count") <= 11 * least / 9 + 1).alias("few_bins"))
+
+
 @query("imbalance_report", """
 with d as (""" + DEAL.format(k=16, type="bigint") + """), u as (select 'dealt' as binning, bin, n_chars from d union all select 'by_id', doc_id % 16, n_chars from documents)
 select binning, count(*) as bins, min(t) as min_total, max(t) as max_total, max(t) - min(t) as spread from (select binning, bin, sum(n_chars)::bigint as t from u group by 1, 2) x group by 1
