@@ -6,10 +6,12 @@ one row per group first; bootstrap and ranking start from those rows.
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cartlight.functions.hashing import hash_index, hash_unit
 from cartlight.functions.ranking import neighbour, ordered_sum, running, top_k
 from cartlight.functions.stats import var_population
 
@@ -144,20 +146,39 @@ def run_summary(df: DataFrame, *, run: str = "run_id", group: str = "uid", group
     return out
 
 
+def poisson_steps() -> list[str]:
+    """Eight hex digits each: a draw below the first weighs 0, below the next 1, and so on (mean 1)."""
+    steps, term, below, k = [], math.exp(-1), 0.0, 0
+    while round((below + term) * 2**32) < 2**32:
+        below += term
+        steps.append(f"{round(below * 2**32):08x}")
+        k += 1
+        term /= k
+    return steps
+
+
 def bootstrap_means(values: DataFrame, *, by: list[str], key: str, value: str, draws: int, seed: str = "0") -> DataFrame:
-    """``by, draw, mean`` of resamples with replacement, one value per key.
+    """``by, draw, mean`` of resamples: every row counts a Poisson(1) number of times, drawn by hash of draw and key.
 
-    Every row stands for one slot of each resample: it draws a position by
-    hash and fetches the value there by an equi-join, so nothing is collected
-    and a group of any size is spread over all tasks.
+    The state of a draw is two sums, which every task adds up for its own rows
+    before the shuffle: at most draws x partitions (and groups) rows leave the
+    map side, whatever the number of rows. Rows of one key count alike. A draw
+    in which no row counts has a null mean. Nulls count for nothing.
     """
-    numbered = hash_index(values.select(*by, key, value), key, seed, name="_i", by=tuple(by))
-    sizes = values.groupBy(*by).agg(F.count("*").alias("_n"))
-    with_n = numbered.join(sizes, by) if by else numbered.withColumn("_n", sizes.scalar())
-    slots = with_n.select(*by, "_i", "_n", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
-    tag = F.concat_ws(":", F.col("draw").cast("string"), F.col("_i").cast("string"))
-    picks = slots.select(*by, "draw", (F.floor(hash_unit(tag, seed) * F.col("_n")) + 1).alias("_i"))
-    return picks.join(numbered.select(*by, "_i", value), [*by, "_i"]).groupBy(*by, "draw").agg(F.avg(value).alias("mean"))
+    # a digest has digits for four draws
+    blocks = -(-draws // 4)
+    tag = F.concat_ws(":", F.lit(seed), F.col("_block").cast("string"), F.col(key).cast("string"))
+    rows = values.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"), F.col(key).alias(key))
+    drawn = rows.select(*by, "_v", key, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block")).select(*by, "_v", "_block", F.md5(tag).alias("_h"))
+
+    def weight(j: int) -> Column:
+        digits = F.substring("_h", 8 * j + 1, 8)
+        return reduce(lambda a, b: a + b, [(digits >= step).cast("int") for step in poisson_steps()])
+
+    weighted = drawn.select(*by, "_v", "_block", *(weight(j).alias(f"_w{j}") for j in range(4)))
+    sums = weighted.groupBy(*by, "_block").agg(*(F.struct(F.sum(F.col(f"_w{j}") * F.col("_v")).alias("s"), F.sum(f"_w{j}").alias("w")).alias(f"_s{j}") for j in range(4)))
+    pairs = [F.struct((F.col("_block") * 4 + j + 1).alias("draw"), F.try_divide(F.col(f"_s{j}.s"), F.col(f"_s{j}.w")).alias("mean")) for j in range(4)]
+    return sums.select(*by, F.inline(F.array(*pairs))).filter(F.col("draw") <= draws)
 
 
 def bootstrap_ci(values: DataFrame, *, by: list[str], key: str, value: str, draws: int = 10_000, seed: str = "0", level: float = 0.95) -> DataFrame:
@@ -254,7 +275,8 @@ def pool_configs(groups: DataFrame, runs: DataFrame, *, config: list[str], run:
         F.avg("mixed").alias("mixed_rate"),
         (F.sum("successes") / F.sum("known")).alias("terminal_asr"),
     )
-    ci = bootstrap_ci(pooled.select(*config, "uid", "mixed"), by=config, key="uid", value="mixed", draws=draws)
+    observed = pooled.select(*config, F.concat_ws(":", F.col(run).cast("string"), F.col("uid").cast("string")).alias("_key"), "mixed")
+    ci = bootstrap_ci(observed, by=config, key="_key", value="mixed", draws=draws)
     out = members.join(rates, config, "left").join(ci.select(*config, "ci_low", "ci_high"), config, "left")
     whole = (F.col("run_count") == F.col("eligible_run_count")) & (F.col("eligible_run_count") > 0)
     order = Window.partitionBy("all_runs_eligible").orderBy(

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cartlight.functions.hashing import hash_index, hash_unit
-from cartlight.functions.ranking import running
+from cartlight.functions.hashing import hash_hex, hash_index, hash_unit
+from cartlight.functions.ranking import has_hot_group, running
 
 
 def numeric_values(df: DataFrame, variables: list[str], *, keys: list[str]) -> DataFrame:
@@ -65,23 +65,51 @@ def best_worst(values: DataFrame, *, keys: list[str], hot: bool | None = None) -
     return moments.withColumns({"best_std": std("_b2", "best_mean"), "worst_std": std("_w2", "worst_mean")}).drop("_b2", "_w2")
 
 
+#: Samples of a key up to which its draws are made within its row.
+KEY_SAMPLES = 1000
+
+
 def majority_vote(df: DataFrame, *, keys: list[str], sample: str, pred: str, value: str, n: int, draws: int, seed: str = "0") -> DataFrame:
     """maj@n: mean and std over draws of the value of the most frequent answer.
 
     Each draw takes n answers with replacement by hash; ties go to the answer
-    drawn first, and its first drawn value counts.
+    drawn first, and its first drawn value counts. A key's samples meet in one
+    row, where all draws are made, so that samples are shuffled and draws are
+    not. Keys above KEY_SAMPLES samples join their draws instead; the result
+    is the same.
     """
+    if not has_hot_group(df, keys, KEY_SAMPLES):
+        return _votes_in_rows(df, keys, sample, pred, value, n, draws, seed)
+    hot = df.groupBy(*keys).count().filter(F.col("count") > KEY_SAMPLES).select(*keys)
+    usual = _votes_in_rows(df.join(hot, keys, "left_anti"), keys, sample, pred, value, n, draws, seed)
+    return usual.unionByName(_votes_by_join(df.join(hot, keys, "left_semi"), keys, sample, pred, value, n, draws, seed))
+
+
+def _tag(keys: list[str], draw: Column, slot: Column) -> Column:
+    return F.concat_ws(":", *[F.col(k).cast("string") for k in keys], draw.cast("string"), slot.cast("string"))
+
+
+def _votes_in_rows(df: DataFrame, keys: list[str], sample: str, pred: str, value: str, n: int, draws: int, seed: str) -> DataFrame:
+    ordered = F.array_sort(F.collect_list(F.struct(hash_hex(F.col(sample), seed).alias("h"), F.col(sample).alias("s"), F.col(pred).alias("p"), F.col(value).alias("v"))))
+    rows = df.groupBy(*keys).agg(ordered.alias("_a")).withColumn("_n", F.size("_a"))
+
+    def winner(draw: Column) -> Column:
+        picked = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda slot: F.get("_a", F.floor(hash_unit(_tag(keys, draw, slot), seed) * F.col("_n")).cast("int")))
+        # bound once: the list of picks is read n times
+        votes = F.transform(F.array(picked), lambda p: F.array_max(F.transform(p, lambda x, i: F.struct(F.size(F.filter(p, lambda y: y["p"].eqNullSafe(x["p"]))).alias("votes"), (-i).alias("f"), x["v"].alias("v"))))["v"])
+        return F.get(votes, F.lit(0))
+
+    won = rows.select(*keys, F.explode(F.transform(F.sequence(F.lit(1), F.lit(draws)), winner)).alias("v"))
+    return won.groupBy(*keys).agg(F.avg("v").alias("maj_mean"), F.stddev_pop("v").alias("maj_std"))
+
+
+def _votes_by_join(df: DataFrame, keys: list[str], sample: str, pred: str, value: str, n: int, draws: int, seed: str) -> DataFrame:
     numbered = hash_index(df.select(*keys, sample, pred, value), sample, seed, name="_i", by=tuple(keys))
     sizes = df.groupBy(*keys).agg(F.count("*").alias("_n"))
-    slots = sizes.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn(
-        "slot", F.explode(F.sequence(F.lit(1), F.lit(n)))
-    )
-    tag = F.concat_ws(":", *[F.col(k).cast("string") for k in keys], F.col("draw").cast("string"), F.col("slot").cast("string"))
-    picks = slots.select(*keys, "draw", "slot", (F.floor(hash_unit(tag, seed) * F.col("_n")) + 1).alias("_i"))
+    slots = sizes.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("slot", F.explode(F.sequence(F.lit(1), F.lit(n))))
+    picks = slots.select(*keys, "draw", "slot", (F.floor(hash_unit(_tag(keys, F.col("draw"), F.col("slot")), seed) * F.col("_n")) + 1).alias("_i"))
     drawn = picks.join(numbered, [*keys, "_i"])
-    votes = drawn.groupBy(*keys, "draw", pred).agg(
-        F.count("*").alias("votes"), F.min("slot").alias("first"), F.min(F.struct("slot", value))[value].alias("v")
-    )
+    votes = drawn.groupBy(*keys, "draw", pred).agg(F.count("*").alias("votes"), F.min("slot").alias("first"), F.min(F.struct("slot", value))[value].alias("v"))
     winners = votes.groupBy(*keys, "draw").agg(F.max(F.struct("votes", (-F.col("first")).alias("f"), "v"))["v"].alias("v"))
     return winners.groupBy(*keys).agg(F.avg("v").alias("maj_mean"), F.stddev_pop("v").alias("maj_std"))
 

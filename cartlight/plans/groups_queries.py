@@ -87,15 +87,13 @@ def run_summary(t):
 
 
 def boot(values, by, key, value, draws, seed="0"):
-    """The same hash bootstrap in DuckDB text."""
-    p = f"partition by {by}" if by else ""
+    """The same hash bootstrap in DuckDB text: how often each row counts in each draw."""
     b = f"{by}, " if by else ""
-    join = f"a.{by} = c.{by} and " if by else ""
+    weight = " + ".join(f"(d >= '{step}')::int" for step in K.poisson_steps())
     return f"""
-b_num as (select {b}{value} as v, row_number() over ({p} order by md5('{seed}:' || cast({key} as varchar)), {key}) as i, count(*) over ({p}) as n from {values}),
-b_slot as (select {b}n, i, unnest(range(1, {draws + 1})) as draw from b_num),
-b_pick as (select {b}draw, cast(floor(cast('0x' || substr(md5('{seed}:' || draw || ':' || i), 1, 8) as bigint) / 4294967296.0 * n) + 1 as bigint) as i from b_slot),
-b_mean as (select {'a.' + b if by else ''}draw, avg(v) as mean from b_pick a join b_num c on {join}a.i = c.i group by {'a.' + by + ', ' if by else ''}draw)
+b_digit as (select {b}v, draw, substr(md5('{seed}:' || ((draw - 1) // 4) || ':' || k), 8 * ((draw - 1) % 4) + 1, 8) as d
+  from (select {b}{value} as v, cast({key} as varchar) as k, unnest(range(1, {draws + 1})) as draw from {values}) x where v is not null),
+b_mean as (select {b}draw, sum(v * w) / nullif(sum(w), 0)::double as mean from (select *, {weight} as w from b_digit) y group by {b}draw)
 """
 
 
@@ -166,7 +164,7 @@ def rank_runs(t):
     return K.rank_runs(runs, keys=keys, eligible="ok").select("run_id", "rank")
 
 
-@query("pool_configs", "with good as (select run_id, code from x_run), mixed as (select r.code, g.uid, (g.lo < g.hi)::int as mixed, g.won, g.n from x_group g join good r on r.run_id = g.run_id),"
+@query("pool_configs", "with good as (select run_id, code from x_run), mixed as (select r.code, g.run_id || ':' || g.uid as uid, (g.lo < g.hi)::int as mixed, g.won, g.n from x_group g join good r on r.run_id = g.run_id),"
        + boot("mixed", "code", "uid", "mixed", 60) + """
 select m.code as temperature_code, 2 as run_count, 2 as eligible_run_count, m.n as observations, round(m.mr, 6) as mixed_rate, round(m.ta, 6) as terminal_asr, round(c.lo, 6) as ci_low, round(c.hi, 6) as ci_high,
   row_number() over (order by c.lo desc, m.mr desc, m.ta desc, m.code) as rank

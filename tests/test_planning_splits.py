@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from cartlight.operators import groups as K
 from cartlight.operators import planning as D
 from cartlight.operators import splits as J
+from cartlight.operators import validation as M
 
 
 def test_quota_numbers():
@@ -151,3 +152,32 @@ def test_bootstrap_is_centred(spark):
     df = spark.range(200).select(F.col("id"), (F.col("id") % 4 == 0).cast("int").alias("x"))
     row = K.bootstrap_ci(df, by=[], key="id", value="x", draws=300).first()
     assert row.ci_low < row["mean"] == 0.25 < row.ci_high and 0.08 < row.ci_high - row.ci_low < 0.16
+
+
+def test_bootstrap_state_is_summed_before_the_shuffle(spark):
+    """Draws of 5,000 rows: what is exchanged are sums by draw, and their distribution is that of resampling."""
+    df = spark.range(0, 5000, 1, 6).select("id", (F.col("id") % 10).cast("double").alias("x"))
+    means = K.bootstrap_means(df, by=[], key="id", value="x", draws=402)
+    plan = means._jdf.queryExecution().executedPlan().toString()
+    before = plan[plan.index("Exchange") :]
+    assert plan.count("Exchange") == 1 and "partial_sum" in before and "Generate explode" in before
+    got = [r["mean"] for r in means.collect()]
+    assert len(got) == 402 and abs(np.mean(got) - 4.5) < 0.01 and abs(np.std(got) / (8.25 / 5000) ** 0.5 - 1) < 0.2
+    one = K.bootstrap_means(spark.createDataFrame([(1, None), (2, 7.0)], "id int, x double"), by=[], key="id", value="x", draws=40).collect()
+    assert {r["mean"] for r in one} == {None, 7.0} and K.bootstrap_means(df.limit(0), by=[], key="id", value="x", draws=5).count() == 0
+
+
+def test_weights_are_poisson():
+    steps = [int(s, 16) / 2**32 for s in K.poisson_steps()]
+    share = np.diff([0, *steps, 1])
+    assert abs(share[0] - np.exp(-1)) < 1e-9 and abs((share * np.arange(len(share))).sum() - 1) < 1e-8
+
+
+def test_votes_of_hot_keys_are_the_same(spark, monkeypatch):
+    rows = [(k, i, "abc"[(i * 7 + k) % 3] if i % 5 else None, float(i % 4)) for k, n in ((1, 1), (2, 9), (3, 40)) for i in range(n)]
+    df = spark.createDataFrame(rows, "k int, sample int, pred string, value double")
+    vote = lambda: sorted(map(tuple, M.majority_vote(df, keys=["k"], sample="sample", pred="pred", value="value", n=6, draws=50).collect()))
+    usual = vote()
+    for limit in (0, 10):
+        monkeypatch.setattr(M, "KEY_SAMPLES", limit)
+        assert [tuple(round(v, 9) for v in r) for r in vote()] == [tuple(round(v, 9) for v in r) for r in usual]
