@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from cartlight.plans.registry import query
+from cartlight.plans.registry import query, view
 from cartlight.plans.sources_queries import dump
 from cartlight.session import work_path
 from cartlight.streaming import jobs as R
@@ -39,18 +39,42 @@ def stream_group_completion(t):
     return R.run_to_table(R.stream_group_completion(sample_stream(t)), "groups")
 
 
-@query("stream_mixed_batch", """
-select count(*) as generated, count(*) filter (lo < hi) as accepted, count(*) filter (hi = 0) as all_fail, count(*) filter (lo = 1) as all_success,
-  round(avg((lo < hi)::int), 6) as acceptance_rate, count(*) filter (lo < hi) >= 100 as done from (select uid, min(outcome) as lo, max(outcome) as hi from v_rollout group by 1) g
+view("x_stream_group", """
+select floor(event_id / 8) as uid, min(case when event_type = 'purchase' then 1 else 0 end) as lo, max(case when event_type = 'purchase' then 1 else 0 end) as hi from events group by floor(event_id / 8)
 """)
-def stream_mixed_batch(t):
+# batches arrive by quarters of the uids
+FILLED = """
+with b as (select uid, lo, hi, floor(uid * 4 / (select max(uid) + 1 from x_stream_group)) as batch from x_stream_group),
+m as (select batch, sum(count(*) filter (lo < hi)) over (order by batch) - count(*) filter (lo < hi) as before from b group by batch),
+seen as (select b.* from b join m on m.batch = b.batch and m.before < 100)
+"""
+
+
+def filled(t):
+    """Groups in four batches by uid, taken until 100 mixed ones are accepted."""
     groups = R.run_to_table(R.stream_group_completion(sample_stream(t)), "groups")
-    path = dump(t, groups.repartition(4), "parquet")
+    path = work_path(t.spark, "group-batches")
+    quarter = F.floor(F.col("uid") * 4 / (groups.agg(F.max("uid") + 1).scalar()))
+    for i in range(4):
+        groups.filter(quarter == i).coalesce(1).write.mode("append").parquet(path)
     stream = t.spark.readStream.schema(groups.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    ledger = work_path(t.spark, "ledger")
-    R.start_mixed_ledger(stream, ledger, checkpoint=work_path(t.spark, "ck"), target=100).awaitTermination()
-    out = R.ledger_progress(t.spark, ledger)
-    return out.select("generated", "accepted", "all_fail", "all_success", F.round("acceptance_rate", 6).alias("acceptance_rate"), "done")
+    accepted, ledger = work_path(t.spark, "accepted"), work_path(t.spark, "ledger")
+    R.fill_mixed_batch(stream, accepted, ledger, checkpoint=work_path(t.spark, "ck"), target=100, order=["uid"])
+    return accepted, ledger
+
+
+@query("stream_mixed_batch", FILLED + """
+select count(*) as generated, least(count(*) filter (lo < hi), 100) as accepted, count(*) filter (lo < hi) as mixed, count(*) filter (hi = 0) as all_fail, count(*) filter (lo = 1) as all_success,
+  round(avg((lo < hi)::int), 6) as acceptance_rate, count(*) filter (lo < hi) >= 100 as done from seen
+""")
+def stream_mixed_batch(t):
+    out = R.ledger_progress(t.spark, filled(t)[1])
+    return out.select("generated", "accepted", "mixed", "all_fail", "all_success", F.round("acceptance_rate", 6).alias("acceptance_rate"), "done")
+
+
+@query("stream_mixed_groups", "select cast(uid as bigint) as uid from x_stream_group where lo < hi order by uid limit 100")
+def stream_mixed_groups(t):
+    return R.accepted_groups(t.spark, *filled(t)).select("uid")
 
 
 @query("stream_dedupe", "select distinct user_id from events")

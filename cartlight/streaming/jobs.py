@@ -9,10 +9,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException, StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
+from cartlight.functions.ranking import ordered_sum
 from cartlight.session import work_path
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -57,7 +59,11 @@ def start_split(df: DataFrame, good_path: str, bad_path: str, *, checkpoint: str
 
 
 class GroupCompletion(StatefulProcessor):
-    """Counts a group's samples and wins; emits once complete, or on expiry."""
+    """Counts a group's samples and wins; emits once complete, or on expiry.
+
+    A closed group stays known until its timer, so that a late sample is not
+    taken for a new group, and then leaves the state like any other.
+    """
 
     def __init__(self, group_size: int, timeout_ms: int):
         self.group_size = group_size
@@ -76,15 +82,11 @@ class GroupCompletion(StatefulProcessor):
             latest = max(latest, int(frame["ts"].max().timestamp() * 1000))
         if closed:
             return iter([])
-        if n >= self.group_size:
-            for timer in self.handle.listTimers():
-                self.handle.deleteTimer(timer)
-            self.state.update((n, wins, True))
-            return iter([self._row(key, n, wins, False)])
         if not any(True for _ in self.handle.listTimers()):
             self.handle.registerTimer(max(latest, timerValues.getCurrentWatermarkInMs()) + self.timeout_ms)
-        self.state.update((n, wins, False))
-        return iter([])
+        full = n >= self.group_size
+        self.state.update((n, wins, full))
+        return iter([self._row(key, n, wins, False)] if full else [])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         n, wins, closed = self.state.get()
@@ -105,7 +107,9 @@ def stream_group_completion(
     """State of a group once its samples have arrived; short groups expire.
 
     ``rows``: uid, ts, outcome. The state of a key is three numbers, in the
-    RocksDB store, so hot and long-lived keys cost the same as any other.
+    RocksDB store, so hot keys cost the same as any other; every key leaves
+    the state ``timeout_ms`` of event time after its first samples. A sample
+    that comes later still counts for a new group.
     """
     rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     keyed = rows.select("uid", "ts", "outcome").withWatermark("ts", delay).groupBy("uid")
@@ -117,35 +121,72 @@ def stream_group_completion(
     )
 
 
-def start_mixed_ledger(groups: DataFrame, ledger: str, *, checkpoint: str, target: int | None = None) -> StreamingQuery:
-    """Accepted and generated groups per batch in a ledger of one row per batch.
+TARGET_MET = "the ledger has met its target"
+
+
+def _earlier(spark: SparkSession, ledger: str, batch_id: int) -> int:
+    """Groups accepted in the batches before this one."""
+    try:
+        rows = spark.read.option("basePath", ledger).parquet(ledger).filter(F.col("batch") < batch_id)
+    except AnalysisException as error:
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return 0
+    return rows.agg(F.coalesce(F.sum("accepted"), F.lit(0))).first()[0]
+
+
+def fill_mixed_batch(groups: DataFrame, accepted: str, ledger: str, *, checkpoint: str, target: int, order: list[str]) -> bool:
+    """Takes mixed groups from a stream until ``target`` of them are accepted; whether they are.
 
-    The ledger is partitioned by batch number: a batch that runs again
-    overwrites its own row. ``target`` marks the batch at which enough groups
-    were accepted; see ``ledger_progress``.
+    Runs over what the stream has now and returns. Every batch writes its
+    mixed groups below ``accepted`` and a row of counts below ``ledger``; the
+    batch that meets the target is cut to the groups still needed, in
+    ``order``, whose last column must make it total. The batch after it is
+    refused before anything of it is written or committed, which ends the
+    query: a later call with a larger target starts with that batch. Both
+    tables are partitioned by batch number, and a batch counts only the rows
+    before its own, so one that runs again replaces itself: a restart neither
+    adds nor loses a group.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        counts = batch.agg(
-            F.count("*").alias("generated"),
-            *[F.count_if(F.col("state") == s).alias(s) for s in ("all_fail", "mixed", "all_success")],
-        )
-        counts.withColumn("target", F.lit(target).cast("bigint")).write.mode("overwrite").parquet(f"{ledger}/batch={batch_id}")
+        spark = batch.sparkSession
+        remaining = target - _earlier(spark, ledger, batch_id)
+        if remaining <= 0:
+            raise RuntimeError(TARGET_MET)
+        batch = batch.persist()
+        states = [F.count_if(F.col("state") == s).alias(s) for s in ("all_fail", "mixed", "all_success")]
+        counts = batch.agg(F.count("*").alias("generated"), *states)
+        n_mixed = counts.first()["mixed"]
+        mixed = batch.filter("state = 'mixed'")
+        if n_mixed > remaining:
+            number = ordered_sum(mixed, [F.col(c) for c in order], name="_place")
+            mixed = number.filter(F.col("_place") <= remaining).drop("_place")
+        mixed.write.mode("overwrite").parquet(f"{accepted}/batch={batch_id}")
+        # the ledger comes last: a batch without its row runs again
+        row = counts.withColumns({"accepted": F.lit(min(n_mixed, remaining)).cast("bigint"), "target": F.lit(target).cast("bigint")})
+        row.coalesce(1).write.mode("overwrite").parquet(f"{ledger}/batch={batch_id}")
+        batch.unpersist()
+
+    query = groups.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    try:
+        query.awaitTermination()
+    except StreamingQueryException as error:
+        if TARGET_MET not in str(error):
+            raise
+    return _earlier(groups.sparkSession, ledger, 1 << 62) >= target
 
-    return groups.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+def accepted_groups(spark: SparkSession, accepted: str, ledger: str) -> DataFrame:
+    """The accepted groups of the batches that the ledger lists."""
+    return spark.read.option("basePath", accepted).parquet(accepted).join(F.broadcast(spark.read.option("basePath", ledger).parquet(ledger).select("batch")), "batch")
 
 
 def ledger_progress(spark: SparkSession, ledger: str) -> DataFrame:
-    """Totals of the ledger, acceptance rate and whether the target is met."""
-    rows = spark.read.parquet(ledger)
-    out = rows.agg(
-        F.sum("generated").alias("generated"),
-        F.sum("mixed").alias("accepted"),
-        F.sum("all_fail").alias("all_fail"),
-        F.sum("all_success").alias("all_success"),
-        F.max("target").alias("target"),
-    )
-    rate = F.when(F.col("generated") > 0, F.col("accepted") / F.col("generated")).otherwise(0.0)
+    """Totals of the ledger, share of mixed groups and whether the target is met."""
+    rows = spark.read.option("basePath", ledger).parquet(ledger)
+    out = rows.agg(*(F.sum(c).alias(c) for c in ("generated", "accepted", "mixed", "all_fail", "all_success")), F.max("target").alias("target"))
+    rate = F.when(F.col("generated") > 0, F.col("mixed") / F.col("generated")).otherwise(0.0)
     return out.withColumn("acceptance_rate", rate).withColumn("done", F.coalesce(F.col("accepted") >= F.col("target"), F.lit(False)))
 
 

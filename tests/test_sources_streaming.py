@@ -3,7 +3,10 @@
 import os
 import time
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from cartlight.operators.groups import group_state
@@ -121,14 +124,60 @@ def test_stream_end_state_equals_batch(spark, tables):
     assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
 
 
-def test_ledger_survives_a_replayed_batch(spark, tmp_path):
-    path = str(tmp_path / "groups")
-    for i, state in enumerate(["mixed", "all_fail", "mixed"]):
-        spark.range(i + 1).select(F.lit(state).alias("state")).coalesce(1).write.mode("append").parquet(path)
-    stream = spark.readStream.schema("state string").option("maxFilesPerTrigger", 1).parquet(path)
-    ledger = str(tmp_path / "ledger")
-    for _ in range(2):
-        # a fresh checkpoint runs all batches again into the same ledger
-        R.start_mixed_ledger(stream, ledger, checkpoint=str(tmp_path / f"ck{_}"), target=4).awaitTermination()
-        row = R.ledger_progress(spark, ledger).first()
-        assert (row.generated, row.accepted, row.done) == (6, 4, True)
+def group_files(path, batches):
+    """One file a batch, in order of their times."""
+    schema = pa.schema([("uid", pa.int64()), ("state", pa.string())])
+    os.makedirs(path, exist_ok=True)
+    for rows in batches:
+        i = len([n for n in os.listdir(path) if n.endswith(".parquet")])
+        pq.write_table(pa.table({"uid": [u for u, _ in rows], "state": [s for _, s in rows]}, schema), f"{path}/{i:03d}.parquet")
+        os.utime(f"{path}/{i:03d}.parquet", (1_700_000_000 + i, 1_700_000_000 + i))
+
+
+M, W, L = "mixed", "all_success", "all_fail"
+BATCHES = [[(1, M), (2, L), (3, M)], [(9, M), (8, M), (7, W), (6, M)], [(10, M), (11, M)]]
+
+
+def fill(spark, tmp, target, checkpoint="ck"):
+    stream = spark.readStream.schema("uid long, state string").option("maxFilesPerTrigger", 1).parquet(str(tmp / "groups"))
+    done = R.fill_mixed_batch(stream, str(tmp / "accepted"), str(tmp / "ledger"), checkpoint=str(tmp / checkpoint), target=target, order=["uid"])
+    row = R.ledger_progress(spark, str(tmp / "ledger")).first()
+    assert row.done == done
+    return done, row.generated, row.mixed, sorted(r.uid for r in R.accepted_groups(spark, str(tmp / "accepted"), str(tmp / "ledger")).collect())
+
+
+def test_stream_ends_at_its_target(spark, tmp_path):
+    """The second batch is cut in order, the third is not touched; a larger target goes on with the third."""
+    group_files(tmp_path / "groups", BATCHES)
+    for _ in range(2):  # a restart neither adds nor loses one
+        assert fill(spark, tmp_path, 4) == (True, 7, 5, [1, 3, 6, 8])
+    assert fill(spark, tmp_path, 5) == (True, 9, 7, [1, 3, 6, 8, 10])
+
+
+def test_stream_waits_for_more_groups(spark, tmp_path):
+    group_files(tmp_path / "groups", BATCHES[:1])
+    assert fill(spark, tmp_path, 4) == (False, 3, 2, [1, 3])
+    group_files(tmp_path / "groups", BATCHES[1:])
+    assert fill(spark, tmp_path, 4) == (True, 7, 5, [1, 3, 6, 8])
+
+
+def test_replayed_batches_replace_themselves(spark, tmp_path):
+    """A fresh checkpoint runs all batches again into the same tables; one that was lost half-way runs again alike."""
+    group_files(tmp_path / "groups", BATCHES)
+    assert fill(spark, tmp_path, 4) == (True, 7, 5, [1, 3, 6, 8])
+    assert fill(spark, tmp_path, 4, "fresh") == (True, 7, 5, [1, 3, 6, 8])
+    assert fill(spark, tmp_path, 6, "other") == (True, 9, 7, [1, 3, 6, 8, 9, 10])
+
+
+def test_closed_groups_leave_the_state(spark, tmp_path):
+    day = pd.Timestamp("2024-01-01")
+    frames = [pd.DataFrame({"uid": np.repeat(np.arange(50), 2), "ts": day, "outcome": 1})]
+    frames += [pd.DataFrame({"uid": [1000 + i], "ts": [day + pd.Timedelta(days=i)], "outcome": [0]}) for i in range(1, 5)]
+    stream = batches(spark, str(tmp_path / "in"), frames)
+    query = R.start_append(R.stream_group_completion(stream, group_size=2, timeout_ms=3_600_000), str(tmp_path / "out"))
+    query.awaitTermination()
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert max(held) >= 50 and held[-1] <= 8
+    rows = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert sum(r.uid < 50 and r.state == "all_success" for r in rows) == 50 and len({r.uid for r in rows}) == len(rows)
+
