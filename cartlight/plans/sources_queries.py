@@ -103,11 +103,16 @@ def write_table(t):
     return out
 
 
-@query("file_manifest")
+# a folder an event type: lines in event order, every ninth one blank
+@query("file_manifest", """
+with l as (select event_type, event_id, case when event_id % 9 = 4 then ' ' else event_id || ',' || user_id end as line from events)
+select event_type, count(*) filter (trim(line) <> '') as rows, sum(length(line) + 1)::bigint as bytes, sha256(string_agg(line || chr(10), '' order by event_id)) as sha256 from l group by 1
+""")
 def file_manifest(t):
-    path = dump(t, event_rows(t).repartition(3))
-    m = A.file_manifest(t.spark, path, glob="*.json")
-    return m.agg(F.count("*").alias("files"), F.sum("rows").alias("rows"), F.min(F.length("sha256")).alias("hash_length"))
+    line = F.when(F.col("event_id") % 9 == 4, " ").otherwise(F.concat_ws(",", F.col("event_id").cast("string"), F.col("user_id").cast("string")))
+    lines = t.events.select("event_type", "event_id", line.alias("value")).repartition("event_type").sortWithinPartitions("event_type", "event_id")
+    path = dump(t, lines.select("event_type", "value"), "text", partition_by="event_type")
+    return A.file_manifest(t.spark, path, glob="*.txt").select(F.regexp_extract("file", "event_type=([^/]*)/", 1).alias("event_type"), "rows", "bytes", "sha256")
 
 
 def ordered_text(t):

@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections.abc import Iterator
+from urllib.parse import unquote
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -105,24 +112,52 @@ def write_table(df: DataFrame, path: str, *, fmt: str = "parquet", force: bool =
     writer.save(path)
 
 
+#: Bytes read at a time, and files in flight at most.
+CHUNK, FILE_TASKS = 8 << 20, 4096
+
+
+def _open_file(path: str):
+    """A file as Spark names it, opened through pyarrow's file systems."""
+    if path.startswith("file:"):
+        return fs.LocalFileSystem().open_input_stream("/" + path[5:].lstrip("/"))
+    system, inner = fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", path))
+    return system.open_input_stream(inner)
+
+
+def _digest(path: str) -> tuple[str, int, int]:
+    """sha256, lines with more than white space, and bytes of a file, read in chunks."""
+    digest, rows, size, begun = hashlib.sha256(), 0, 0, False
+    with _open_file(path) as source:
+        while chunk := source.read(CHUNK):
+            digest.update(chunk)
+            size += len(chunk)
+            first, *more = chunk.split(b"\n")
+            begun = begun or bool(first.strip())  # the line that the last chunk left open
+            if more:
+                rows += begun + sum(1 for line in more[:-1] if line.strip())
+                begun = bool(more[-1].strip())
+    return digest.hexdigest(), rows + begun, size
+
+
 def file_manifest(spark: SparkSession, path: str, *, glob: str = "*.json*") -> DataFrame:
-    """sha256, non-blank rows and bytes per file.
+    """``file, sha256, rows, bytes`` of every file below ``path``; rows are lines that are not blank.
 
-    The hash needs the whole file in one row, so this is for dump files, not
-    for the catalogue (the reader refuses files above 2 GB).
+    A file is read once, in chunks, by one task, which hashes and counts at
+    the same time, so files may be of any size; only names are exchanged (the
+    driver has them from listing the folder, as for any read). The folder must
+    be reachable through pyarrow's file systems. Empty files count no rows; no
+    file at all gives no row.
     """
-    reader = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", "true")
-    hashed = reader.format("binaryFile").load(path).select(
-        F.col("path").alias("file"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes")
-    )
-    lines = reader.text(path).select("value", F.col("_metadata.file_path").alias("_f")).filter(F.trim("value") != "")
-    counts = lines.groupBy("_f").agg(F.count("*").alias("rows"))
-    # both paths name the same file with differing schemes
-    tail = F.substring_index
-    joined = hashed.withColumn("_k", tail("file", "/", -1)).join(
-        counts.withColumn("_k", tail("_f", "/", -1)).drop("_f"), "_k", "left"
-    )
-    return joined.select("file", "sha256", F.coalesce("rows", F.lit(0)).alias("rows"), "bytes")
+    found = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
+    names = [unquote(uri) for uri in found.inputFiles()]  # a scan would leave empty files out
+    listed = spark.createDataFrame([(name,) for name in names], "path string")
+
+    def read(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array([v]) for v in (name, *_digest(name))], ["file", "sha256", "rows", "bytes"])
+
+    return listed.repartition(max(1, min(len(names), FILE_TASKS))).mapInArrow(read, "file string, sha256 string, rows bigint, bytes bigint")
 
 
 def line_subset(spark: SparkSession, path: str, *, limit: int) -> DataFrame:

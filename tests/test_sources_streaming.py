@@ -1,5 +1,6 @@
 """Readers on hand-made files, and streaming jobs over several batches."""
 
+import hashlib
 import os
 import time
 
@@ -181,3 +182,17 @@ def test_closed_groups_leave_the_state(spark, tmp_path):
     rows = spark.read.parquet(str(tmp_path / "out")).collect()
     assert sum(r.uid < 50 and r.state == "all_success" for r in rows) == 50 and len({r.uid for r in rows}) == len(rows)
 
+
+
+def test_manifest_of_nested_files(spark, tmp_path, monkeypatch):
+    """Equal base names, an empty file, blank lines, odd names, no line end, lines across chunks."""
+    texts = {"a/x.json": "1\n", "b/x.json": "1\n\n \t\r\n2", "b/c d%20/x.json": "é" * 50 + "\n\n" + "z" * 30 + "\n", "e.json": "", "n.json": "\n\n", "skip.txt": "1\n"}
+    for name, text in texts.items():
+        write(tmp_path / "m" / name, text)
+    for chunk in (8 << 20, 7):
+        monkeypatch.setattr(A, "CHUNK", chunk)
+        for name, text in texts.items():
+            raw = text.encode()
+            assert A._digest(f"file:{tmp_path}/m/{name}") == (hashlib.sha256(raw).hexdigest(), sum(bool(x.strip()) for x in raw.split(b"\n")), len(raw))
+    got = {r.file.split("/m/")[1]: (r.rows, r.bytes) for r in A.file_manifest(spark, str(tmp_path / "m")).collect()}
+    assert got == {"a/x.json": (1, 2), "b/x.json": (2, 8), "b/c d%20/x.json": (2, 133), "e.json": (0, 0), "n.json": (0, 2)}
