@@ -113,7 +113,10 @@ _named = ", ".join(f"('{s}', {w})" for s, w in TARGETS.items())
 
 OP4 = f"""
 WITH weights(g, weight) AS (VALUES {_named}, (NULL, {OTHER})),
-keyed AS (SELECT *, CASE WHEN source IN ({", ".join(f"'{s}'" for s in TARGETS)}) THEN source END AS g FROM documents),
+keyed AS (
+  SELECT *, coalesce(doc_id::VARCHAR, 'null') || CASE WHEN count(*) OVER (PARTITION BY doc_id) > 1
+    THEN '#' || row_number() OVER (PARTITION BY doc_id ORDER BY text NULLS FIRST, lang NULLS FIRST, source NULLS FIRST, n_chars NULLS FIRST) ELSE '' END AS row_key,
+    CASE WHEN source IN ({", ".join(f"'{s}'" for s in TARGETS)}) THEN source END AS g FROM documents),
 sizes AS (SELECT g, sum(coalesce(length(text), 0) + 1)::DOUBLE AS size FROM keyed GROUP BY g),
 means AS (
   SELECT s.g, w.weight / sum(w.weight) OVER () * sum(s.size) OVER () / s.size AS mean
@@ -123,14 +126,14 @@ steps AS (
   SELECT g, k, sum(exp(k * ln(each) - each - lgamma(k + 1))) OVER (PARTITION BY g ORDER BY k) AS below
   FROM split, (SELECT unnest(range(0, 200)) AS k)),
 drawn AS (
-  SELECT d.doc_id, d.source, d.text, d.lang, d.n_chars, d.g, j,
-    ('0x' || substr(md5('{MIX_SEED}:' || coalesce(d.doc_id::VARCHAR, 'null') || ':' || j), 1, 13))::BIGINT / 4503599627370496.0 AS u
+  SELECT d.row_key, d.g, j,
+    ('0x' || substr(md5('{MIX_SEED}:' || d.row_key || ':' || j), 1, 13))::BIGINT / 4503599627370496.0 AS u
   FROM (SELECT k.*, unnest(range(1, s.parts + 1)) AS j FROM keyed k JOIN split s ON k.g IS NOT DISTINCT FROM s.g) d),
 counted AS (
-  SELECT d.doc_id, count(s.k) AS copies FROM drawn d LEFT JOIN steps s ON d.g IS NOT DISTINCT FROM s.g AND s.below <= d.u GROUP BY d.doc_id)
+  SELECT d.row_key, count(s.k) AS copies FROM drawn d LEFT JOIN steps s ON d.g IS NOT DISTINCT FROM s.g AND s.below <= d.u GROUP BY d.row_key)
 SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, c.copy::INTEGER AS copy,
-  md5('{MIX_SEED}-order:' || coalesce(d.doc_id::VARCHAR, 'null') || ':' || c.copy) AS shuffle_key
-FROM documents d JOIN (SELECT doc_id, unnest(range(1, copies + 1)) AS copy FROM counted) c ON d.doc_id = c.doc_id
+  md5('{MIX_SEED}-order:' || d.row_key || ':' || c.copy) AS shuffle_key
+FROM keyed d JOIN (SELECT row_key, unnest(range(1, copies + 1)) AS copy FROM counted) c ON d.row_key = c.row_key
 """
 
 _escaped = r"regexp_replace({0}, '([<\[])(\\*)(\||/?s>|/?INST\])', '\1\\\2\3', 'g')"

@@ -159,7 +159,7 @@ def test_chats(spark):
 
 
 def test_mixing(docs_of):
-    docs = docs_of([*(r for r in ROWS if r[0] != 7), *((i, "t" * (i % 7)) for i in range(1000, 3000))])
+    docs = docs_of([*ROWS[:8], (7, "word " * 30), *ROWS[9:], *((i, "t" * (i % 7)) for i in range(1000, 3000))])
     got = mixing.mix_sources(docs, {"src0": 3.0, "absent": 9.0}, other=1.0, factor=2.0).collect()
     size = lambda rows: sum(len(r.text or "") + 1 for r in rows)
     total = size(docs.collect())
@@ -171,6 +171,40 @@ def test_mixing(docs_of):
     assert {r.source for r in mixing.mix_sources(docs, {"src0": 1.0}).collect()} == {"src0"}
 
 
+def test_mixing_of_a_long_text(docs_of):
+    rows = [*ROWS, *((i, "t" * (i % 7)) for i in range(1000, 1400))]
+    texts = {r[1] for r in rows}
+    got = mixing.mix_sources(docs_of(rows), {"src0": 3.0}, other=1.0, factor=20.0).collect()
+    assert {r.text for r in got} <= texts and sum(r.doc_id == 7 for r in got) > 0
+
+
+@pytest.mark.parametrize("seed", ["mix-1", "mix-2", "mix-3"])
+def test_mixing_draws_rows_without_ids_one_by_one(spark, seed):
+    """Null ids, one id for many rows, equal rows and rows with texts of their own: as many as asked for, all over the partitions."""
+    n = 4000
+    rows = spark.range(4 * n).selectExpr(
+        f"case when id < 2 * {n} then null when id < 3 * {n} then 5 else id end as doc_id", f"case when id < {n} then 'same' else concat('t', id) end as text", "'x' as lang", "null as source", "1 as n_chars"
+    )
+    got = mixing.mix_sources(rows, {}, other=1.0, seed=seed).withColumn("part", F.spark_partition_id())
+    kinds = got.groupBy(F.expr("case when doc_id is null and text = 'same' then 0 when doc_id is null then 1 when doc_id = 5 then 2 else 3 end").alias("kind"))
+    counts = {r.kind: (r.n, r.parts) for r in kinds.agg(F.count("*").alias("n"), F.countDistinct("part").alias("parts")).collect()}
+    parts = got.select("part").distinct().count()
+    total = sum(c for c, _ in counts.values())
+    assert len(counts) == 4 and all(p == parts for _, p in counts.values()) and abs(total - 4 * n) < 5 * (4 * n) ** 0.5
+    assert got.select("shuffle_key").distinct().count() == total
+
+
+def test_mixing_twin_with_shared_ids(spark):
+    rows = [(None if i % 3 == 0 else i // 4, None if i % 7 == 0 else f"text {i % 11}", "l", f"src{i % 6}" if i % 5 else None, i % 2) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    duck = duckdb.connect()
+    duck.register("documents", df.toArrow())
+    cursor = duck.execute(queries.OP4)
+    names = [d[0] for d in cursor.description]
+    got = mixing.mix_sources(df, queries.TARGETS, queries.OTHER, seed=queries.MIX_SEED)
+    assert rows_of(got.columns, [tuple(r) for r in got.collect()]) == rows_of(names, cursor.fetchall())
+
+
 @pytest.mark.parametrize("mean", [0.3, 1.0, 16.0, 40.5])
 def test_poisson(spark, mean):
     row = spark.range(20_000).select(mixing.poisson_count(F.col("id").cast("string"), mean, "t").alias("n")).agg(F.avg("n"), F.var_samp("n")).first()
