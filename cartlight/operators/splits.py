@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartlight.functions.hashing import hash_hex, hash_index
-from cartlight.functions.ranking import ordered_sum
+from cartlight.functions.ranking import ordered_sum, top_k
 from cartlight.functions.text import normalize_space, tokens, word_count
 from cartlight.operators.matching import EQUAL, match_nearest
-from cartlight.session import cut_lineage
+from cartlight.session import materialize
 
 # fixed values: required openers of a generated query
 OPENERS = {
@@ -239,45 +239,67 @@ def audit_report(audit: DataFrame) -> DataFrame:
     return sums.join(F.broadcast(lengths))
 
 
-def coverage_select(features: DataFrame, *, key: str, dimensions: list[str], bonus: Column, k: int, tie: list[Column]) -> DataFrame:
-    """k rows chosen one by one for what they add: sum of 1/(1 + times covered) plus a bonus.
+def coverage_select(features: DataFrame, *, key: str, dimensions: list[str], bonus: Column, k: int, tie: list[Column], classes: int | None = None, depth: int = 2) -> DataFrame:
+    """k rows chosen one by one for what they add: sum of 1/(1 + times covered) plus a bonus; ties by ``tie``, then key.
 
-    k is small (at most 64). Each round is one aggregation with a limit of one
-    row; only the counts of the chosen rows go back, at most k * dimensions.
+    Exact for any k, in about log(k) jobs. Rows alike in the dimensions (a
+    class) differ by bonus and tie only, so they can be chosen in that order
+    alone, and at most k of them. A class never gains: what its first row adds
+    at the start bounds it for good. So the classes that start best come to
+    the driver first (``classes`` of them, 4 * k by default, ``depth`` rows
+    each); twice as many come when a bound of the others reaches the best row
+    held, and twice the rows when a class runs out. Null is a value like any
+    other. Bonuses count to nine places.
     """
-    if k > 64:
-        raise ValueError("coverage_select is meant for k <= 64")
-    keyed = features.select(
-        key, bonus.alias("_bonus"), F.array(*[F.concat(F.lit(f"{d}:"), F.col(d).cast("string")) for d in dimensions]).alias("_keys"),
-        *[t.alias(f"_t{i}") for i, t in enumerate(tie)],
-    )
-    # rows alike in everything the score sees compete by the tie only
-    keyed = cut_lineage(keyed)
-    covered: dict[str, int] = {}
+    cells = [F.coalesce(F.concat(F.lit("="), F.col(d).cast("string")), F.lit("")).alias(f"_d{i}") for i, d in enumerate(dimensions)]
+    names, ties = [f"_d{i}" for i in range(len(dimensions))], [f"_t{i}" for i in range(len(tie))]
+    rows = features.select(F.col(key).alias("_key"), F.round(bonus, 9).alias("_bonus"), *cells, *(t.alias(n) for t, n in zip(tie, ties)))
+    ranked = top_k(rows, names, [F.desc_nulls_last("_bonus"), *(F.asc(t) for t in ties), F.asc("_key")], k, name="_rank")
+    ranked = materialize(ranked, "class-rows")
+    heads = ranked.filter("_rank = 1").select(*names, F.col("_bonus").alias("_first"))
+    n_classes, classes = heads.count(), classes or 4 * k
+
+    def order(row) -> tuple:
+        return tuple((row[t] is not None, row[t]) for t in ties) + (row["_key"],)
+
+    def fetch() -> tuple[dict, float | None]:
+        """Rows of the best classes by class, best first, and what the first class left out starts with."""
+        best = heads.orderBy(F.desc_nulls_last("_first"), *names).limit(classes + 1).collect()
+        left = best[classes]["_first"] if len(best) > classes else None
+        wanted = features.sparkSession.createDataFrame(best[:classes], heads.schema).select(*names) if best else heads.select(*names)
+        held: dict = {}
+        for row in ranked.filter(F.col("_rank") <= depth).join(F.broadcast(wanted), names).collect():  # classes x depth rows at most
+            held.setdefault(tuple(row[n] for n in names), []).append(row)
+        return {c: sorted(rs, key=lambda r: r["_rank"]) for c, rs in held.items()}, left
+
+    held, left = fetch()
+    taken: dict = {}  # rows chosen of a class
+    covered: dict = {}
     chosen: list = []
-    for _ in range(k):
-        novelty = F.lit(0.0)
-        for i in range(len(dimensions)):
-            cell = F.get("_keys", F.lit(i))
-            seen = F.lit(0)
-            for name, n in covered.items():
-                if name.startswith(f"{dimensions[i]}:"):
-                    seen = F.when(cell == name, n).otherwise(seen)
-            novelty = novelty + 1.0 / (1.0 + seen)
-        open_rows = keyed.filter(~F.col(key).isin(chosen)) if chosen else keyed
-        best = (
-            open_rows.withColumn("_score", F.round(novelty + F.col("_bonus"), 9))
-            .orderBy(F.desc("_score"), *[f"_t{i}" for i in range(len(tie))], key)
-            .limit(1)
-            .collect()
-        )
-        if not best:
+    while len(chosen) < k and held:
+        open_ = [(c, rs[taken.get(c, 0)]) for c, rs in held.items() if taken.get(c, 0) < len(rs)]
+        best = None
+        for c, row in open_:
+            score = round(sum(1.0 / (1.0 + covered.get((i, v), 0)) for i, v in enumerate(c)) + (row["_bonus"] or 0.0), 9)
+            place = (-score, order(row))
+            if best is None or place < best[0]:
+                best = (place, c, row)
+        score = -best[0][0] if best else None
+        short = any(taken.get(c, 0) == len(rs) == depth for c, rs in held.items()) and depth < k
+        outside = classes < n_classes and (score is None or len(dimensions) + (left or 0.0) >= score - 1e-9)
+        if short or outside:
+            depth, classes = depth * (2 if short else 1), classes * (2 if outside else 1)
+            held, left = fetch()
+            continue
+        if best is None:
             break
-        chosen.append(best[0][key])
-        for name in best[0]["_keys"]:
-            covered[name] = covered.get(name, 0) + 1
-    order = F.array_position(F.array(*[F.lit(c) for c in chosen]), F.col(key))
-    return features.filter(F.col(key).isin(chosen)).withColumn("pick", order.cast("int"))
+        chosen.append(best[2]["_key"])
+        taken[best[1]] = taken.get(best[1], 0) + 1
+        for cell in enumerate(best[1]):
+            covered[cell] = covered.get(cell, 0) + 1
+    schema = f"_picked {features.schema[key].dataType.simpleString()}, pick int"
+    picks = features.sparkSession.createDataFrame([(c, i + 1) for i, c in enumerate(chosen)], schema)
+    return features.join(F.broadcast(picks), F.col(key) == F.col("_picked")).drop("_picked")
 
 
 def joint_panels(features: DataFrame, *, key: str, strata: list[str], size: int, panels: tuple[str, str] = ("calibration", "validation"), seed: str = "0") -> DataFrame:

@@ -193,7 +193,24 @@ def audit_report(t):
     return J.audit_report(audited(t)).withColumn("eligible_rate", F.round("eligible_rate", 6))
 
 
-@query("coverage_select")
+# one row a step: what it adds, given the values chosen so far
+COVERAGE = """
+with recursive f as (select x.order_id, x.voucher_type as a, x.discount_type as b, budget_difficulty as c, p.budget - p.price_after_voucher as budget_slack, case when budget_difficulty = 'hard' then 0.5 else 0.0 end + 0.1::double * x.product_count as bonus
+  from x_feature x join v_plan p on p.order_id = x.order_id),
+classes as (select * from (select *, row_number() over (partition by a, b, c order by round(bonus, 9) desc, budget_slack nulls first, order_id) as r from f) x where r <= {k}),
+steps(i, ids, a, b, c) as (
+  select 0, []::bigint[], []::varchar[], []::varchar[], []::varchar[]
+  union all
+  select i + 1, list_append(any_value(ids), arg_min(order_id, o)), list_append(any_value(sa), arg_min(a, o)), list_append(any_value(sb), arg_min(b, o)), list_append(any_value(sc), arg_min(c, o))
+  from (select s.i, s.ids, s.a as sa, s.b as sb, s.c as sc, f.order_id, f.a, f.b, f.c,
+          row(-round(1 / (1 + len(list_filter(s.a, lambda x: x = f.a)))::double + 1 / (1 + len(list_filter(s.b, lambda x: x = f.b)))::double + 1 / (1 + len(list_filter(s.c, lambda x: x = f.c)))::double + f.bonus, 9),
+              f.budget_slack is not null, f.budget_slack, f.order_id) as o
+        from steps s join classes f on not list_contains(s.ids, f.order_id) where s.i < {k}) z group by i)
+select unnest(ids) as order_id, unnest(range(1, len(ids) + 1))::int as pick from (select ids from steps order by i desc limit 1) l
+"""
+
+
+@query("coverage_select", COVERAGE.format(k=12))
 def coverage_select(t):
     f = J.query_features(t.v_plan)
     bonus = F.when(F.col("budget_difficulty") == "hard", 0.5).otherwise(0.0) + 0.1 * F.col("product_count")
@@ -201,6 +218,15 @@ def coverage_select(t):
     return out.select("order_id", "pick")
 
 
+@query("coverage_select_many", COVERAGE.format(k=100))
+def coverage_select_many(t):
+    """More rows than one fetch holds: the bounds and lists are widened on the way."""
+    f = J.query_features(t.v_plan)
+    bonus = F.when(F.col("budget_difficulty") == "hard", 0.5).otherwise(0.0) + 0.1 * F.col("product_count")
+    out = J.coverage_select(f, key="order_id", dimensions=["voucher_type", "discount_type", "budget_difficulty"], bonus=bonus, k=100, tie=[F.col("budget_slack")], classes=3)
+    return out.select("order_id", "pick")
+
+
 @query("joint_panels", """
 with s as (select voucher_type, discount_type, product_count, count(*) as size, count(*) * 100 / (select count(*) from x_feature)::double as exact, floor(count(*) / 2) as cap from x_feature group by 1, 2, 3),
 b as (select *, least(floor(exact), cap) as base from s),

@@ -105,6 +105,24 @@ def test_coverage_against_brute_force(spark):
     assert [i for i, _ in sorted(got.items(), key=lambda x: x[1])] == want
 
 
+@pytest.mark.parametrize(("k", "classes", "depth"), [(150, 2, 1), (40, 1, 1), (200, None, 2), (0, None, 2)])
+def test_coverage_of_many_rows(spark, k, classes, depth):
+    """Fetches that must widen give what a pass over all rows gives; more asked for than there are; nulls and ties."""
+    rng = np.random.default_rng(2)
+    pick = lambda n: f"v{n}" if n else None
+    rows = [(i, pick(int(rng.integers(9))), pick(int(rng.integers(6))), float(rng.integers(4)) / 8, int(rng.integers(2))) for i in range(180)]
+    df = spark.createDataFrame(rows, "id int, a string, b string, bonus double, t int")
+    out = J.coverage_select(df, key="id", dimensions=["a", "b"], bonus=F.col("bonus"), k=k, tie=[F.col("t")], classes=classes, depth=depth).collect()
+    covered, left, want = {}, list(rows), []
+    for _ in range(min(k, len(rows))):
+        best = min(left, key=lambda r: (-round(sum(1 / (1 + covered.get((d, r[d]), 0)) for d in (1, 2)) + r[3], 9), r[4], r[0]))
+        want.append(best[0])
+        left.remove(best)
+        for d in (1, 2):
+            covered[d, best[d]] = covered.get((d, best[d]), 0) + 1
+    assert [r.id for r in sorted(out, key=lambda r: r.pick)] == want
+
+
 def test_swap_repair(spark):
     # test queries 0..9 share products with train 100..109; 200.. are free
     lines = [(q, f"p{q % 100}", "test" if q < 50 else "train") for q in [*range(20), *range(100, 110)]] + [(200 + i, f"free{i}", "train") for i in range(15)]
