@@ -9,6 +9,8 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -424,15 +426,20 @@ def title_only_cap(df: DataFrame, *, order: str, title_only: str, products: str,
     return summed.withColumn("accepted", (F.col(title_only) == 0) | (F.col("_sum") <= limit)).drop("_sum")
 
 
+#: Choices that are made by a round each.
+ROUNDS = 64
+
+
 def maximin_select(vectors: DataFrame, *, key: str, embedding: str, k: int, every: int = 8) -> list:
     """Keys of k vectors, each the farthest (by cosine) from those before it.
 
     The first is the smallest key. One row per round reaches the driver; the
     nearest similarity so far is kept as a column and checkpointed every few
-    rounds. k is at most 64.
+    rounds. Above 64 rounds ``maximin_coreset`` chooses.
     """
-    if k > 64:
-        raise ValueError("maximin_select is meant for k <= 64")
+    if k > ROUNDS:
+        rows = maximin_coreset(vectors, key=key, embedding=embedding, k=k).collect()
+        return [r[key] for r in sorted(rows, key=lambda r: r["pick"])]
     norm = F.sqrt(dot(F.col(embedding), F.col(embedding)))
     unit = vectors.filter(norm > 0).select(key, F.transform(embedding, lambda x: x.cast("double") / norm).alias("_u"))
     state = unit.withColumn("_near", F.lit(-2.0))
@@ -452,6 +459,50 @@ def maximin_select(vectors: DataFrame, *, key: str, embedding: str, k: int, ever
     return chosen
 
 
+#: Vectors that are spread out in one task.
+PIECE_ROWS = 50_000
+
+
+def maximin_coreset(vectors: DataFrame, *, key: str, embedding: str, k: int, piece_rows: int | None = None) -> DataFrame:
+    """``key, pick``: k vectors far from one another (by angle), in about log(n) jobs for any k.
+
+    Vectors are dealt by hash to pieces; a piece keeps k of its own, each the
+    farthest from those before it, and what the pieces keep is dealt again
+    until one piece holds it, which chooses the k in the same way. A table of
+    one piece gives what ``maximin_select`` gives. Else the least angle
+    between two chosen vectors is at least a sixth of the largest possible
+    with one level of pieces (such selections are core-sets of factor 3, the
+    last one adds a factor of 2), and a third of that for every further
+    level; a level divides the rows by ``piece_rows`` / k, so there are few.
+    Vectors without a length are left out.
+    """
+    piece_rows = max(piece_rows or PIECE_ROWS, 4 * k)
+    kind = vectors.schema[key].dataType.simpleString()
+    rows = vectors.select(F.col(key).alias("_key"), F.col(embedding).cast("array<double>").alias("_v")).filter(dot(F.col("_v"), F.col("_v")) > 0)
+
+    def farthest(table: pa.Table) -> pa.Table:
+        keys = table.column("_key").to_pylist()
+        v = np.array(table.column("_v").to_pylist())
+        unit = v / np.sqrt((v * v).sum(axis=1, keepdims=True))
+        order = np.array(sorted(range(len(keys)), key=keys.__getitem__))
+        unit, near, chosen = unit[order], np.full(len(keys), -2.0), [0]
+        while len(chosen) < min(k, len(keys)):
+            near = np.maximum(near, np.round(unit @ unit[chosen[-1]], 9))
+            near[chosen] = 9.0
+            chosen.append(int(near.argmin()))  # ties to the smaller key
+        return table.take(pa.array(order[chosen])).select(["_key", "_v"]).append_column("pick", pa.array(range(1, len(chosen) + 1), pa.int32()))
+
+    schema = f"_key {kind}, _v array<double>, pick int"
+    left = rows.count()
+    while left > piece_rows:
+        pieces = -(-left // piece_rows)
+        dealt = rows.withColumn("_piece", F.pmod(F.xxhash64("_key", F.lit(pieces)), F.lit(pieces)))
+        rows = materialize(dealt.groupBy("_piece").applyInArrow(lambda t: farthest(t.drop_columns(["_piece"])), schema).drop("pick"), "core-set")
+        left = rows.count()
+    last = rows.withColumn("_piece", F.lit(0)).groupBy("_piece").applyInArrow(lambda t: farthest(t.drop_columns(["_piece"])), schema)
+    return last.filter(F.col("pick") <= k).select(F.col("_key").alias(key), "pick")
+
+
 def validate_plan(plans: DataFrame, lines: DataFrame) -> DataFrame:
     """``sample_id, failed``: names of the broken rules per plan (empty when fine).
 

@@ -256,7 +256,26 @@ def title_only_cap(t):
     return D.title_only_cap(df, order="c_custkey", title_only="t", products="n", max_share=0.1).select("c_custkey", "accepted")
 
 
-@query("maximin_select")
+# one vector a step: the farthest from all those before it
+MAXIMIN = """
+with recursive w as (select vec_id, list_transform(embedding, lambda x: x::double) as e from embeddings),
+v as (select vec_id, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) as u from w where list_dot_product(e, e) > 0),
+steps(i, ids, us) as (
+  select 1, [min(vec_id)], [arg_min(u, vec_id)] from v
+  union all
+  select i + 1, list_append(any_value(ids), arg_min(vec_id, o)), list_append(any_value(us), arg_min(u, o))
+  from (select s.i, s.ids, s.us, v.vec_id, v.u, row(list_max(list_transform(s.us, lambda c: round(list_dot_product(v.u, c), 9))), v.vec_id) as o
+        from steps s join v on not list_contains(s.ids, v.vec_id) where s.i < {k}) z group by i)
+select unnest(ids) as vec_id, unnest(range(1, len(ids) + 1))::int as pick from (select ids from steps order by i desc limit 1) l
+"""
+
+
+@query("maximin_select_many", MAXIMIN.format(k=100))
+def maximin_select_many(t):
+    return D.maximin_coreset(t.embeddings, key="vec_id", embedding="embedding", k=100)
+
+
+@query("maximin_select", MAXIMIN.format(k=8))
 def maximin_select(t):
     keys = D.maximin_select(t.embeddings, key="vec_id", embedding="embedding", k=8)
     place = F.array_position(F.array(*[F.lit(k) for k in keys]), F.col("vec_id"))

@@ -1,5 +1,7 @@
 """Plans, splits and selections: invariants and brute force."""
 
+import itertools
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -105,6 +107,26 @@ def test_coverage_against_brute_force(spark):
     assert [i for i, _ in sorted(got.items(), key=lambda x: x[1])] == want
 
 
+def test_maximin_coreset(spark):
+    """One piece: the serial choice. Many pieces: within the stated factor of the best of all subsets, repeated vectors included."""
+    rng = np.random.default_rng(3)
+    vecs = np.round(rng.normal(size=(300, 5)), 2)
+    vecs[100:200] = vecs[0]
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vecs)] + [(999, [0.0] * 5)], "id int, v array<double>")
+    assert D.maximin_select(df, key="id", embedding="v", k=12) == [r.id for r in sorted(D.maximin_coreset(df, key="id", embedding="v", k=12).collect(), key=lambda r: r.pick)]
+    many = D.maximin_select(df, key="id", embedding="v", k=100)
+    assert len(set(many)) == 100 and 999 not in many
+    few = vecs[:22]
+    unit = few / np.linalg.norm(few, axis=1, keepdims=True)
+    angle = np.arccos(np.clip(unit @ unit.T, -1, 1))
+    least = lambda ids: min(angle[a, b] for a, b in itertools.combinations(ids, 2))
+    best = max(map(least, itertools.combinations(range(22), 4)))
+    small = df.filter("id < 22")
+    got = [r.id for r in D.maximin_coreset(small, key="id", embedding="v", k=4, piece_rows=8).collect()]  # pieces of 16 at least
+    assert len(set(got)) == 4 and least(got) >= best / 6
+    assert D.maximin_coreset(small.limit(0), key="id", embedding="v", k=4).count() == 0
+
+
 @pytest.mark.parametrize(("k", "classes", "depth"), [(150, 2, 1), (40, 1, 1), (200, None, 2), (0, None, 2)])
 def test_coverage_of_many_rows(spark, k, classes, depth):
     """Fetches that must widen give what a pass over all rows gives; more asked for than there are; nulls and ties."""
