@@ -136,7 +136,8 @@ def score_last_number(solution: Column, truth: Column, *, strict: bool = True, f
 def normalize_answer(text: Column) -> Column:
     """Lower case, no ASCII punctuation, no articles, single spaces."""
     plain = F.regexp_replace(F.lower(text), r"[!-/:-@\[-`{-~]", "")
-    return normalize_space(F.regexp_replace(plain, r"\b(a|an|the)\b", " "))
+    # letters of all languages are parts of words
+    return normalize_space(F.regexp_replace(plain, r"(?U)\b(a|an|the)\b", " "))
 
 
 def tagged_answer(solution: Column) -> Column:

@@ -63,13 +63,14 @@ def score_qa_subem(t):
     return scored(t, "qa", lambda s, g: N.score_qa_subem(s, F.array(g), format_score=0.1))
 
 
-@query("normalize_answer", """
-select conv_id, turn, md5(trim(regexp_replace(regexp_replace(regexp_replace(lower(text), '[!-/:-@\\[-`{-~]', '', 'g'), '\\b(a|an|the)\\b', ' ', 'g'), '\\s+', ' ', 'g'))) as digest from conversations where lang_ascii
-""".replace("where lang_ascii", "where not regexp_matches(text, '[^ -~\\s]')"))
+# articles between characters that are no part of a word; twice, since neighbours share these
+ARTICLES = "regexp_replace({0}, '(^|[^\\p{{L}}\\p{{M}}\\p{{Nd}}_])(a|an|the)($|[^\\p{{L}}\\p{{M}}\\p{{Nd}}_])', '\\1 \\3', 'g')"
+PLAIN = "regexp_replace(lower(text), '[!-/:-@\\[-`{-~]', '', 'g')"
+
+
+@query("normalize_answer", "select conv_id, turn, md5(trim(regexp_replace(" + ARTICLES.format(ARTICLES.format(PLAIN)) + ", '\\s+', ' ', 'g'))) as digest from conversations")
 def normalize_answer(t):
-    # word boundaries next to accented letters differ between regex engines
-    plain = t.conversations.filter(~F.col("text").rlike(r"[^ -~\s]"))
-    return plain.select("conv_id", "turn", F.md5(N.normalize_answer(F.col("text"))).alias("digest"))
+    return t.conversations.select("conv_id", "turn", F.md5(N.normalize_answer(F.col("text"))).alias("digest"))
 
 
 @query("score_answer_line", RIGHT.format(src="line", bad="-1.0"))

@@ -185,8 +185,8 @@ def ablation_recovery(t):
 
 
 view("v_text_vector", """
-select p.product_id as text_id, e.embedding from v_product p join embeddings e
-  on e.vec_id = cast(p.product_id as bigint) % 500
+select p.product_id as text_id, e.embedding from (select product_id, n from v_product, (select max(vec_id) + 1 as n from embeddings) m) p join embeddings e
+  on e.vec_id = cast(p.product_id as bigint) % p.n
 """)
 
 
