@@ -185,6 +185,7 @@ def candidate_audit(
     opener_ok = F.lit(True)
     for name, start in OPENERS.items():
         opener_ok = F.when(F.col("opener") == name, text.startswith(start)).otherwise(opener_ok)
+    # fixed values: the names of the reasons
     rules = [
         ("missing_plan", F.col("_plan").isNull()),
         ("empty_query", F.trim(text) == ""),
