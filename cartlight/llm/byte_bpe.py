@@ -5,7 +5,8 @@ up in a literal rank map (``encode_word``). ``encode_texts`` folds every word
 that it can not look up:
 
 1. the texts that hold a word are counted for all words, and the most frequent
-   words (at most ``HEAD``) are folded once; they and their ids are broadcast;
+   words (at most ``HEAD``) are folded once; they and their ids are left in
+   the shared folder, where a worker reads them;
 2. a worker cuts each text into words, writes the ids of those and leaves a
    place for each other one, listing a text's distinct other words;
 3. the fold runs over these lists, and the ids go to their places.
@@ -31,18 +32,20 @@ from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import regex
-from pyspark.sql import Column, DataFrame
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cartlight.llm.common import append_columns, narrow, position, slices
-from cartlight.session import materialize
+from cartlight.session import materialize, work_path
 
 #: More than any token id.
 SPAN_BITS = 20
 SPAN = 1 << SPAN_BITS
-#: Most frequent words that are folded once and broadcast.
+#: Most frequent words that are folded once and read by every worker.
 HEAD = 600_000
 #: Word counts up to here are told apart exactly when the head is chosen.
 EXACT = 64
@@ -53,6 +56,8 @@ CACHE = 400_000
 #: Bytes of a word up to which merges are folded over an array; beyond, a heap avoids work that grows with the square.
 FOLD_BYTES = 200
 NONE = 2**31 - 1
+#: Characters of a plan's text that the driver keeps.
+PLAN_TEXT = 1_000_000
 #: A slice's length that takes all that follows.
 REST = 1 << 30
 #: A single space between two characters that are not white space.
@@ -93,8 +98,8 @@ def two_tables(packed: dict[int, int]) -> tuple[list[int], list[int]]:
     return first, second
 
 
-def rank_literal(ranks: dict[bytes, int]) -> Column:
-    """The rank map as one literal of flat arrays.
+def rank_tables(ranks: dict[bytes, int]) -> str:
+    """The rank map as flat arrays, in JSON.
 
     ids of single bytes, ranks of two bytes, and for pairs of ids two tables of
     (left id, right id, id of their token) packed into one number.
@@ -113,8 +118,12 @@ def rank_literal(ranks: dict[bytes, int]) -> Column:
         "first": first,
         "second": second,
     }
-    kinds = "bytes array<int>, twos array<int>, first array<bigint>, second array<bigint>"
-    return F.from_json(F.lit(json.dumps(table, separators=(",", ":"))), kinds)
+    return json.dumps(table, separators=(",", ":"))
+
+
+def rank_literal(tables: str) -> Column:
+    """The tables of a rank map as one literal."""
+    return F.from_json(F.lit(tables), "bytes array<int>, twos array<int>, first array<bigint>, second array<bigint>")
 
 
 def let(value: Column, use) -> Column:
@@ -309,8 +318,8 @@ def count_words(docs: DataFrame, pattern: str, tokens: set[bytes]) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def fold_head(docs: DataFrame, ranks: dict[bytes, int], pattern: str, most: int) -> pa.Table:
-    """(word, ids) of the most frequent words, at most ``most``: all those whose count is above some level."""
+def fold_head(docs: DataFrame, ranks: dict[bytes, int], tables: str, pattern: str, most: int) -> str | None:
+    """Where (word, ids) of the most frequent words lie, at most ``most``: all those whose count is above some level. None: no word."""
     counts = materialize(count_words(docs, pattern, set(ranks)), "bpe-words")
     level = F.when(F.col("n") <= EXACT, F.col("n")).otherwise(EXACT + F.floor(F.log2(F.col("n") / EXACT) * 4) + 1).cast("int")
     least, held = None, 0
@@ -320,9 +329,31 @@ def fold_head(docs: DataFrame, ranks: dict[bytes, int], pattern: str, most: int)
             break
         least = row["level"]
     if least is None:
-        return pa.table({"word": pa.array([], pa.binary()), "ids": pa.array([], pa.list_(pa.int32()))})
+        return None
     byte = F.transform(F.split(F.decode("word", "ISO-8859-1"), ""), F.ascii)
-    return counts.filter(level >= least).select("word", let(rank_literal(ranks), lambda t: encode_word(byte, t)).alias("ids")).toArrow()
+    path = work_path(docs.sparkSession, "bpe-head")
+    counts.filter(level >= least).select("word", let(rank_literal(tables), lambda t: encode_word(byte, t)).alias("ids")).write.parquet(path)
+    return path
+
+
+def read_head(path: str | None) -> Iterator[tuple[str, bytes]]:
+    """The words of a head with their ids as bytes, some at a time."""
+    if path is None:
+        return
+    system, folder = fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", path))
+    for info in system.get_file_info(fs.FileSelector(folder)):
+        if not info.base_name.endswith(".parquet"):
+            continue
+        with system.open_input_file(info.path) as source:
+            for some in pq.ParquetFile(source).iter_batches(10_000, columns=["word", "ids"]):
+                yield from ((w.decode("utf-8", "surrogatepass"), pack(ids)) for w, ids in zip(some.column(0).to_pylist(), some.column(1).to_pylist()))
+
+
+def _short_plans(spark: SparkSession) -> None:
+    """Plan texts are cut at a million characters unless the session says otherwise: the literals would fill the driver, which keeps these texts."""
+    name = "spark.sql.maxPlanStringLength"
+    if name not in spark.conf.getAll:
+        spark.conf.set(name, str(PLAN_TEXT))
 
 
 _encoders: dict[str, Encoder] = {}
@@ -333,30 +364,32 @@ def encode_texts(df: DataFrame, rank_path: str, pattern: str, text_col: str = "t
 
     Every match of ``pattern`` is encoded alone and no special token is known.
     A null or empty text has no id. ``df`` is read twice: words are counted at
-    once. The rank file and at most ``head`` words with their ids are
-    broadcast; the head changes no result, only how often a word is folded.
+    once. The rank map is broadcast; at most ``head`` words with their ids are
+    read from the shared folder (spark.checkpoint.dir, by pyarrow's file
+    systems). The head changes no result, only how often a word is folded.
     Repeated rows are encoded alike, an empty table gives an empty one; input
     columns named like a result are replaced.
     """
     at = position(df, text_col)
     ranks = load_ranks(rank_path)
-    words = fold_head(narrow(df.toDF(*map(str, range(len(df.columns)))), text=str(at)), ranks, pattern, head)
-    shared = df.sparkSession.sparkContext.broadcast((ranks, words))
+    tables = rank_tables(ranks)
+    _short_plans(df.sparkSession)
+    words = fold_head(narrow(df.toDF(*map(str, range(len(df.columns)))), text=str(at)), ranks, tables, pattern, head)
+    shared = df.sparkSession.sparkContext.broadcast(ranks)
     key = uuid.uuid4().hex
 
     def make(batches: Iterator[pa.RecordBatch]):
         encoder = _encoders.get(key)
         if encoder is None:
             _encoders.clear()
-            tokens, table = shared.value
+            tokens = shared.value
             known = {}
             for token, rank in tokens.items():
                 try:
                     known[token.decode()] = pack([rank])
                 except UnicodeDecodeError:  # part of a character: never a word
                     continue
-            for chunk in table.to_batches(max_chunksize=10_000):
-                known.update((w.decode("utf-8", "surrogatepass"), pack(ids)) for w, ids in zip(chunk.column(0).to_pylist(), chunk.column(1).to_pylist()))
+            known.update(read_head(words))
             encoder = _encoders[key] = Encoder(tokens, pattern, known)
         for batch in batches:
             for part in slices(batch):
@@ -373,7 +406,7 @@ def encode_texts(df: DataFrame, rank_path: str, pattern: str, text_col: str = "t
     cut = cut.toDF(*(f"c{i}" for i in range(len(names))))
     keep = [F.col(f"c{i}").alias(n) for i, n in enumerate(names[:-2]) if n.lower() not in new]
     found, others = F.col(f"c{len(names) - 2}"), F.col(f"c{len(names) - 1}")
-    folded = F.when(F.size(others) > 0, let(rank_literal(ranks), lambda t: F.transform(others, lambda w: encode_word(w, t))))
+    folded = F.when(F.size(others) > 0, let(rank_literal(tables), lambda t: F.transform(others, lambda w: encode_word(w, t))))
     placed = let(folded, lambda words: F.flatten(F.transform(found, lambda i: F.when(i >= 0, F.array(i)).otherwise(F.get(words, -1 - i)))))
     whole = cut.select(*keep, F.when(F.size(others) == 0, found).otherwise(placed).alias("ids"))
     return whole.select(*whole.columns[:-1], F.size("ids").cast("bigint").alias("n_tokens"), "ids", ids_le(F.col("ids"), max(ranks.values(), default=-1)).alias("ids_le"))

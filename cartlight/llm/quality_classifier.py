@@ -162,7 +162,11 @@ def train(
     if not found.num_rows:
         return None
     ids = found.column("ids").combine_chunks()
-    return fit_ordinal(ids.flatten().to_numpy(), np.diff(ids.offsets.to_numpy()), np.asarray(found.column("grade")), n_grades)
+    flat, size, grades = ids.flatten().to_numpy(), np.diff(ids.offsets.to_numpy()), np.asarray(found.column("grade"))
+    model = fit_ordinal(flat, size, grades, n_grades)
+    del found, ids, flat, size, grades
+    pa.default_memory_pool().release_unused()  # the driver goes on with other work
+    return model
 
 
 FIELDS = [T.StructField("expected_grade", T.DoubleType()), T.StructField("p_tail", T.DoubleType()), T.StructField("kept", T.BooleanType())]
