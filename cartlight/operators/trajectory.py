@@ -14,8 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cartlight.functions.ranking import neighbour, running
+from cartlight.functions.ranking import has_hot_group, neighbour, running
 from cartlight.functions.text import occurrences
+from cartlight.session import materialize
 
 # fixed values: message roles and tools
 USER_ROLES = ["user"]
@@ -468,46 +469,118 @@ def search_trace(calls: DataFrame, *, by: str = "traj_id", hot: bool | None = No
     )
 
 
-VALID_CHECK_SCHEMA = "traj_id bigint, step int, budget_ids string"
+CHAIN_SCHEMA = "traj_id bigint, step int"
 
 
-def valid_checks(turns: DataFrame) -> DataFrame:
-    """Budget checks backed by views after the last non-empty search.
+def _chain_checks(rows: DataFrame) -> DataFrame:
+    """Valid checks of chains, in step order: an id must be in the last valid check or found after it.
 
-    ``turns``: traj_id, step, found (ids), viewed (ids), checked (ids of a
-    budget check whose amounts agree, else null). Whether a check counts
-    depends on the checks before it, so each trajectory is scanned in step
-    order. The rows arrive sorted and in batches; only the running id sets are
-    kept, never the rows of a trajectory.
+    ``rows``: traj_id, chain, step, needs (id and the step that found it last).
+    Rows come sorted and in batches; one check's ids are kept.
     """
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, active, viewed, searched = None, set(), set(), -1
-        view_step = -1
+        chain, last, held = None, None, set()
         for batch in batches:
             out = []
             for row in batch.itertuples(index=False):
-                if row.traj_id != current:
-                    current, active, viewed, searched, view_step = row.traj_id, set(), set(), -1, -1
-                found = set(row.found) if row.found is not None else set()
-                now = set(row.viewed) if row.viewed is not None else set()
-                active |= found
-                if found:
-                    viewed, searched = set(), row.step
-                if now:
-                    viewed |= now
-                    view_step = row.step
-                if row.checked is None or not len(row.checked) or not viewed or view_step <= searched:
-                    continue
-                wanted = set(row.checked)
-                if len(wanted) != len(row.checked) or not wanted <= active or wanted not in (now, viewed):
-                    continue
-                out.append((row.traj_id, row.step, ",".join(row.checked)))
-                active = set(wanted)
-            yield pd.DataFrame(out, columns=["traj_id", "step", "budget_ids"])
-
-    ordered = turns.select("traj_id", "step", "found", "viewed", "checked").repartition("traj_id")
-    return ordered.sortWithinPartitions("traj_id", "step").mapInPandas(scan, VALID_CHECK_SCHEMA)
+                if (row.traj_id, row.chain) != chain:
+                    chain, last, held = (row.traj_id, row.chain), None, set()
+                if last is None or all(need["found"] > last or need["id"] in held for need in row.needs):
+                    out.append((row.traj_id, row.step))
+                    last, held = row.step, {need["id"] for need in row.needs}
+            yield pd.DataFrame(out, columns=["traj_id", "step"])
+
+    sent = rows.select("traj_id", "chain", "step", "needs").repartition("traj_id", "chain")
+    return sent.sortWithinPartitions("traj_id", "chain", "step").mapInPandas(scan, CHAIN_SCHEMA)
+
+
+def check_chains(turns: DataFrame, *, hot: bool | None = None) -> DataFrame:
+    """Checks that meet every rule but the one on earlier checks, cut into chains that do not depend on each other.
+
+    A search with results starts a segment, so what was viewed since is known
+    without any check. What was found is known too; an earlier check matters
+    only for an id that was not found again after it. So a check whose ids were
+    all found after the check before it is valid whatever came before, and
+    starts a chain (``anchor``). Columns: traj_id, step, budget_ids, needs,
+    previous, anchor, chain.
+    """
+    by, step = ["traj_id"], F.col("step")
+    if hot is None:
+        hot = has_hot_group(turns, by)
+
+    def ids(name: str) -> Column:
+        return F.coalesce(F.array_distinct(F.array_compact(name)), F.array().cast("array<string>"))
+
+    base = turns.select("traj_id", F.col("step").cast("int").alias("step"), ids("found").alias("found"), ids("viewed").alias("viewed"), "checked")
+    finds, views = F.size("found") > 0, F.size("viewed") > 0
+    facts = materialize(
+        running(
+            base,
+            by,
+            [step],
+            {"segment": ("sum", finds.cast("int")), "searched": ("max", F.when(finds, step)), "seen": ("max", F.when(views, step))},
+            upto="current",
+            hot=hot,
+        ),
+        "check-facts",
+    )
+    n = F.size("checked")
+    distinct = (n > 0) & (F.size(F.array_distinct(F.array_compact("checked"))) == n)
+    now = (F.size("viewed") == n) & (F.size(F.array_intersect("viewed", "checked")) == n)
+    checks = facts.filter(distinct & (F.col("segment") > 0) & (F.col("seen") > F.col("searched"))).select(
+        "traj_id", "step", "segment", "checked", n.alias("n"), now.alias("now")
+    )
+    wanted = checks.select("traj_id", "step", "segment", F.explode("checked").alias("id"))
+
+    # views: the first one of every id in its segment, and how many ids were viewed up to a check
+    firsts = facts.filter((F.col("segment") > 0) & views).select("traj_id", "segment", "step", F.explode("viewed").alias("id"))
+    firsts = firsts.groupBy("traj_id", "segment", "id").agg(F.min("step").alias("first"))
+    events = firsts.groupBy("traj_id", "segment", F.col("first").alias("step")).agg(F.count("*").alias("new"))
+    events = events.select("*", F.lit(0).alias("kind")).unionByName(checks.select("traj_id", "segment", "step", F.lit(0).cast("bigint").alias("new"), F.lit(1).alias("kind")))
+    counted = running(events, ["traj_id", "segment"], [step, F.col("kind")], {"n_viewed": ("sum", F.col("new"))}, upto="current", hot=hot)
+    counted = counted.filter("kind = 1").select("traj_id", "step", "n_viewed")
+
+    # finds: the last one of every wanted id up to the check
+    found = facts.filter(finds).select("traj_id", "step", F.explode("found").alias("id")).join(wanted.select("traj_id", "id").distinct(), ["traj_id", "id"], "left_semi")
+    asked = wanted.select("traj_id", "id", "step", "segment", F.lit(None).cast("int").alias("at"), F.lit(1).alias("kind"))
+    both = asked.unionByName(found.select("traj_id", "id", "step", F.lit(None).cast("bigint").alias("segment"), F.col("step").alias("at"), F.lit(0).alias("kind")))
+    dated = running(both, ["traj_id", "id"], [step, F.col("kind")], {"found": ("max", F.col("at"))}, upto="current", hot=hot).filter("kind = 1")
+    facts_of = dated.join(firsts, ["traj_id", "segment", "id"], "left").groupBy("traj_id", "step").agg(
+        F.count_if(F.col("found").isNull()).alias("n_unknown"),
+        F.min("found").alias("oldest"),
+        F.count_if(F.col("first") <= F.col("step")).alias("n_in"),
+        F.collect_list(F.struct("id", "found")).alias("needs"),
+    )
+    whole = (F.col("n_in") == F.col("n")) & (F.col("n_viewed") == F.col("n"))
+    good = checks.join(facts_of, ["traj_id", "step"]).join(counted, ["traj_id", "step"]).filter((F.col("n_unknown") == 0) & (F.col("now") | whole))
+    good = good.select("traj_id", "step", F.array_join("checked", ",").alias("budget_ids"), "oldest", "needs")
+    after = running(good, by, [step], {"previous": ("max", step)}, hot=hot)
+    anchor = F.col("previous").isNull() | (F.col("oldest") > F.col("previous"))
+    return running(after.withColumn("anchor", anchor), by, [step], {"chain": ("sum", F.col("anchor").cast("int"))}, upto="current", hot=hot).drop("oldest")
+
+
+def valid_checks(turns: DataFrame, *, hot: bool | None = None) -> DataFrame:
+    """Budget checks backed by views after the last non-empty search: traj_id, step, budget_ids.
+
+    ``turns``: one row per traj_id and step with found (ids), viewed (ids) and
+    checked (ids of a budget check whose amounts agree, else null). A check
+    counts if it names distinct ids, all active (found since the last valid
+    check, or part of it), and exactly those viewed in its turn or since the
+    last search, with a view in a later turn than that search.
+
+    A trajectory of any length is spread over tasks (``hot``; counted if not
+    given): views and finds are running facts, and checks fall into chains by
+    themselves (``check_chains``). Only a chain of several checks is scanned in
+    order, over the checks alone; a chain goes on as long as ids are checked
+    again without being found again. Null ids are left out of finds and views;
+    a check that names one never counts. An empty table gives an empty one.
+    """
+    rows = materialize(check_chains(turns, hot=hot), "check-chains")
+    linked = rows.filter("not anchor").select("traj_id", "chain").distinct()
+    later = _chain_checks(rows.join(linked, ["traj_id", "chain"], "left_semi"))
+    later = rows.filter("not anchor").join(later, ["traj_id", "step"], "left_semi")
+    return rows.filter("anchor").unionByName(later).select("traj_id", "step", "budget_ids")
 
 
 def state_of_turns(turns: DataFrame, *, by: str = "traj_id", hot: bool | None = None) -> DataFrame:

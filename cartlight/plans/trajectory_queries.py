@@ -289,7 +289,28 @@ def check_turns(t):
     return rest.join(found, ["traj_id", "step"], "left")
 
 
-@query("valid_checks")
+# a serial replay of the rules, turn by turn
+WALK = """
+with recursive f as (select traj_id, step, list(distinct product_id) as found from v_results group by 1, 2),
+c as (select traj_id, step, string_split(max(product_ids) filter (name = 'view_product_information'), ',') as viewed,
+   string_split(max(product_ids) filter (name = 'budget_check' and k % 10 <> 9), ',') as checked from v_calls group by 1, 2),
+turn as (select c.traj_id, c.step, row_number() over (partition by c.traj_id order by c.step) as n, coalesce(f.found, cast([] as varchar[])) as found,
+   coalesce(c.viewed, cast([] as varchar[])) as viewed, coalesce(c.checked, cast([] as varchar[])) as checked
+   from c left join f on f.traj_id = c.traj_id and f.step = c.step),
+walk(traj_id, n, step, active, seen, searched, view_step, ok, checked) as (
+  select distinct traj_id, cast(0 as bigint), cast(-1 as int), cast([] as varchar[]), cast([] as varchar[]), cast(-1 as int), cast(-1 as int), false, cast([] as varchar[]) from turn
+  union all
+  select traj_id, n, step, case when ok then checked else active end, seen, searched, view_step, ok, checked from (
+    select r.*, len(r.checked) > 0 and r.view_step > r.searched and len(list_distinct(r.checked)) = len(r.checked) and list_has_all(r.active, r.checked)
+        and list_sort(r.checked) in (list_sort(list_distinct(r.viewed)), list_sort(r.seen)) as ok
+    from (select t.traj_id, t.n, t.step, t.viewed, t.checked, list_distinct(list_concat(w.active, t.found)) as active,
+        list_distinct(list_concat(case when len(t.found) > 0 then cast([] as varchar[]) else w.seen end, t.viewed)) as seen,
+        case when len(t.found) > 0 then t.step else w.searched end as searched, case when len(t.viewed) > 0 then t.step else w.view_step end as view_step
+      from walk w join turn t on t.traj_id = w.traj_id and t.n = w.n + 1) r) s)
+"""
+
+
+@query("valid_checks", WALK + "select traj_id, step, array_to_string(checked, ',') as budget_ids from walk where ok")
 def valid_checks(t):
     return G.valid_checks(check_turns(t))
 
@@ -321,7 +342,19 @@ def state_of_turns(t):
     return G.state_of_turns(turns).select("traj_id", "step", "state")
 
 
-@query("state_of_checked_turns")
+@query("state_of_checked_turns", WALK + """,
+call as (select traj_id, step, count(*) filter (name = 'find_product' and n_results > 0) as nonempty,
+   max((name in ('view_product_information', 'budget_check'))::int) as selects from v_calls group by 1, 2),
+g as (select c.traj_id, c.step, sum(nonempty) over w as n_found, max(case when nonempty > 0 then c.step end) over w as last_found,
+   max(case when selects > 0 then c.step end) over w as last_select, max(v.step) over w as last_check
+   from call c left join (select traj_id, step from walk where ok) v on v.traj_id = c.traj_id and v.step = c.step
+   window w as (partition by c.traj_id order by c.step)),
+s as (select traj_id, step, case when last_check is null then case when last_found is null then 'nothing_found'
+   when n_found < 2 and coalesce(last_select, -1) <= last_found then 'first_results' else 'choosing' end
+   when last_found > last_check then 'new_results_after_check' else 'checked' end as reason from g)
+select traj_id, step, reason, case when reason in ('nothing_found', 'first_results') then 'CANDIDATE_SEARCH'
+   when reason = 'checked' then 'DECISION' else 'CANDIDATE_SELECT' end as state from s
+""")
 def state_of_checked_turns(t):
     return G.state_of_turns(turn_states(t)).select("traj_id", "step", "state", "reason")
 

@@ -1,6 +1,7 @@
 """Workflow, parsing and check cases."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -99,7 +100,7 @@ def brute_checks(turns):
         else:
             active = {p for j in range(i + 1) for p in turns[j][0]}
         accumulated = {p for _, v in views for p in v}
-        if set(checked) <= active and set(checked) in (set(viewed), accumulated):
+        if len(set(checked)) == len(checked) and set(checked) <= active and set(checked) in (set(viewed), accumulated):
             checks.append((i, checked))
     return checks
 
@@ -116,6 +117,51 @@ def test_valid_checks_against_replay(spark, tables):
     assert got == want and got
 
 
+TURNS = "traj_id bigint, step int, found array<string>, viewed array<string>, checked array<string>"
+
+
+def random_turns(seed, lengths, ids="abcd"):
+    """Turns with few ids, so that checks often hang on earlier ones."""
+    rng = random.Random(seed)
+
+    def some(share, least=1):
+        return rng.sample(ids, rng.randint(least, 3)) if rng.random() < share else rng.choice([None, []])
+
+    out = []
+    for traj, length in enumerate(lengths):
+        viewed = set()
+        for step in range(length):
+            found, now = some(0.25), some(0.5)
+            viewed = (set() if found else viewed) | set(now or [])
+            checked = rng.choice([sorted(viewed), now, some(1.0)]) if rng.random() < 0.7 else None
+            out.append((traj, step, found, now, checked))
+    return out
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_valid_checks_of_long_chains(spark, hot):
+    rows = random_turns(5, [400, *[12] * 150])
+    by = {}
+    for traj, _, *turn in rows:
+        by.setdefault(traj, []).append([x or [] for x in turn])
+    want = {(traj, step, ",".join(ids)) for traj, turns in by.items() for step, ids in brute_checks(turns)}
+    turns = spark.createDataFrame(rows, TURNS)
+    got = [(r.traj_id, r.step, r.budget_ids) for r in G.valid_checks(turns, hot=hot).collect()]
+    assert set(got) == want and len(got) == len(want)
+    chains = G.check_chains(turns, hot=hot).collect()
+    assert sum(not r.anchor for r in chains) > 50 and any(not r.anchor and (r.traj_id, r.step, r.budget_ids) not in want for r in chains)
+
+
+def test_valid_checks_with_nulls_and_nothing(spark):
+    rows = [
+        (1, 0, ["a", None], None, None), (1, 1, None, ["a", None], ["a"]), (1, 2, None, ["a"], ["a", None]), (1, 3, None, ["a"], ["a", "a"]), (1, 4, None, None, ["a"]),
+        (2, 0, None, ["a"], ["a"]), (3, 0, ["a"], ["a"], ["a"]), (3, 1, None, ["b"], ["b"]),
+    ]
+    got = sorted((r.traj_id, r.step) for r in G.valid_checks(spark.createDataFrame(rows, TURNS)).collect())
+    assert got == [(1, 1), (1, 4)]  # not: a null id, an id twice, no search, a view in the turn of the search only, an id never found
+    assert G.valid_checks(spark.createDataFrame([], TURNS)).collect() == []
+
+
 def test_salvage_keeps_valid_json(spark):
     texts = ['x {"a": 1} y', "[1, 2", "none", '[{"b": [1]}]']
     df = spark.createDataFrame([(t,) for t in texts], "t string")
