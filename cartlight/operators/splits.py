@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartlight.functions.hashing import hash_hex, hash_index
-from cartlight.functions.ranking import ordered_sum, top_k
+from cartlight.functions.ranking import BROADCAST_ROWS, ordered_sum, top_k
 from cartlight.functions.text import normalize_space, tokens, word_count
 from cartlight.operators.matching import EQUAL, match_nearest
 from cartlight.session import materialize
@@ -316,6 +317,108 @@ def joint_panels(features: DataFrame, *, key: str, strata: list[str], size: int,
     return ranked.withColumn("panel", F.when(first, panels[0]).when(second, panels[1])).filter("panel is not null").drop("_rank", "quota")
 
 
+def balanced_counts(sizes: np.ndarray, member: np.ndarray, size: int) -> np.ndarray:
+    """Rows that two panels of ``size`` take of every cell, so that sums over groups of cells stay near their shares.
+
+    ``sizes``: rows of a cell; ``member``: cells x groups of 0 and 1, every
+    cell in one group of each margin. Both panels start with the whole part of
+    their share of each cell, take units one by one where the groups miss most
+    (the panels in turns), and then exchange units, within a panel or between
+    the two, as long as the squares of all deviations fall. Work a step is in
+    proportion to the cells.
+    """
+    share = member.T @ sizes * (size / sizes.sum())
+    width = int(member[0].sum())
+    got = np.tile(np.floor(sizes * (size / sizes.sum())).astype(np.int64), (2, 1))
+    got[1] = np.minimum(got[1], sizes - got[0])
+    off = got @ member - share  # panels x groups
+    for turn in range(2 * size):
+        for panel in (turn % 2, 1 - turn % 2):
+            if got[panel].sum() < size:
+                cost = np.where(sizes - got.sum(axis=0) > 0, member @ off[panel], np.inf)
+                at = int(cost.argmin())
+                got[panel, at] += 1
+                off[panel] += member[at]
+        if (got.sum(axis=1) >= size).all():
+            break
+
+    def best_move(pull: np.ndarray, gives: np.ndarray, takes: np.ndarray, weight: int) -> tuple[float, int, int]:
+        """Cheapest unit from a cell that gives to one that takes; ``pull`` is each cell's sum of deviations."""
+        out = np.where(gives, pull, -np.inf).argsort()[::-1][:64]
+        out = out[gives[out]]
+        if not len(out) or not takes.any():
+            return 0.0, 0, 0
+        change = 2 * (pull[None, :] - pull[out, None]) + 2 * weight * (width - member[out] @ member.T)
+        change = np.where(takes[None, :], change, np.inf)
+        a, b = divmod(int(change.argmin()), change.shape[1])
+        return float(change[a, b]), int(out[a]), b
+
+    while True:
+        free = sizes - got.sum(axis=0) > 0
+        moves = [(*best_move(member @ off[p], got[p] > 0, free, 1), p) for p in (0, 1)]
+        moves.append((*best_move(member @ (off[0] - off[1]), got[0] > 0, got[1] > 0, 2), 2))
+        change, a, b, kind = min(moves)
+        if change > -1e-9:
+            return got
+        step = member[b] - member[a]
+        for panel, sign in {0: [(0, 1)], 1: [(1, 1)], 2: [(0, 1), (1, -1)]}[kind]:
+            got[panel, a] -= sign
+            got[panel, b] += sign
+            off[panel] += sign * step
+
+
+def _cells(dimensions: list[str]) -> list[Column]:
+    return [F.coalesce(F.concat(F.lit("="), F.col(d).cast("string")), F.lit("")).alias(f"_d{i}") for i, d in enumerate(dimensions)]
+
+
+def margin_panels(
+    features: DataFrame, *, key: str, margins: list[list[str]], size: int, panels: tuple[str, str] = ("calibration", "validation"), seed: str = "0"
+) -> DataFrame:
+    """Two disjoint panels of ``size`` rows in which every margin, of one or several columns, is close to its share.
+
+    Only the counts of the cells (distinct combinations of all columns) come to
+    the driver; ``balanced_counts`` says how many rows a panel takes of each,
+    and rows are taken by position in hash order, so a hot cell is spread.
+    Proportional parts of cells round each margin by much more than one row
+    where cells are many and small; here a group is off by less than one row
+    unless the margins contradict each other (``margin_report`` tells). Null is
+    a value like any other. Too few rows for both panels are an error.
+    """
+    dimensions = sorted({d for margin in margins for d in margin})
+    names = [f"_d{i}" for i in range(len(dimensions))]
+    marked = features.select("*", *_cells(dimensions))
+    counts = marked.groupBy(*names).count().orderBy(*names).collect()
+    sizes = np.array([row["count"] for row in counts], dtype=np.int64)
+    if 2 * size > sizes.sum():
+        raise ValueError(f"two panels of {size} rows need {2 * size} rows, there are {sizes.sum()}")
+    groups: dict = {}
+    held = [[groups.setdefault((m, *(row[names[dimensions.index(d)]] for d in margin)), len(groups)) for m, margin in enumerate(margins)] for row in counts]
+    member = np.zeros((len(counts), len(groups)))
+    for cell, columns in enumerate(held):
+        member[cell, columns] = 1
+    got = balanced_counts(sizes, member, size) if len(counts) else np.zeros((2, 0), dtype=np.int64)
+    rows = [(*(row[n] for n in names), int(a), int(b)) for row, a, b in zip(counts, *got) if a + b]
+    quotas = features.sparkSession.createDataFrame(rows, ", ".join(f"{n} string" for n in names) + ", _first bigint, _second bigint")
+    numbered = hash_index(marked, key, seed, name="_place", by=tuple(names))
+    taken = numbered.join(F.broadcast(quotas) if len(rows) <= BROADCAST_ROWS else quotas, names).filter(F.col("_place") <= F.col("_first") + F.col("_second"))
+    return taken.withColumn("panel", F.when(F.col("_place") <= F.col("_first"), panels[0]).otherwise(panels[1])).drop(*names, "_place", "_first", "_second")
+
+
+def margin_report(features: DataFrame, chosen: DataFrame, *, margins: list[list[str]], size: int, panels: tuple[str, str] = ("calibration", "validation")) -> DataFrame:
+    """Every group of every margin: margin, value, n rows, share of a panel, and how far each panel is off."""
+    total = F.broadcast(features.agg(F.count("*").alias("_total")))
+    out = None
+    for margin in margins:
+        value = F.concat_ws("|", *(F.coalesce(F.col(d).cast("string"), F.lit("null")) for d in margin)).alias("value")
+        all_rows = features.groupBy(value).agg(F.count("*").alias("n"))
+        taken = chosen.groupBy(value).agg(*(F.count_if(F.col("panel") == p).alias(f"_{i}") for i, p in enumerate(panels)))
+        share = F.lit(size) * F.col("n") / F.col("_total")
+        off = [(F.coalesce(F.col(f"_{i}"), F.lit(0)) - share).alias(f"{p}_off") for i, p in enumerate(panels)]
+        part = all_rows.join(taken, "value", "left").join(total).select(F.lit(",".join(margin)).alias("margin"), "value", "n", share.alias("share"), *off)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def overlong_filter(df: DataFrame, *, tokens_col: str, limit: int) -> tuple[DataFrame, DataFrame]:
     """(rows within the limit, report of both sides)."""
     ok = F.col(tokens_col) <= limit

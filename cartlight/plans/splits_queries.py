@@ -240,6 +240,29 @@ def joint_panels(t):
     return J.joint_panels(f, key="order_id", strata=["voucher_type", "discount_type", "product_count"], size=100).select("order_id", "panel")
 
 
+MARGINS = [["voucher_type"], ["discount_type"], ["product_count"], ["budget_difficulty"], ["voucher_type", "discount_type"], ["voucher_type", "product_count"]]
+
+
+def panels_by_margins(f):
+    return J.margin_panels(f, key="order_id", margins=MARGINS, size=100)
+
+
+@query("margin_panels")
+def margin_panels(t):
+    return panels_by_margins(J.query_features(t.v_plan)).select("order_id", "panel")
+
+
+# the twin knows each share and demands that no panel is off by a row
+@query("margin_panels_check", " union all ".join(f"""
+select '{",".join(m)}' as margin, concat_ws('|', {", ".join(f"cast({d} as varchar)" for d in m)}) as value, count(*) as n,
+  round(100 * count(*) / (select count(*) from x_feature)::double, 6) as share, true as near_calibration, true as near_validation from x_feature group by {", ".join(m)}""" for m in MARGINS))
+def margin_panels_check(t):
+    f = J.query_features(t.v_plan)
+    out = J.margin_report(f, panels_by_margins(f), margins=MARGINS, size=100)
+    near = [(F.abs(f"{p}_off") < 1).alias(f"near_{p}") for p in ("calibration", "validation")]
+    return out.select("margin", "value", "n", F.round("share", 6).alias("share"), *near)
+
+
 @query("overlong_filter", "select count(*) filter (n_chars <= 5000) as kept, count(*) filter (n_chars > 5000) as dropped, max(n_chars) as max_tokens from documents")
 def overlong_filter(t):
     _, report = J.overlong_filter(t.documents, tokens_col="n_chars", limit=5000)

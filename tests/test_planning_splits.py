@@ -172,6 +172,37 @@ def test_joint_panels_are_disjoint(tables):
     assert sum(r.panel == "validation" for r in rows) == 40
 
 
+@pytest.mark.parametrize("seed", range(12))
+def test_balanced_counts_keep_every_margin(seed):
+    rng = np.random.default_rng(seed)
+    shape = (3, 4, 5, 2)
+    cells = rng.permutation(np.stack(np.unravel_index(np.arange(np.prod(shape)), shape), axis=1))[:80]
+    sizes = rng.integers(1, 9, len(cells))
+    sizes[0] = sizes[1:].sum() // 2  # a third of all rows
+    keys = [tuple(np.unique(cells[:, d], return_inverse=True)[1]) for d in range(4)] + [tuple(np.unique(cells[:, :2], axis=0, return_inverse=True)[1].ravel())]
+    member = np.concatenate([np.eye(max(k) + 1)[list(k)] for k in keys], axis=1)
+    for size in (1, 37, sizes.sum() // 2):
+        got = J.balanced_counts(sizes, member, int(size))
+        off = got @ member - member.T @ sizes * (size / sizes.sum())
+        assert (got.sum(axis=1) == size).all() and (got >= 0).all() and (got.sum(axis=0) <= sizes).all()
+        assert np.abs(off).max() < 1, (size, np.abs(off).max())
+
+
+def test_margin_panels(spark, tables):
+    f = J.query_features(tables.v_plan)
+    margins = [["voucher_type"], ["discount_type"], ["product_count"], ["voucher_type", "product_count"]]
+    rows = J.margin_panels(f, key="order_id", margins=margins, size=60)
+    report = J.margin_report(f, rows, margins=margins, size=60).collect()
+    assert max(abs(x) for r in report for x in (r.calibration_off, r.validation_off)) < 1
+    got = [(r.order_id, r.panel) for r in rows.collect()]
+    assert len(dict(got)) == len(got) == 120 and sum(p == "validation" for _, p in got) == 60
+    few = spark.createDataFrame([(1, "a"), (2, None), (3, None), (4, None)], "k int, d string")
+    assert sorted(r.panel for r in J.margin_panels(few, key="k", margins=[["d"]], size=2).collect()) == ["calibration"] * 2 + ["validation"] * 2
+    assert J.margin_panels(few.limit(0), key="k", margins=[["d"]], size=0).collect() == []
+    with pytest.raises(ValueError):
+        J.margin_panels(few, key="k", margins=[["d"]], size=3)
+
+
 def groups(spark):
     data = {"fail": [0] * 8, "mixed1": [0, 1] * 4, "win": [1] * 8, "mixed2": [1] + [0] * 7, "mixed3": [1, 1] + [0] * 6}
     rows = [(u, i, x, n * 10 + i) for n, (u, xs) in enumerate(data.items()) for i, x in enumerate(xs)]
