@@ -11,6 +11,9 @@ The last class stands for every word beyond the vocabulary. Such a word is
 predicted as P(last class | context) * P(word | beyond the vocabulary), the
 second factor spelt byte by byte, so that no two words share a probability by
 falling into one bucket and unseen words have a defined one.
+
+Texts are read twice: to count their words, and to write the number of every
+word and what the rare ones cost to spell. Training and scoring read numbers.
 """
 
 from __future__ import annotations
@@ -30,8 +33,8 @@ from pyspark.sql import types as T
 from cartlight.llm.common import append_columns, narrow, position, slices
 from cartlight.session import materialize
 
-CLASSES = 64
-PER_CLASS = 64
+CLASSES = 33
+PER_CLASS = 128
 SIZE = CLASSES * PER_CLASS
 #: Words beyond the vocabulary fall into so many hash buckets as context; they are the last class as targets.
 RARE = PER_CLASS
@@ -41,9 +44,11 @@ SHIFTS = (-2, -1, 1, 2)
 #: Distinct words that a task counts before it sends them on.
 FLUSH = 200_000
 #: Words in one forward pass.
-CHUNK = 1 << 15
+CHUNK = 1 << 14
 #: Copies of the parameters added up in one task; slices of a copy.
 FAN_IN = 32
+#: Words in one step of the training.
+BATCH = 8192
 PIECES = 16
 #: Bytes and the end of a word; slots that pairs of preceding bytes are hashed to; weight of the shorter context.
 SYMBOLS = 257
@@ -103,7 +108,7 @@ class Spelling:
         self.pairs, self.triples = pairs, triples  # counts (SYMBOLS, SYMBOLS) and (SLOTS, SYMBOLS)
         self._short = (pairs + BACKOFF / SYMBOLS) / (pairs.sum(axis=1, keepdims=True) + BACKOFF)
         self._sums = triples.sum(axis=1)
-        self._rest, self._memo = 0.0, {}
+        self._rest = 0.0
         taken = sum(np.exp(self._spell(known)).tolist())  # words of the vocabulary are never spelt
         self._rest = float(np.log(max(1 - taken, 1e-12)))
 
@@ -117,11 +122,7 @@ class Spelling:
 
     def log_probabilities(self, words: list[bytes]) -> np.ndarray:
         """One number a word; ``words`` are all beyond the vocabulary."""
-        if len(self._memo) > CACHE:
-            self._memo.clear()
-        new = [w for w in set(words) if w not in self._memo]
-        self._memo.update(zip(new, self._spell(new).tolist()))
-        return np.fromiter(map(self._memo.__getitem__, words), dtype=np.float64, count=len(words))
+        return self._spell(words)
 
 
 def spelling(counts: DataFrame, known: list[bytes]) -> Spelling:
@@ -158,6 +159,51 @@ class Numbers(dict):
         return SIZE - RARE + zlib.crc32(word) % RARE
 
 
+class Codes(dict):
+    """Word -> id, or SIZE + k for the kth word that was not known."""
+
+    def __init__(self, words: list[bytes]):
+        super().__init__(zip(words, range(len(words))))
+        self.new: list[bytes] = []
+        self.known = len(words)
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = code = SIZE + len(self) - self.known
+        self.new.append(word)
+        return code
+
+
+class Reader:
+    """Ids of texts and what their words beyond the vocabulary cost to spell; remembers up to CACHE of these, and those of one call."""
+
+    def __init__(self, words: list[bytes], spelt: Spelling):
+        self.words, self.spelt = words, spelt
+        self._forget()
+
+    def _forget(self) -> None:
+        self.codes, self.bucket, self.cost = Codes(self.words), np.zeros(0, dtype=np.int32), np.zeros(0)
+
+    def read(self, texts: list[str | None]) -> tuple[list[np.ndarray], np.ndarray]:
+        """The ids of each text, and the sum of its words' spelling."""
+        if len(self.bucket) > CACHE:
+            self._forget()
+        get = self.codes.__getitem__
+        codes = [np.fromiter(map(get, words := split_words(t)), dtype=np.int32, count=len(words)) for t in texts]
+        new, self.codes.new = self.codes.new, []
+        if new:
+            bucket = np.fromiter(map(zlib.crc32, new), dtype=np.int64, count=len(new)) % RARE + (SIZE - RARE)
+            self.bucket = np.concatenate([self.bucket, bucket.astype(np.int32)])
+            self.cost = np.concatenate([self.cost, self.spelt.log_probabilities(new)])
+        ids, sums = [], np.zeros(len(texts))
+        for i, own in enumerate(codes):
+            rare = np.nonzero(own >= SIZE)[0]
+            which = own[rare] - SIZE
+            own[rare] = self.bucket[which]
+            sums[i] = self.cost[which].sum()
+            ids.append(own.astype("<u2"))
+        return ids, sums
+
+
 @dataclass
 class Network:
     """Parameters by name, float32."""
@@ -191,48 +237,59 @@ class Network:
         return cls(*out)
 
 
-def softmax(x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Probabilities of each row, and the logarithm of the one at ``at``; ``x`` is overwritten."""
-    lines = np.arange(len(x))
-    x -= x.max(axis=1, keepdims=True)
-    own = x[lines, at]
+def surprise(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Probabilities of each column, less 1 at ``at``; ``x`` is overwritten."""
+    x -= x.max(axis=0)
     np.exp(x, out=x)
-    total = x.sum(axis=1, keepdims=True)
-    x /= total
-    return x, own - np.log(total[:, 0])
+    x /= x.sum(axis=0)
+    x[at, np.arange(x.shape[1])] -= 1
+    return x
 
 
 def log_softmax_at(x: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Log-probability at ``at`` of each row; ``x`` is overwritten."""
-    x -= x.max(axis=1, keepdims=True)
-    own = x[np.arange(len(x)), at]
-    return own - np.log(np.exp(x, out=x).sum(axis=1))
+    """Log-probability at ``at`` of each column; ``x`` is overwritten."""
+    x -= x.max(axis=0)
+    own = x[at, np.arange(x.shape[1])]
+    return own - np.log(np.exp(x, out=x).sum(axis=0))
 
 
-def stream(texts: list[str | None], numbers: Numbers) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids of all texts with two pads between them, the positions of words, and the words of each text."""
-    get = numbers.__getitem__
-    ids = [np.fromiter(map(get, words := split_words(t)), dtype=np.int32, count=len(words)) for t in texts]
+def laid(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ids of all texts with two pads between them, the positions of words, and the words of each text."""
     size = np.array([len(i) for i in ids], dtype=np.int64)
-    pad = np.full(2, PAD, dtype=np.int32)
+    pad = np.full(2, PAD, dtype=np.uint16)
     flat = np.concatenate([pad, *(x for i in ids for x in (i, pad))])
     return flat, np.nonzero(flat != PAD)[0], size
 
 
+def stream(texts: list[str | None], numbers: Numbers) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``laid`` for texts."""
+    get = numbers.__getitem__
+    return laid([np.fromiter(map(get, words := split_words(t)), dtype=np.uint16, count=len(words)) for t in texts])
+
+
+def rows_at(table: np.ndarray, at: np.ndarray, out: np.ndarray | None = None) -> np.ndarray:
+    """Rows of a table; ``at`` is within it."""
+    return np.take(table, at, axis=0, out=out, mode="clip")
+
+
 def hidden(net: Network, flat: np.ndarray, at: np.ndarray) -> np.ndarray:
-    total = net.embed[0][flat[at + SHIFTS[0]]]
+    """What the network makes of the words around each position, one column each."""
+    total = rows_at(net.embed[0], flat[at + SHIFTS[0]])
+    more = np.empty_like(total)
     for k in range(1, len(SHIFTS)):
-        total += net.embed[k][flat[at + SHIFTS[k]]]
-    return np.tanh(total + net.bias)
+        total += rows_at(net.embed[k], flat[at + SHIFTS[k]], more)
+    total += net.bias
+    return np.ascontiguousarray(np.tanh(total, out=total).T)
 
 
-def _groups(classes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """Rows of each class that has words of its own, all but the last."""
-    order = np.argsort(classes, kind="stable")
-    bounds = np.searchsorted(classes[order], np.arange(CLASSES + 1))
-    for c in range(CLASSES - 1):
-        if bounds[c] < bounds[c + 1]:
-            yield c, order[bounds[c] : bounds[c + 1]]
+def by_class(flat: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+    """How to order the positions by their words, each one's class and place in it in that order, and (class, start, stop) of classes with words of their own."""
+    ids = flat[at]
+    order = np.argsort(ids, kind="stable")
+    ids = ids[order].astype(np.int64)
+    bounds = np.searchsorted(ids, np.arange(CLASSES) * PER_CLASS).tolist()
+    spans = [(c, bounds[c], bounds[c + 1]) for c in range(CLASSES - 1) if bounds[c] < bounds[c + 1]]
+    return order, ids // PER_CLASS, ids % PER_CLASS, spans
 
 
 def log_probabilities(net: Network, flat: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -240,42 +297,45 @@ def log_probabilities(net: Network, flat: np.ndarray, at: np.ndarray) -> np.ndar
     out = np.empty(len(at), dtype=np.float64)
     for start in range(0, len(at), CHUNK):
         some = at[start : start + CHUNK]
-        h = hidden(net, flat, some)
-        classes, words = np.divmod(flat[some], PER_CLASS)
-        part = log_softmax_at(h @ net.to_class + net.class_bias, classes).astype(np.float64)
-        for c, rows in _groups(classes):
-            part[rows] += log_softmax_at(h[rows] @ net.to_word[c] + net.word_bias[c], words[rows])
-        out[start : start + len(some)] = part
+        order, classes, words, spans = by_class(flat, some)
+        h = hidden(net, flat, some[order])
+        part = log_softmax_at(net.to_class.T @ h + net.class_bias[:, None], classes).astype(np.float64)
+        for c, lo, hi in spans:
+            part[lo:hi] += log_softmax_at(net.to_word[c].T @ h[:, lo:hi] + net.word_bias[c][:, None], words[lo:hi])
+        out[start + order] = part
     return out
 
 
 def train_step(net: Network, squares: list[np.ndarray], flat: np.ndarray, at: np.ndarray, rate: float) -> None:
     """One Adagrad step on the words at the positions."""
     n = np.float32(len(at))
+    order, classes, words, spans = by_class(flat, at)
+    at = at[order]
     h = hidden(net, flat, at)
-    classes, words = np.divmod(flat[at], PER_CLASS)
-    d_class = softmax(h @ net.to_class + net.class_bias, classes)[0]
-    d_class[np.arange(len(at)), classes] -= 1
+    d_class = surprise(net.to_class.T @ h + net.class_bias[:, None], classes)
     d_class /= n
     gradients = [np.zeros_like(p) for p in net.parts()[1:]]
-    d_h = d_class @ net.to_class.T
-    gradients[1], gradients[2] = h.T @ d_class, d_class.sum(axis=0)
-    for c, rows in _groups(classes):
-        own = h[rows]
-        d_word = softmax(own @ net.to_word[c] + net.word_bias[c], words[rows])[0]
-        d_word[np.arange(len(rows)), words[rows]] -= 1
+    d_h = net.to_class @ d_class
+    gradients[1], gradients[2] = h @ d_class.T, d_class.sum(axis=1)
+    for c, lo, hi in spans:
+        own = h[:, lo:hi]
+        d_word = surprise(net.to_word[c].T @ own + net.word_bias[c][:, None], words[lo:hi])
         d_word /= n
-        gradients[3][c], gradients[4][c] = own.T @ d_word, d_word.sum(axis=0)
-        d_h[rows] += d_word @ net.to_word[c].T
-    d_h *= 1 - h * h
-    gradients[0] = d_h.sum(axis=0)
+        gradients[3][c], gradients[4][c] = own @ d_word.T, d_word.sum(axis=1)
+        d_h[:, lo:hi] += net.to_word[c] @ d_word
+    h *= h
+    d_h *= 1 - h
+    gradients[0] = d_h.sum(axis=1)
+    each = np.ascontiguousarray(d_h.T)
+    sorted_rows = np.empty_like(each)
     for k, shift in enumerate(SHIFTS):  # only the rows of words that occur: the others have gradient 0
         ids = flat[at + shift]
         order = np.argsort(ids, kind="stable")
         ids = ids[order]
         first = np.nonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))[0]
-        g, ids = np.add.reduceat(d_h[order], first, axis=0), ids[first]
-        own = squares[0][k][ids] + g * g
+        g, ids = np.add.reduceat(rows_at(each, order, sorted_rows), first, axis=0), ids[first]
+        own = rows_at(squares[0][k], ids)
+        own += g * g
         squares[0][k][ids] = own
         net.embed[k][ids] -= rate * g / (np.sqrt(own) + np.float32(1e-6))
     for p, s, g in zip(net.parts()[1:], squares[1:], gradients):
@@ -283,13 +343,15 @@ def train_step(net: Network, squares: list[np.ndarray], flat: np.ndarray, at: np
         p -= rate * g / (np.sqrt(s) + np.float32(1e-6))
 
 
-def train_copy(net: Network, batches: Iterator[list[str | None]], numbers: Numbers, every: int, turn: int, batch: int = 4096, rate: float = 0.05) -> int:
-    """Trains on one word in ``every`` of each text, by its place in the text; another choice each turn. Gives the number of words used."""
+def train_copy(net: Network, streams: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], every: int, turn: int, batch: int = BATCH, rate: float = 0.05) -> int:
+    """Trains on one word in ``every`` of each text, by its place in the text; another choice each turn. Gives the number of words used.
+
+    ``streams`` are texts in the form of ``laid``.
+    """
     squares = [np.zeros_like(p) for p in net.parts()]
     used = 0
     rng = np.random.default_rng(turn)
-    for texts in batches:
-        flat, at, size = stream(texts, numbers)
+    for flat, at, size in streams:
         place = np.arange(len(at)) - np.repeat(np.cumsum(size) - size, size)
         picked = at[place % every == turn % every]
         picked = picked[rng.permutation(len(picked))]
@@ -299,17 +361,15 @@ def train_copy(net: Network, batches: Iterator[list[str | None]], numbers: Numbe
     return used
 
 
-def _train_round(docs: DataFrame, net: Network, words: list[bytes], every: int, turn: int) -> Network:
-    """One copy a partition, averaged in steps of FAN_IN."""
-    context = docs.sparkSession.sparkContext
-    shared = context.broadcast((net.flat(), words))
+def _train_round(numbered: DataFrame, net: Network, every: int, turn: int) -> Network:
+    """One copy a partition, averaged in steps of FAN_IN; ``numbered`` has a column IDS."""
+    context = numbered.sparkSession.sparkContext
+    shared = context.broadcast(net.flat())
 
     def run(batches: Iterator[pa.RecordBatch]):
-        values, known = shared.value
-        numbers = Numbers({w: i for i, w in enumerate(known)})
-        own = Network.unflat(values)
-        texts = (part.column(0).to_pylist() for batch in batches for part in slices(batch))
-        used = train_copy(own, texts, numbers, every, turn)
+        own = Network.unflat(shared.value)
+        streams = (laid(_ids(part.column(0))) for batch in batches for part in slices(batch))
+        used = train_copy(own, streams, every, turn)
         if used:
             part = TaskContext.get().partitionId()
             pieces = np.array_split(own.flat().astype(np.float64) * used, PIECES)
@@ -324,7 +384,7 @@ def _train_round(docs: DataFrame, net: Network, words: list[bytes], every: int,
         return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([key[1].as_py()], pa.int64()), pa.array([n], pa.int64()), pa.array([total.astype("<f4").tobytes()])], ["piece", "copy", "n", "raw"])
 
     schema = "piece int, copy bigint, n bigint, raw binary"
-    copies = materialize(docs.select("text").mapInArrow(run, schema), "lm-copies")
+    copies = materialize(numbered.select(IDS).mapInArrow(run, schema), "lm-copies")
     while (most := copies.agg(F.max("copy")).first()[0] or 0) > 0:
         copies = copies.withColumn("copy", F.floor(F.col("copy") / FAN_IN).cast("bigint")).groupBy("piece", "copy").applyInArrow(add, schema)
         if most >= FAN_IN:
@@ -344,6 +404,42 @@ class Model:
     spelling: Spelling
 
 
+IDS, COST = "lm ids", "lm cost"
+NUMBERED = [T.StructField(IDS, T.BinaryType()), T.StructField(COST, T.DoubleType())]
+
+
+def _ids(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(raw, dtype="<u2") for raw in column.to_pylist()]
+
+
+def _number(df: DataFrame, at: int, words: list[bytes], spelt: Spelling) -> DataFrame:
+    """``df`` with the ids of each text and the cost of spelling its rare words; the text is column ``at``."""
+    shared = df.sparkSession.sparkContext.broadcast((words, spelt.pairs, spelt.triples))
+
+    def make(batches: Iterator[pa.RecordBatch]):
+        known, pairs, triples = shared.value
+        reader = Reader(known, Spelling(pairs, triples, known))
+        for batch in batches:
+            for part in slices(batch):
+                ids, cost = reader.read(part.column(at).to_pylist())
+                yield part, [pa.array([i.tobytes() for i in ids], pa.binary()), pa.array(cost)]
+
+    return append_columns(df, make, NUMBERED)
+
+
+def _fit(df: DataFrame, text_col: str, keep: list[str], rounds: int, every: int, seed: int) -> tuple[Model, DataFrame]:
+    """The model, and the written table of the columns ``keep`` (as c0, c1, ...) with IDS and COST."""
+    counts = materialize(count_words(narrow(df, text=text_col)), "lm-counts")
+    words = vocabulary(counts)
+    spelt = spelling(counts, words)
+    chosen = narrow(df, **{f"c{i}": c for i, c in enumerate(keep)}, text=text_col)
+    numbered = materialize(_number(chosen, len(keep), words, spelt).drop("text"), "lm-ids")
+    net = Network.fresh(seed)
+    for turn in range(rounds):
+        net = _train_round(numbered, net, every, turn * every // max(1, rounds))
+    return Model(words, net, spelt), numbered
+
+
 def train(df: DataFrame, text_col: str = "text", rounds: int = 2, every: int = 2, seed: int = 5) -> Model:
     """Vocabulary and network from all texts.
 
@@ -352,19 +448,36 @@ def train(df: DataFrame, text_col: str = "text", rounds: int = 2, every: int = 2
     whole words has a fixed size, all other words are spelt; both and one
     averaged set of parameters are all that is collected.
     """
-    docs = narrow(df, text=text_col)
-    counts = materialize(count_words(docs), "lm-counts")
-    words = vocabulary(counts)
-    spelt = spelling(counts, words)
-    net = Network.fresh(seed)
-    for turn in range(rounds):
-        net = _train_round(docs, net, words, every, turn * every // max(1, rounds))
-    return Model(words, net, spelt)
+    return _fit(df, text_col, [], rounds, every, seed)[0]
 
 
 FIELDS = [T.StructField("n_words", T.LongType()), T.StructField("log_probability", T.DoubleType()), T.StructField("mean_log_probability", T.DoubleType())]
 
 
+def _sums(net: Network, ids: list[np.ndarray], cost: np.ndarray) -> list[pa.Array]:
+    """The columns FIELDS of texts by their ids and the cost of spelling."""
+    flat, where, size = laid(ids)
+    ends = np.concatenate([[0], np.cumsum(size)])
+    sums = np.concatenate([[0.0], np.cumsum(log_probabilities(net, flat, where))])
+    total = sums[ends[1:]] - sums[ends[:-1]] + cost
+    return [pa.array(size), pa.array(total), pa.array(total / np.maximum(size, 1), mask=size == 0)]
+
+
+def train_and_score(df: DataFrame, text_col: str = "text", keep: list[str] | None = None, rounds: int = 2, every: int = 2, seed: int = 5) -> DataFrame:
+    """``score(df, train(df))`` for the columns ``keep`` (default: all), reading each text twice and not three times and once a round."""
+    keep = [c for c in (df.columns if keep is None else keep) if c.lower() not in {f.name for f in FIELDS}]
+    model, numbered = _fit(df, text_col, keep, rounds, every, seed)
+    shared = df.sparkSession.sparkContext.broadcast(model.net.flat())
+
+    def make(batches: Iterator[pa.RecordBatch]):
+        net = Network.unflat(shared.value)
+        for batch in batches:
+            for part in slices(batch):
+                yield part, _sums(net, _ids(part.column(len(keep))), part.column(len(keep) + 1).to_numpy())
+
+    return append_columns(numbered, make, FIELDS).drop(IDS, COST).toDF(*keep, *(f.name for f in FIELDS))
+
+
 def score(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """Adds n_words, the summed log-probability of all words and its mean.
 
@@ -377,18 +490,9 @@ def score(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
     def make(batches: Iterator[pa.RecordBatch]):
         values, known, pairs, triples = shared.value
-        numbers = Numbers({w: i for i, w in enumerate(known)})
-        net, spelt = Network.unflat(values), Spelling(pairs, triples, known)
+        net, reader = Network.unflat(values), Reader(known, Spelling(pairs, triples, known))
         for batch in batches:
             for part in slices(batch):
-                texts = part.column(at).to_pylist()
-                flat, where, size = stream(texts, numbers)
-                ends = np.concatenate([[0], np.cumsum(size)])
-                each = log_probabilities(net, flat, where)
-                each[flat[where] >= SIZE - RARE] += spelt.log_probabilities([w for t in texts for w in split_words(t) if w not in numbers])
-                sums = np.concatenate([[0.0], np.cumsum(each)])
-                total = sums[ends[1:]] - sums[ends[:-1]]
-                mean = pa.array(total / np.maximum(size, 1), mask=size == 0)
-                yield part, [pa.array(size), pa.array(total), mean]
+                yield part, _sums(net, *reader.read(part.column(at).to_pylist()))
 
     return append_columns(df, make, FIELDS)

@@ -33,8 +33,7 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pseudo-log-likelihood of every document under a network trained on all documents."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    scored = lm_scoring.score(docs, lm_scoring.train(docs))
-    return scored.select("doc_id", "n_words", "log_probability", "mean_log_probability")
+    return lm_scoring.train_and_score(docs, keep=["doc_id"]).select("doc_id", "n_words", "log_probability", "mean_log_probability")
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

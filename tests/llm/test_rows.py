@@ -139,6 +139,14 @@ def test_lm_scores_both_sides(docs_of):
     flat, at, _ = lm_scoring.stream(["red apple tree red apple tree"], numbers)
     alone = sum(lm_scoring.log_probabilities(model.net, flat, at[i : i + 1])[0] for i in range(len(at)))
     assert abs(alone - got[1].log_probability) < 1e-3
+    # and from the parameters themselves, word by word
+    by_hand = 0.0
+    for i in at:
+        h = np.tanh(sum(model.net.embed[k][flat[i + shift]] for k, shift in enumerate(lm_scoring.SHIFTS)) + model.net.bias)
+        of_class, word = divmod(int(flat[i]), lm_scoring.PER_CLASS)
+        for logits, own in ((h @ model.net.to_class + model.net.class_bias, of_class), (h @ model.net.to_word[of_class] + model.net.word_bias[of_class], word)):
+            by_hand += logits[own] - np.log(np.exp(logits.astype(np.float64)).sum())
+    assert abs(by_hand - got[1].log_probability) < 1e-3
     assert lm_scoring.score(probe.limit(0), lm_scoring.train(probe.limit(0))).count() == 0
 
 
@@ -174,13 +182,13 @@ def test_lm_trains_on_every_word(docs_of, monkeypatch):
     texts = ["a", "b c", "d e f g h", "", "i j k", "l " * 37]
     docs = docs_of(list(enumerate(texts)))
     with monkeypatch.context() as patch:
-        patch.setattr(lm_scoring, "_train_round", lambda docs, net, words, every, turn: rounds.append((every, turn)) or net)
+        patch.setattr(lm_scoring, "_train_round", lambda numbered, net, every, turn: rounds.append((every, turn)) or net)
         lm_scoring.train(docs)
     numbers = lm_scoring.Numbers({w: i for i, w in enumerate(sorted({w for t in texts for w in lm_scoring.split_words(t)}))})
     monkeypatch.setattr(lm_scoring, "train_step", lambda net, squares, flat, at, rate: seen.extend(flat[at].tolist()))
     for i, (every, turn) in enumerate(rounds):
         dealt = [texts] if i % 2 else [texts[:3], texts[3:]]
-        lm_scoring.train_copy(lm_scoring.Network.fresh(1), iter(dealt), numbers, every, turn)
+        lm_scoring.train_copy(lm_scoring.Network.fresh(1), (lm_scoring.stream(x, numbers) for x in dealt), every, turn)
     assert Counter(seen) == Counter(numbers[w] for t in texts for w in lm_scoring.split_words(t))
 
 
@@ -200,3 +208,19 @@ def test_variety_of_long_texts():
     for n in (150, 399, 400, 5000):
         varied = [f"w{i % 1000}" for i in range(n)]
         assert shape(varied) == {0} and shape([f"w{i % 20}" for i in range(n)]) == {8 if n == 150 else 9 if n % 200 == 0 else 8}
+
+
+def test_lm_trains_and_scores_in_one_call(docs_of):
+    """The same numbers as training and scoring apart, with clashing names, repeated rows and rare words; an empty table stays empty."""
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice(["red", "apple", "tree", "blue", f"w{rng.randint(0, 9000)}"]) for _ in range(rng.randint(0, 60))) for _ in range(150)]
+    docs = docs_of([*((i, t) for i, t in enumerate(texts)), (3, texts[3]), *((1000 + (i or 0), t) for i, t in ROWS)]).coalesce(1)
+    named = docs.withColumn("N_Words", F.lit(-1)).withColumn("c0", F.lit("x")).withColumn("lm ids", F.lit(0))
+    whole = lm_scoring.train_and_score(named)
+    assert "N_Words" not in whole.columns and whole.columns[-3:] == ["n_words", "log_probability", "mean_log_probability"]
+    apart = lm_scoring.score(docs, lm_scoring.train(docs))
+    key = lambda r: (r.doc_id, r.n_words)
+    for a, b in zip(sorted(whole.collect(), key=key), sorted(apart.collect(), key=key), strict=True):
+        assert (a.doc_id, a.n_words, a.c0, a["lm ids"]) == (b.doc_id, b.n_words, "x", 0)
+        assert abs(a.log_probability - b.log_probability) < 1e-3 and (a.mean_log_probability is None) == (b.n_words == 0)
+    assert lm_scoring.train_and_score(named.limit(0), keep=["doc_id"]).count() == 0
