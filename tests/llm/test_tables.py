@@ -310,3 +310,24 @@ def test_clashing_ids_lose_no_text(spark):
     table = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     got = sorted(((r.doc_id or 0, r.text[0]) for r in corpus_pipeline.dedup_stage(spark, table, SF).collect()))
     assert got == [(0, "n"), (1, "b"), (2, "z"), (3, "x"), (3, "y")]
+
+
+def test_links_within_a_bucket():
+    """Components after the links of a bucket equal those of all pairs, and no link is spare."""
+    rng = random.Random(8)
+    base = [rng.sample(range(10_000), 40) for _ in range(4)]
+    sets = [np.unique(rng.sample(b, rng.randint(34, 40)) + rng.sample(range(10_000), rng.randint(0, 4))) for b in base for _ in range(25)] + [np.array([5])] * 2
+    names = np.array([i // 2 for i in range(len(sets))])
+    signs = np.array(rng.sample(range(-500, 500), len(sets)))
+    found = near_copies._joins(signs, names.copy(), np.array([len(s) for s in sets]), np.concatenate(sets), 0.8)
+
+    def groups(pairs):
+        parent = {int(s): int(signs[i - i % 2]) for i, s in enumerate(signs)}
+        for a, b in pairs:
+            x, y = parent[a], parent[b]
+            parent = {k: y if v == x else v for k, v in parent.items()}
+        return {frozenset(k for k in parent if parent[k] == v) for v in parent.values()}
+
+    alike = lambda x, y: len(np.intersect1d(x, y)) >= 0.8 * len(np.union1d(x, y))
+    plain = [(int(signs[i]), int(signs[j])) for i in range(len(sets)) for j in range(i) if alike(sets[i], sets[j])]
+    assert groups(found) == groups(plain) and len(found) == len(set(names.tolist())) - len(groups(plain)) and all(a > b for a, b in found)
