@@ -1,5 +1,6 @@
 """Plans, splits and selections: invariants and brute force."""
 
+import hashlib
 import itertools
 
 import numpy as np
@@ -252,3 +253,18 @@ def test_votes_of_hot_keys_are_the_same(spark, monkeypatch):
     for limit in (0, 10):
         monkeypatch.setattr(M, "KEY_SAMPLES", limit)
         assert [tuple(round(v, 9) for v in r) for r in vote()] == [tuple(round(v, 9) for v in r) for r in usual]
+
+
+def test_resamples_draw_with_replacement_as_many_rows_as_there_are(spark):
+    """Each draw takes 12 rows at hashed positions, some repeatedly; the means are those of a plain replay."""
+    rows = [(i, "ab"[i % 2], float(i * i)) for i in range(24)]
+    df = spark.createDataFrame(rows, "id int, g string, x double")
+    digits = lambda text: hashlib.md5(text.encode()).hexdigest()
+    want = {}
+    for g in "ab":
+        xs = [x for _, _, x in sorted((r for r in rows if r[1] == g), key=lambda r: digits(f"0:{r[0]}"))]
+        want |= {(g, d): np.mean([xs[int(int(digits(f"0:{d}:{i}")[:8], 16) / 2**32 * 12)] for i in range(1, 13)]) for d in range(1, 31)}
+    got = {(r.g, r.draw): r["mean"] for r in K.resample_means(df, by=["g"], key="id", value="x", draws=30).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    row = K.bootstrap_ci(df, by=["g"], key="id", value="x", draws=30).filter("g = 'a'").first()
+    assert abs(row.ci_low - np.percentile([m for (g, _), m in want.items() if g == "a"], 2.5)) < 1e-9
