@@ -268,3 +268,7 @@ def test_resamples_draw_with_replacement_as_many_rows_as_there_are(spark):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
     row = K.bootstrap_ci(df, by=["g"], key="id", value="x", draws=30).filter("g = 'a'").first()
     assert abs(row.ci_low - np.percentile([m for (g, _), m in want.items() if g == "a"], 2.5)) < 1e-9
+    # right - left is the same for both keys of a pair: its resamples are those of the differences
+    pair = K.paired_bootstrap(df.withColumn("x", F.lit(0.0)), df.filter("g = 'b'"), key="id", value="x", draws=30).first()
+    only = {d: m for (g, d), m in want.items() if g == "b"}
+    assert pair.n == 12 and abs(pair.ci_high - np.percentile([*only.values()], 97.5)) < 1e-9
