@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cartlight.functions import hashing, ranking, stats
+from cartlight.operators import search as C
 
 
 @pytest.fixture(scope="module")
@@ -80,3 +81,15 @@ def test_quantiles(rows, rule):
             want = s[len(s) // 2]
         assert row.value == pytest.approx(want)
     assert len(got) == pdf.g.nunique() * (1 if rule == "upper_median" else len(qs))
+
+
+def test_ranked_pairs_are_dealt_by_their_number(spark, monkeypatch):
+    """Short rows that open to many pairs are not put into few tasks; the ranks stay."""
+    docs = spark.createDataFrame([(i, f"common w{i % 3} x{i}") for i in range(40)], "id int, contents string")
+    asked = spark.createDataFrame([(i, f"common w{i} x{2 * i}") for i in range(5)], "query_id int, q string")
+    usual = sorted(map(tuple, C.bm25_topk(asked, docs, k=3).collect()))
+    monkeypatch.setattr(C, "TASK_PAIRS", 10)
+    out = C.bm25_topk(asked, docs, k=3)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(id" in plan and ", 20), REPARTITION_BY_NUM" in plan and len(usual) == 15
+    assert sorted(map(tuple, out.collect())) == usual
