@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections import Counter
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -43,8 +44,17 @@ def _sku_pairs(options: Column) -> Column:
     return F.transform(F.map_entries(options), lambda e: F.struct(e["key"].alias("k"), e["value"].alias("v")))
 
 
+def _once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once: inside a lambda, a plain expression is computed for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def sku_attr_hits(product: Column, constraint: Column) -> tuple[Column, Column]:
-    """(best hits over SKU variants together with the attributes, total wanted)."""
+    """(best hits over SKU variants together with the attributes, total wanted).
+
+    What the attributes hold counts whichever variant is taken, so variants
+    are looked through for the rest only.
+    """
     wanted = F.concat(
         F.flatten(F.transform(constraint["sku_options"], _sku_pairs)),
         F.flatten(F.transform(constraint["attributes"], _attribute_pairs)),
@@ -54,13 +64,18 @@ def sku_attr_hits(product: Column, constraint: Column) -> tuple[Column, Column]:
     variants = F.concat(
         F.array(no_pairs), F.transform(F.map_values(product["sku_options"]), _sku_pairs)
     )
-    hits = F.array_max(
-        F.transform(
-            variants,
-            lambda s: F.size(F.filter(wanted, lambda w: F.array_contains(s, w) | F.array_contains(attrs, w))),
-        )
-    )
-    return hits, F.size(wanted)
+
+    def best(given: Column) -> Column:
+        def missing(z: Column) -> Column:
+            return F.filter(z["wanted"], lambda w: ~F.coalesce(F.array_contains(z["attrs"], w), F.lit(False)))
+
+        def hits(z: Column) -> Column:
+            in_variants = F.transform(variants, lambda s: F.size(F.filter(z["rest"], lambda w: F.array_contains(s, w))))
+            return z["total"] - F.size(z["rest"]) + F.array_max(in_variants)
+
+        return _once(F.struct(F.size(given["wanted"]).alias("total"), missing(given).alias("rest")), hits)
+
+    return _once(F.struct(wanted.alias("wanted"), attrs.alias("attrs")), best), F.size(wanted)
 
 
 def rule_score(

@@ -140,3 +140,28 @@ def test_group_of_one(spark):
     assert L.opo(df).first().advantage == pytest.approx(0.7)
     with pytest.raises(Exception, match="at least two"):
         L.grpo_passk(df).collect()
+
+
+def test_attribute_hits_once_a_row(spark):
+    """Attributes are listed once a row, not for every wanted value of every variant; repeats and null maps as before."""
+    rows = [
+        ([{"size": "1"}], [{"brand": ["a", "b"]}, {"color": ["r"]}], {1: {"size": "1"}, 2: {"size": "2", "color": "r"}}, {"brand": ["b"], "x": ["a"]}),
+        ([{"size": "2"}, {"size": "2"}], [{"brand": ["b", "b"]}], {1: {"size": "1"}, 2: {"size": "2"}}, {"brand": ["b"], "size": ["2"]}),
+        ([], [], {}, {}),
+        ([{"size": "1"}], [{"brand": ["a"]}], {1: {"size": "1"}}, None),
+        ([{"size": "1"}], [{"brand": ["a"]}], None, {"brand": ["a"]}),
+    ]
+    schema = "i int, c struct<sku_options:array<map<string,string>>,attributes:array<map<string,array<string>>>>, p struct<sku_options:map<int,map<string,string>>,attributes:map<string,array<string>>>"
+    df = spark.createDataFrame([(i, (a, b), (c, d)) for i, (a, b, c, d) in enumerate(rows)], schema)
+    hits, total = S.sku_attr_hits(F.col("p"), F.col("c"))
+    out = df.select("i", hits.alias("h"), total.alias("n"))
+
+    def brute(sku, attributes, options, attrs):
+        wanted = [kv for m in sku for kv in m.items()] + [(k, v) for m in attributes for k, vs in m.items() for v in vs]
+        own = {(k, v) for k, vs in (attrs or {}).items() for v in vs}
+        if options is None:
+            return None, len(wanted)
+        return max(sum(w in own or w in s for w in wanted) for s in [set(), *(set(o.items()) for o in options.values())]), len(wanted)
+
+    assert [(r.h, r.n) for r in out.orderBy("i").collect()] == [brute(*r) for r in rows]
+    assert "array_contains(flatten" not in out._jdf.queryExecution().optimizedPlan().toString()
