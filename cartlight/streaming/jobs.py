@@ -8,9 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.errors import AnalysisException, StreamingQueryException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -73,22 +72,25 @@ class GroupCompletion(StatefulProcessor):
         self.handle = handle
         self.state = handle.getValueState("group", "n int, wins int, closed boolean")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        n, wins, closed = self.state.get() if self.state.exists() else (0, 0, False)
-        latest = 0
-        for frame in rows:
-            n += len(frame)
-            wins += int(frame["outcome"].sum())
-            latest = max(latest, int(frame["ts"].max().timestamp() * 1000))
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        # a key in the state has its timer, which is set with its first rows and takes it out: no call to look for one
+        known = self.state.get()
+        n, wins, closed = known or (0, 0, False)
         if closed:
             return iter([])
-        if not any(True for _ in self.handle.listTimers()):
+        latest = 0
+        for row in rows:
+            n += 1
+            wins += row.outcome or 0
+            if row.ts_ms is not None:
+                latest = max(latest, row.ts_ms)
+        if known is None:
             self.handle.registerTimer(max(latest, timerValues.getCurrentWatermarkInMs()) + self.timeout_ms)
         full = n >= self.group_size
         self.state.update((n, wins, full))
         return iter([self._row(key, n, wins, False)] if full else [])
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         n, wins, closed = self.state.get()
         self.state.clear()
         return iter([] if closed else [self._row(key, n, wins, True)])
@@ -96,9 +98,9 @@ class GroupCompletion(StatefulProcessor):
     def close(self) -> None:
         pass
 
-    def _row(self, key, n: int, wins: int, expired: bool) -> pd.DataFrame:
+    def _row(self, key, n: int, wins: int, expired: bool) -> Row:
         state = "expired" if expired else "all_fail" if wins == 0 else "all_success" if wins == n else "mixed"
-        return pd.DataFrame([(key[0], n, wins, state)], columns=["uid", "samples", "successes", "state"])
+        return Row(uid=key[0], samples=n, successes=wins, state=state)
 
 
 def stream_group_completion(
@@ -112,8 +114,9 @@ def stream_group_completion(
     that comes later still counts for a new group.
     """
     rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    keyed = rows.select("uid", "ts", "outcome").withWatermark("ts", delay).groupBy("uid")
-    return keyed.transformWithStateInPandas(
+    # rows, not a frame a key: groups are short, and a frame costs more than all else that is done for one
+    keyed = rows.select("uid", "ts", "outcome", F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms")).withWatermark("ts", delay).groupBy("uid")
+    return keyed.transformWithState(
         statefulProcessor=GroupCompletion(group_size, timeout_ms),
         outputStructType="uid bigint, samples int, successes int, state string",
         outputMode="Append",

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from cartlight.operators.groups import group_state
@@ -196,3 +197,34 @@ def test_manifest_of_nested_files(spark, tmp_path, monkeypatch):
             assert A._digest(f"file:{tmp_path}/m/{name}") == (hashlib.sha256(raw).hexdigest(), sum(bool(x.strip()) for x in raw.split(b"\n")), len(raw))
     got = {r.file.split("/m/")[1]: (r.rows, r.bytes) for r in A.file_manifest(spark, str(tmp_path / "m")).collect()}
     assert got == {"a/x.json": (1, 2), "b/x.json": (2, 8), "b/c d%20/x.json": (2, 133), "e.json": (0, 0), "n.json": (0, 2)}
+
+
+def test_group_state_takes_rows_and_three_calls():
+    """A key is one read, one timer and one write of the state; timers are not listed and no frame is built."""
+
+    class State:
+        held, calls = None, []
+
+        def getValueState(self, *_):
+            return self
+
+        def get(self):
+            self.calls.append("get")
+            return self.held
+
+        def update(self, value):
+            self.calls.append("update")
+            self.held = value
+
+        def registerTimer(self, at):
+            self.calls.append(at)
+
+        def getCurrentWatermarkInMs(self):
+            return 500
+
+    state, job = State(), R.GroupCompletion(3, 1000)
+    job.init(state)
+    rows = [Row(ts_ms=m, outcome=o) for m, o in ((100, 1), (900, None), (None, 0), (50, 1))]
+    assert [*job.handleInputRows((7,), iter(rows[:2]), state)] == [] and state.calls == ["get", 1900, "update"]
+    assert [*job.handleInputRows((7,), iter(rows[2:3]), state)] == [Row(uid=7, samples=3, successes=1, state="mixed")]
+    assert [*job.handleInputRows((7,), iter(rows[3:]), state)] == [] and state.calls == ["get", 1900, "update", "get", "update", "get"] and state.held == (3, 1, True)
