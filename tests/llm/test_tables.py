@@ -303,6 +303,19 @@ def test_near_copies_without_a_common_first(spark, monkeypatch):
     assert sorted(map(sorted, groups.values())) == [[3 * i, 3 * i + 1, 3 * i + 2] for i in range(6)]
 
 
+def test_members_travel_only_with_a_stranger(spark):
+    """Of the buckets that hold two components, only members that may be alike with one of another component go on."""
+    rng = np.random.default_rng(4)
+    hot, far = rng.integers(-(1 << 62), 1 << 62, (2, 2))
+    size = 40
+    members = [(1, i, 0, size, *hot) for i in range(300)] + [(1, 300, 300, size, *far), (1, 301, 301, size // 2, *hot)]  # unlike in bits, or in size
+    members += [(2, i, 0, size, *hot) for i in range(300)] + [(2, 302, 302, size, hot[0] ^ 1, hot[1])]  # one more component, and alike
+    members += [(3, i, i, size, *rng.integers(-(1 << 62), 1 << 62, 2)) for i in range(400, 420)] + [(4, i, 7, size, *hot) for i in range(5)]
+    rows = spark.createDataFrame([tuple(map(int, m)) for m in members], "key long, sig long, component long, n long, bits_0 long, bits_1 long")
+    got = sorted(tuple(r) for r in near_copies._mixed(rows.repartition(7), 0.8).collect())
+    assert got == [(2, i, 0) for i in range(300)] + [(2, 302, 302)]
+
+
 def test_clashing_ids_lose_no_text(spark):
     """Text b under id 2 is in the group of id 1; the other text of id 2 stays, as does that of a clashing unique id."""
     text = lambda c: " ".join(f"{c}{i}" for i in range(60))
