@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 from cartlight.functions.ranking import BROADCAST_ROWS, ordered_sum
 
 
+#: Rows that a range piece is meant to hold.
+PIECE_ROWS = 1_000_000
+
+
 def balance_by_length(df: DataFrame, *, key: str, length: str, k: int) -> DataFrame:
     """Deal rows into k bins with near-equal totals and counts.
 
@@ -82,7 +86,9 @@ def pack_micro_batches(df: DataFrame, *, key: str, length: str, max_tokens: int)
     # a row a length and run of bins; lists by length, so that a row meets one list
     runs = df.sparkSession.createDataFrame(found, "_len bigint, before bigint, upto bigint, first_bin bigint, each bigint")
     runs = runs.groupBy("_len").agg(F.array_sort(F.collect_list(F.struct("upto", "before", "first_bin", "each"))).alias("_runs"))
-    numbered = ordered_sum(sized, [F.col(key)], by=("_len",), name="_i")
+    # a task sorts its rows: their number is bounded, not that of the tasks
+    pieces = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(classes["count"].sum()) // PIECE_ROWS))
+    numbered = ordered_sum(sized, [F.col(key)], by=("_len",), name="_i", partitions=pieces)
     run = F.get(F.filter("_runs", lambda r: F.col("_i") <= r["upto"]), F.lit(0))
     placed = numbered.join(F.broadcast(runs) if len(found) <= BROADCAST_ROWS else runs, "_len").withColumn("_run", run)
     at = F.col("_run.first_bin") + F.floor((F.col("_i") - F.col("_run.before") - 1) / F.col("_run.each"))

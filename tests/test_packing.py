@@ -57,3 +57,14 @@ def test_rows(spark):
     for bad in (-1, 65):
         with pytest.raises(PySparkException):
             balance.pack_micro_batches(spark.createDataFrame([(1, bad)], "k long, size int"), key="k", length="size", max_tokens=64).collect()
+
+
+def test_pieces_grow_with_the_rows(spark, monkeypatch):
+    """A task's rows are bounded: more rows give more pieces, and the same bins."""
+    sizes = [(i, i % 5 + 1) for i in range(400)]
+    df = spark.createDataFrame(sizes, "id long, n long")
+    plain = {r.id: r.bin for r in balance.pack_micro_batches(df, key="id", length="n", max_tokens=12).collect()}
+    monkeypatch.setattr(balance, "PIECE_ROWS", 10)
+    packed = balance.pack_micro_batches(df, key="id", length="n", max_tokens=12)
+    assert packed.rdd.getNumPartitions() == 40
+    assert {r.id: r.bin for r in packed.collect()} == plain == serial(sizes, 12)
