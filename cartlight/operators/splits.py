@@ -220,8 +220,10 @@ def audit_report(audit: DataFrame) -> DataFrame:
 
     Word counts are small integers, so they are counted before they are ranked.
     """
-    words = audit.filter("eligible").select(word_count(F.col("query")).alias("w"))
-    counts = words.groupBy("w").agg(F.count("*").alias("n"))
+    # the audit is read once
+    seen = audit.select("eligible", F.when(F.col("eligible"), word_count(F.col("query"))).alias("w"))
+    classes = materialize(seen.groupBy("eligible", "w").agg(F.count("*").alias("n")), "audit-words")
+    counts = classes.filter("eligible").select("w", "n")
     # ranking over the distinct word counts
     hi = F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("w"))
     total = F.sum("n").over(Window.partitionBy(F.lit(0)))
@@ -232,12 +234,9 @@ def audit_report(audit: DataFrame) -> DataFrame:
         return F.max(F.when((F.col("lo") <= at) & (at < F.col("hi")), F.col("w")))
 
     lengths = ranked.agg(F.min("w").alias("min_words"), pick(0.5).alias("p50_words"), pick(0.95).alias("p95_words"), F.max("w").alias("max_words"))
-    sums = audit.agg(
-        F.count("*").alias("generated"),
-        F.count_if("eligible").alias("static_eligible"),
-        F.count_if(~F.col("eligible")).alias("repair"),
-        F.avg(F.col("eligible").cast("int")).alias("eligible_rate"),
-    )
+    generated, eligible, repair = (F.coalesce(F.sum(F.when(which, F.col("n"))), F.lit(0)) for which in (F.lit(True), F.col("eligible"), ~F.col("eligible")))
+    rate = F.when(eligible + repair > 0, eligible / (eligible + repair))
+    sums = classes.agg(generated.alias("generated"), eligible.alias("static_eligible"), repair.alias("repair"), rate.alias("eligible_rate"))
     return sums.join(F.broadcast(lengths))
 
 
