@@ -405,15 +405,20 @@ def margin_panels(
 
 def margin_report(features: DataFrame, chosen: DataFrame, *, margins: list[list[str]], size: int, panels: tuple[str, str] = ("calibration", "validation")) -> DataFrame:
     """Every group of every margin: margin, value, n rows, share of a panel, and how far each panel is off."""
-    total = F.broadcast(features.agg(F.count("*").alias("_total")))
+    dimensions = sorted({d for margin in margins for d in margin})
+    names = [F.coalesce(F.col(d).cast("string"), F.lit("null")).alias(f"_v{i}") for i, d in enumerate(dimensions)]
+    # rows are read once, whatever the number of margins: cells and the chosen rows' cells are few
+    taken = chosen.groupBy(*names).agg(F.lit(0).alias("_rows"), *(F.count_if(F.col("panel") == p).alias(f"_{i}") for i, p in enumerate(panels)))
+    every = features.groupBy(*names).agg(F.count("*").alias("_rows"), *(F.lit(0).alias(f"_{i}") for i in range(len(panels))))
+    cells = materialize(every.unionByName(taken), "margin-cells")
+    total = F.broadcast(cells.agg(F.sum("_rows").alias("_total")))
     out = None
     for margin in margins:
-        value = F.concat_ws("|", *(F.coalesce(F.col(d).cast("string"), F.lit("null")) for d in margin)).alias("value")
-        all_rows = features.groupBy(value).agg(F.count("*").alias("n"))
-        taken = chosen.groupBy(value).agg(*(F.count_if(F.col("panel") == p).alias(f"_{i}") for i, p in enumerate(panels)))
+        value = F.concat_ws("|", *(F.col(f"_v{dimensions.index(d)}") for d in margin)).alias("value")
+        sums = cells.groupBy(value).agg(F.sum("_rows").alias("n"), *(F.sum(f"_{i}").alias(f"_{i}") for i in range(len(panels)))).filter("n > 0")
         share = F.lit(size) * F.col("n") / F.col("_total")
-        off = [(F.coalesce(F.col(f"_{i}"), F.lit(0)) - share).alias(f"{p}_off") for i, p in enumerate(panels)]
-        part = all_rows.join(taken, "value", "left").join(total).select(F.lit(",".join(margin)).alias("margin"), "value", "n", share.alias("share"), *off)
+        off = [(F.col(f"_{i}") - share).alias(f"{p}_off") for i, p in enumerate(panels)]
+        part = sums.join(total).select(F.lit(",".join(margin)).alias("margin"), "value", "n", share.alias("share"), *off)
         out = part if out is None else out.unionByName(part)
     return out
 

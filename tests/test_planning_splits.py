@@ -272,3 +272,29 @@ def test_resamples_draw_with_replacement_as_many_rows_as_there_are(spark):
     pair = K.paired_bootstrap(df.withColumn("x", F.lit(0.0)), df.filter("g = 'b'"), key="id", value="x", draws=30).first()
     only = {d: m for (g, d), m in want.items() if g == "b"}
     assert pair.n == 12 and abs(pair.ci_high - np.percentile([*only.values()], 97.5)) < 1e-9
+
+
+def test_reports_read_their_rows_once(spark, tmp_path):
+    """Both reports come from counts that were written once, not from their input again; nulls are a value of their own."""
+    rows = [(i, "ab"[i % 2] if i % 5 else None, i % 3) for i in range(90)]
+    spark.createDataFrame(rows, "id long, a string, b int").write.parquet(f"{tmp_path}/features")
+    features = spark.read.parquet(f"{tmp_path}/features")
+    chosen = features.filter("id < 40").withColumn("panel", F.when(F.col("id") < 20, "calibration").otherwise("validation"))
+    report = J.margin_report(features, chosen, margins=[["a"], ["a", "b"], ["b"]], size=20)
+    assert all("margin-cells" in f for f in report.inputFiles())
+    got = {(r.margin, r.value): (r.n, round(r.share, 9), round(r.calibration_off, 9), round(r.validation_off, 9)) for r in report.collect()}
+    expected = {}
+    for name, value in (("a", lambda r: r[1] or "null"), ("a,b", lambda r: f"{r[1] or 'null'}|{r[2]}"), ("b", lambda r: str(r[2]))):
+        for v in {value(r) for r in rows}:
+            held = [r[0] for r in rows if value(r) == v]
+            share = 20 * len(held) / 90
+            expected[name, v] = (len(held), round(share, 9), round(sum(i < 20 for i in held) - share, 9), round(sum(20 <= i < 40 for i in held) - share, 9))
+    assert got == expected
+    spark.createDataFrame([(i % 4 > 0, " ".join("x" * (1 + i % 7))) for i in range(50)], "eligible boolean, query string").write.parquet(f"{tmp_path}/audit")
+    report = J.audit_report(spark.read.parquet(f"{tmp_path}/audit"))
+    assert all("audit-words" in f for f in report.inputFiles())
+    words = sorted(1 + i % 7 for i in range(50) if i % 4)
+    at = lambda q: words[round((len(words) - 1) * q)]
+    assert tuple(report.first()) == (50, len(words), 50 - len(words), len(words) / 50, words[0], at(0.5), at(0.95), words[-1])
+    none = J.audit_report(spark.createDataFrame([], "eligible boolean, query string")).first()
+    assert tuple(none) == (0, 0, 0, None, None, None, None, None)
