@@ -165,3 +165,25 @@ def test_attribute_hits_once_a_row(spark):
 
     assert [(r.h, r.n) for r in out.orderBy("i").collect()] == [brute(*r) for r in rows]
     assert "array_contains(flatten" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_set_overlap_pieces_grow_with_the_rows(spark, monkeypatch, tmp_path):
+    """A task's rows are bounded: more lines give more pieces, and the same rows; one order holds most lines."""
+    from cartlight.plans import catalogue
+
+    catalogue.load()
+    lines = [(1, i, "R" if i % 5 == 0 else "N") for i in range(300)] + [(i // 3, i % 7, "RN"[i % 2]) for i in range(60)] + [(None, 4, "N"), (5, None, "R"), (5, 1, None)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    plain = sorted(catalogue.QUERIES["set_overlap"](spark, str(tmp_path)).collect(), key=str)
+    monkeypatch.setattr(S, "PIECE_ROWS", 10)
+    out = catalogue.QUERIES["set_overlap"](spark, str(tmp_path))
+    assert out.rdd.getNumPartitions() == 37
+    assert sorted(out.collect(), key=str) == plain
+    expected = set()
+    for order in {o for o, _, _ in lines}:
+        gold = {p for o, p, _ in lines if o == order}
+        back = {p for o, p, f in lines if o == order and f == "R"}
+        n = len(gold - back)
+        recall, precision = n / len(gold), float(n > 0)
+        expected.add((order, round(recall, 6), precision, round(2 * recall * precision / (recall + precision), 6) if n else 0.0))
+    assert {tuple(r) for r in plain} == expected
