@@ -104,6 +104,21 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_words_of_plain_letters_skip_the_steps_before_the_merges():
+    """Same ids as the library's for every kind of word; only words with other characters go through all its steps."""
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(WORD_TOKENIZER)
+    texts = ["Stra\u00dfe \u00c9COLE na\u00efve, caf\u00e9! (don't) 2024 a-b \u00ad \u0130x e\u0301t\u00e9 \u00e6\u00f8\u00e5 z\u00f7a \u0917\u093c <|endoftext|> Word.", None, "word " * 3 + "WORD?!"]
+    with open(WORD_TOKENIZER, encoding="utf-8") as source:
+        ours = token_files.WordTokenizer(source.read())
+    asked, whole = [], ours.parts.whole
+    ours.parts.whole = lambda word: asked.append(word) or whole(word)
+    got = [ids.tolist() for ids in ours.encode_batch(texts, 1)]
+    assert got == [[*library.encode(t or "", add_special_tokens=False).ids, 1] for t in texts]
+    assert asked and not any(token_files.PLAIN.fullmatch(word) for word in asked)
+
+
 def test_token_files(docs_of):
     library = Tokenizer.from_file(WORD_TOKENIZER)
     rows = ROWS + [(i, f"Row {i}, with <|endoftext|> and É. " * i) for i in range(20, 60)]
