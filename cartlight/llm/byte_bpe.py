@@ -7,10 +7,14 @@ that it can not look up:
 1. the texts that hold a word are counted for all words, and the most frequent
    words (at most ``HEAD``) are folded once; they and their ids are left in
    the shared folder, where a worker reads them;
-2. a worker cuts each text into words, writes the ids of those and leaves a
-   place for each other one, listing a text's distinct other words;
+2. a worker cuts texts into words and writes the ids between the places of the
+   other words, listing a text's distinct other words;
 3. the fold runs over these lists, and the ids go to their places.
 
+Workers handle some megabytes of text at a time: Arrow splits them at spaces
+and numbers the distinct parts, which are looked up together (``Head``), and
+numpy puts the ids of all texts together.
+
 Counting shuffles distinct words only, and the texts are never shuffled. The
 share of words beyond a fixed head is a matter of the language, not of the
 corpus' size. A word of more than ``FOLD_BYTES`` bytes is merged by a heap in
@@ -26,12 +30,12 @@ import base64
 import json
 import re
 import uuid
-from collections import Counter
 from collections.abc import Iterator
 from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.parquet as pq
 import regex
 from pyarrow import fs
@@ -39,29 +43,30 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cartlight.llm.common import append_columns, narrow, position, slices
+from cartlight.llm.common import append_columns, narrow, position
 from cartlight.session import materialize, work_path
 
 #: More than any token id.
 SPAN_BITS = 20
 SPAN = 1 << SPAN_BITS
 #: Most frequent words that are folded once and read by every worker.
-HEAD = 600_000
+HEAD = 1_500_000
 #: Word counts up to here are told apart exactly when the head is chosen.
 EXACT = 64
-#: Distinct words that a task counts before it sends them on.
-FLUSH = 200_000
-#: Parts of texts that a worker remembers before it starts anew.
-CACHE = 400_000
+#: Bytes of text that a worker cuts at a time; a longer text is cut alone.
+PIECE = 1 << 22
 #: Bytes of a word up to which merges are folded over an array; beyond, a heap avoids work that grows with the square.
 FOLD_BYTES = 200
-NONE = 2**31 - 1
+#: The rank of a pair that joins nothing, and the id of an end.
+NONE = SPAN - 1
 #: Characters of a plan's text that the driver keeps.
 PLAN_TEXT = 1_000_000
 #: A slice's length that takes all that follows.
 REST = 1 << 30
-#: A single space between two characters that are not white space.
-INNER_SPACE = re.compile(r"(?<=\S) (?=\S)")
+#: The alternative of a pattern that makes a space and letters one piece, after others that begin with an apostrophe; such words, for Arrow.
+LETTERS, LETTER_WORD = r"| ?\p{L}+|", r"^ \p{L}+$"
+#: For hashes of words.
+FACTOR, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD)
 FIELDS = [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("ids_le", T.BinaryType())]
 
 
@@ -134,43 +139,51 @@ def let(value: Column, use) -> Column:
 def encode_word(word: Column, table: Column) -> Column:
     """Token ids of a word, an array of its bytes as integers from 0 to 255.
 
-    The state is an array of two: the ids between two ends that join nothing,
-    and the ids that neighbours would join to. An id is a rank, so every step
-    joins the pair of the lowest one, the leftmost of equals.
+    The state is an array of one number a piece, after an end that joins
+    nothing: the rank of the piece with its neighbour to the right, where the
+    piece begins, and its id. An id is a rank, so every step joins the least
+    number's pair: the lowest rank, the leftmost of equals.
     """
-    end = F.lit(SPAN - 1)
+    low_bits = SPAN * SPAN - 1
+
+    def number(value: int) -> Column:
+        return F.lit(value).cast("bigint")
 
-    def joined(left: Column, right: Column) -> Column:
-        def found(pair: Column) -> Column:
-            first = F.get(table["first"], (pair % F.size(table["first"])).cast("int"))
-            second = F.get(table["second"], (pair % F.size(table["second"])).cast("int"))
-            hit = F.when(F.shiftright(first, SPAN_BITS) == pair, first).when(F.shiftright(second, SPAN_BITS) == pair, second)
-            return F.coalesce(hit.bitwiseAND(F.lit(SPAN - 1).cast("bigint")).cast("int"), F.lit(NONE))
+    def own_id(piece: Column) -> Column:
+        return piece.bitwiseAND(number(SPAN - 1))
 
-        return let(F.shiftleft(left.cast("bigint"), SPAN_BITS).bitwiseOR(right.cast("bigint")), found)
+    def joined(pair: Column) -> Column:
+        first = F.get(table["first"], (pair % F.size(table["first"])).cast("int"))
+        second = F.get(table["second"], (pair % F.size(table["second"])).cast("int"))
+        return F.when(F.shiftright(first, SPAN_BITS) == pair, own_id(first)).when(F.shiftright(second, SPAN_BITS) == pair, own_id(second)).otherwise(number(NONE))
 
     def start(w: Column) -> Column:
-        none = F.array(F.lit(NONE))
-        twos = F.transform(F.slice(w, 1, F.size(w) - 1), lambda a, i: F.get(table["twos"], a * 256 + F.get(w, i + 1)))
-        ids = F.transform(w, lambda b: F.get(table["bytes"], b))
-        return F.array(F.flatten(F.array(F.array(end), ids, F.array(end))), F.flatten(F.array(none, twos, none)))
-
-    def join(state: Column, i: Column) -> Column:
-        """Pieces i and i + 1 (from 1) become one."""
-        p, r = F.get(state, 0), F.get(state, 1)
-        new = F.get(r, i - 1)
-        beside = F.array(joined(F.get(p, i - 2), new), joined(new, F.get(p, i + 1)))
-        parts = F.array(F.slice(p, 1, i - 1), F.array(new), F.slice(p, i + 2, REST))
-        return F.array(F.flatten(parts), F.flatten(F.array(F.slice(r, 1, i - 2), beside, F.slice(r, i + 2, REST))))
+        def piece(byte: Column, i: Column) -> Column:
+            rank = F.coalesce(F.get(table["twos"], byte * 256 + F.get(w, i + 1)), F.lit(NONE)).cast("bigint")
+            return F.shiftleft(rank, 2 * SPAN_BITS) + F.shiftleft(i.cast("bigint"), SPAN_BITS) + own_id(F.get(table["bytes"], byte))
+
+        return F.concat(F.array(number(NONE << 2 * SPAN_BITS | NONE)), F.transform(w, piece))
+
+    def join(state: Column, least: Column, i: Column) -> Column:
+        """Pieces i (from 1) and i + 1 become one."""
+        new, before, after = F.shiftright(least, 2 * SPAN_BITS), F.get(state, i - 2), F.get(state, i + 1)
+        pairs = F.array(F.shiftleft(own_id(before), SPAN_BITS) + new, F.shiftleft(new, SPAN_BITS) + F.coalesce(own_id(after), number(NONE)))
+        kept = F.array(before.bitwiseAND(number(low_bits)), least.bitwiseAND(number(low_bits - NONE)) + new)
+        beside = F.transform(pairs, lambda pair, k: F.shiftleft(joined(pair), 2 * SPAN_BITS) + F.get(kept, k))
+        return F.concat(F.slice(state, 1, i - 2), beside, F.slice(state, i + 2, REST))
 
     def step(state: Column, _: Column) -> Column:
-        r = F.get(state, 1)
-        lowest = F.array_position(r, F.array_min(r)).cast("int")
-        return let(lowest, lambda i: F.when(F.get(r, i - 1) < NONE, join(state, i)).otherwise(state))
+        def at(least: Column) -> Column:
+            place = F.array_position(state, least).cast("int")
+            return F.when(least < number(NONE << 2 * SPAN_BITS), let(place, lambda i: join(state, least, i))).otherwise(state)
 
-    folded = F.aggregate(F.slice(word, 1, F.size(word) - 1), start(word), step, lambda state: F.get(state, 0))
-    inner = let(folded, lambda p: F.slice(p, 2, F.size(p) - 2))
-    return F.when(F.size(word) < 2, F.transform(word, lambda b: F.get(table["bytes"], b))).otherwise(inner)
+        return let(F.array_min(state), at)
+
+    def ids(state: Column) -> Column:
+        return F.transform(F.slice(state, 2, REST), lambda piece: own_id(piece).cast("int"))
+
+    folded = F.aggregate(F.slice(word, 1, F.size(word) - 1), start(word), step, ids)
+    return F.when(F.size(word) < 2, F.transform(word, lambda b: F.get(table["bytes"], b))).otherwise(folded)
 
 
 # --- long words ---------------------------------------------------------------------------------
@@ -220,70 +233,204 @@ def word_bytes(words: list[bytes]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(words), dtype=np.uint8).astype(np.int32)))
 
 
-class Irregular(Exception):
-    """A part between two spaces that is empty or begins or ends with white space."""
+def pieces_of(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """Slices with about PIECE bytes of a text column each, one row at least."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.cumsum(sizes)
+    start = 0
+    while start < batch.num_rows:
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + PIECE, side="right")))
+        yield batch.slice(start, stop - start)
+        start = stop
 
 
-class Words(dict):
-    """Parts of a text between single spaces -> their ids as little-endian bytes; None if a word is not in the head.
+def split_texts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Texts at single spaces: where the parts of each begin (and the end of all), the number of every part, the distinct parts. A null counts as empty."""
+    lists = pc.split_pattern(pc.fill_null(texts, ""), " ")
+    found = lists.flatten().dictionary_encode()
+    return bounds(pc.list_value_length(lists).to_numpy()), found.indices.to_numpy().astype(np.int64), found.dictionary
 
-    A space between two characters that are no white space always starts a
-    piece of the pattern: every alternative that takes a space takes it first.
-    So a text is cut at such spaces, and equal parts have equal ids.
-    """
 
-    def __init__(self, encoder: Encoder, space: str):
-        super().__init__()
-        self.encoder, self.space = encoder, space
+def after_space(parts: pa.Array) -> pa.Array:
+    return pc.binary_join_element_wise(pa.scalar(" ", parts.type), parts, pa.scalar("", parts.type))
+
+
+def letter_words(words: pa.Array, pattern: str) -> np.ndarray:
+    """Which words, as strings, are a space and letters, and so one piece of the pattern."""
+    return pc.match_substring_regex(words, LETTER_WORD).to_numpy(zero_copy_only=False) if LETTERS in pattern else np.zeros(len(words), bool)
+
+
+def ragged(starts: np.ndarray, sizes: np.ndarray, lists: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the elements of ``lists``, one after the other, and the lists' sizes; list k has sizes[k] elements from starts[k] on."""
+    n = sizes[lists]
+    ends = np.cumsum(n)
+    return np.repeat(starts[lists] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0), n
+
+
+def bounds(sizes: np.ndarray) -> np.ndarray:
+    """0 and the running sums of sizes."""
+    return np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+
 
-    def __missing__(self, part: str) -> bytes | None:
-        if not part or part[0].isspace() or part[-1].isspace():
-            raise Irregular
-        found = [self.encoder.head.get(w) for w in self.encoder.find(self.space + part)]
-        if None in found:
-            return None
-        if len(self) >= CACHE:
-            self.clear()
-        self[part] = found = b"".join(found)
-        return found
+def list_array(offsets: np.ndarray, values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values)
+
+
+class Head:
+    """Known words and the sizes of their lists of ids, sorted by a hash; many words are looked up at once and compared byte by byte.
+
+    Takes about 50 bytes a word. Of words with the same hash all but one may stay unknown.
+    """
+
+    def __init__(self, words: pa.Array, ids: np.ndarray, sizes: np.ndarray):
+        self.ids, self.sizes, self.starts = ids.astype(np.int32), sizes.astype(np.int32), bounds(sizes)[:-1]
+        self.bytes, self.begins, self.lengths = self.flat(words)
+        self.hashes = self.hashed(self.bytes, self.begins, self.lengths)
+        self.order = np.argsort(self.hashes).astype(np.int32)
+        self.hashes = self.hashes[self.order]
+
+    @staticmethod
+    def flat(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        words = words.cast(pa.binary())
+        _, offsets, data = words.buffers()
+        ends = np.frombuffer(offsets, np.int32)[words.offset : words.offset + len(words) + 1] if offsets and len(words) else np.zeros(1, np.int32)
+        raw = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data else np.empty(0, np.uint8)
+        return raw, ends[:-1] - ends[0], np.diff(ends)
+
+    @staticmethod
+    def hashed(raw: np.ndarray, begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        powers = np.cumprod(np.full(int(lengths.max(initial=0)) + 1, FACTOR))
+        sums = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum((raw + np.uint64(1)) * powers[np.arange(len(raw)) - np.repeat(begins, lengths)], out=sums[1:])
+        h = sums[begins + lengths] - sums[begins]
+        return (h ^ (h >> np.uint64(29))) * MIX
+
+    def find(self, words: pa.Array) -> np.ndarray:
+        """Number of every word, -1 for unknown ones."""
+        if not len(self.hashes) or not len(words):
+            return np.full(len(words), -1, np.int64)
+        raw, begins, lengths = self.flat(words)
+        h = self.hashed(raw, begins, lengths)
+        ordered = np.argsort(h)
+        place = np.empty(len(h), np.int64)
+        place[ordered] = np.searchsorted(self.hashes, h[ordered])
+        place = np.minimum(place, len(self.hashes) - 1)
+        number = np.where(self.hashes[place] == h, self.order[place].astype(np.int64), -1)
+        number[lengths != self.lengths[number]] = -1
+        hit = np.flatnonzero(number >= 0)
+        own, n = ragged(begins, lengths, hit)
+        other, _ = ragged(self.begins, self.lengths, number[hit])
+        number[hit[np.repeat(np.arange(len(hit)), n)[raw[own] != self.bytes[other]]]] = -1
+        return number
 
 
 class Encoder:
-    """Ids of texts by a head of known words (word -> ids as bytes), with places for the other words."""
-
-    def __init__(self, ranks: dict[bytes, int], pattern: str, head: dict[str, bytes]):
-        self.ranks, self.find, self.head = ranks, regex.compile(pattern).findall, head
-        self.first, self.rest = Words(self, ""), Words(self, " ")
-
-    def pieces(self, text: str, others: dict[bytes, int]) -> bytes:
-        out = []
-        for piece in self.find(text):
-            ids = self.head.get(piece)
-            if ids is None:
-                word = piece.encode("utf-8", "surrogatepass")
-                if word in self.ranks:
-                    ids = pack([self.ranks[word]])
-                elif len(word) > FOLD_BYTES:
-                    ids = pack(merge_long(word, self.ranks))
-                else:
-                    ids = pack([-1 - others.setdefault(word, len(others))])
-            out.append(ids)
-        return b"".join(out)
+    """Ids of texts by a head of known words (or word -> ids as bytes), with places for the other words.
+
+    A space between two characters that are no white space always starts a
+    piece of the pattern: every alternative that takes a space takes it first.
+    So a text is cut at such spaces, and equal parts have equal ids. A text
+    with an empty part, or one that begins or ends with white space, is cut by
+    the pattern as a whole.
+    """
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str, head: Head | dict[str, bytes]):
+        if isinstance(head, dict):
+            sizes = np.array([len(ids) // 4 for ids in head.values()], np.int64)
+            head = Head(pa.array([w.encode("utf-8", "surrogatepass") for w in head], pa.binary()), np.frombuffer(b"".join(head.values()), "<i4"), sizes)
+        self.ranks, self.find, self.letters, self.head = ranks, regex.compile(pattern).findall, LETTERS in pattern, head
+        words = pa.Array.from_buffers(pa.string(), len(head.sizes), [None, pa.py_buffer(bounds(head.lengths).astype(np.int32)), pa.py_buffer(head.bytes)])
+        self.plain = letter_words(words, pattern)
 
     def encode(self, text: str | None) -> tuple[bytes, list[bytes]]:
         """Ids as little-endian 32-bit integers, where -1 - k is the place of word k of the list, and that list."""
-        others: dict[bytes, int] = {}
-        if not text:
-            return b"", []
-        parts = text.split(" ")
-        try:
-            out = [self.first[parts[0]], *map(self.rest.__getitem__, parts[1:])]
-            if None in out:
-                out = [self.pieces(" " * (k > 0) + parts[k], others) if ids is None else ids for k, ids in enumerate(out)]
-        except Irregular:  # runs of white space: cut only where that is safe
-            first, *rest = INNER_SPACE.split(text)
-            out = [self.pieces(first, others), *(self.pieces(" " + part, others) for part in rest)]
-        return b"".join(out), list(others)
+        runs, which, words = (a[0].as_py() for a in self.encode_all(pa.array([text], pa.string())))
+        out = [i for k, run in enumerate(runs) for i in [*run, *(-1 - w for w in which[k : k + 1])]]
+        return pack(out), [bytes(w) for w in words]
+
+    def encode_all(self, texts: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array]:
+        """Per text: the runs of ids between its other words, for each of these its place in the list, and the list of distinct ones as bytes.
+
+        Words are numbers below: one known by the head, one of this batch's
+        ``extra`` words (tokens and long words) after those, or -1 - k for
+        other word k of this batch.
+        """
+        begins, parts_of, parts = split_texts(texts)
+        first, size = begins[:-1], np.diff(begins)
+        head, known = self.head, len(self.head.sizes)
+        extra: list[list[int]] = []
+        others: list[bytes] = []
+        fresh: dict[str, int] = {}
+
+        def new(word: str) -> int:
+            raw = word.encode("utf-8", "surrogatepass")
+            if raw in self.ranks or len(raw) > FOLD_BYTES:
+                extra.append([self.ranks[raw]] if raw in self.ranks else merge_long(raw, self.ranks))
+                fresh[word] = known + len(extra) - 1
+            else:
+                others.append(raw)
+                fresh[word] = -len(others)
+            return fresh[word]
+
+        # words of the distinct parts after a space, of every text's first part, and of every irregular text
+        number = head.find(after_space(parts))
+        number[~self.plain[number] if known else slice(None)] = -1  # a number of -1 takes any flag and stays
+        unknown = np.flatnonzero(number < 0)
+        entries = np.ones(len(parts) + len(first), np.int64)
+        odd, pieces = np.zeros(len(parts), bool), []
+        for k, part in zip(unknown.tolist(), parts.take(pa.array(unknown)).to_pylist()):
+            if self.letters and part.isalpha():
+                pieces.append(" " + part)
+            elif not part or part[0].isspace() or part[-1].isspace():
+                odd[k], entries[k] = True, 0
+            else:
+                found = self.find(" " + part)
+                entries[k] = len(found)
+                pieces += found
+        odd = np.logical_or.reduceat(odd[parts_of], first) if len(first) else np.empty(0, bool)
+        begun = pc.if_else(pa.array(odd), pc.fill_null(texts, ""), parts.take(pa.array(parts_of[first])).cast(texts.type))
+        for k, text in enumerate(begun.to_pylist(), len(parts)):
+            found = self.find(text)
+            entries[k] = len(found)
+            pieces += found
+        asked = head.find(pa.array([w.encode("utf-8", "surrogatepass") for w in pieces], pa.binary()))
+        for k in np.flatnonzero(asked < 0).tolist():
+            n = fresh.get(pieces[k])
+            asked[k] = new(pieces[k]) if n is None else n
+        ends = bounds(entries)
+        words = np.empty(ends[-1], np.int64)
+        single = np.flatnonzero(number >= 0)
+        words[ends[single]] = number[single]
+        rest = np.ones(len(words), bool)
+        rest[ends[single]] = False
+        words[rest] = asked
+        parts_of[first] = len(parts) + np.arange(len(first))
+        keep = np.repeat(~odd, size)
+        keep[first] = True
+        owner = np.repeat(np.arange(len(first)), size)[keep]
+
+        # all words in order, their texts, and their ids
+        places, n = ragged(ends[:-1], entries, parts_of[keep])
+        order = words[places]
+        owner = np.repeat(owner, n)
+        sizes = np.concatenate([head.sizes, np.array([len(e) for e in extra], np.int32), np.zeros(1, np.int32)])
+        starts = np.concatenate([head.starts, len(head.ids) + bounds(sizes[known:])[:-1]])
+        ids = np.concatenate([head.ids, np.array([i for e in extra for i in e], np.int32)]) if extra else head.ids
+        taken, n = ragged(starts, sizes, np.where(order < 0, len(sizes) - 1, order))
+        before = bounds(n)
+
+        # runs begin with every text and after every other word
+        at = np.flatnonzero(order < 0)
+        text_at = np.searchsorted(owner, np.arange(len(first)))
+        cuts = np.argsort(np.concatenate([2 * text_at - 1, 2 * at]), kind="stable")
+        inner = np.concatenate([np.concatenate([before[text_at], before[at]])[cuts], before[-1:]])
+        per_text = np.bincount(owner[at], minlength=len(first))
+        runs = list_array(bounds(per_text + 1), list_array(inner, pa.array(ids[taken])))
+        listed, which = np.unique(owner[at] * (len(others) + 1) + (-1 - order[at]), return_inverse=True)
+        of_text, word = np.divmod(listed, len(others) + 1)
+        lists = bounds(np.bincount(of_text, minlength=len(first)))
+        which = list_array(bounds(per_text), pa.array((which - lists[owner[at]]).astype(np.int32)))
+        return runs, which, list_array(lists, word_bytes([others[k] for k in word.tolist()]))
 
 
 def count_words(docs: DataFrame, pattern: str, tokens: set[bytes]) -> DataFrame:
@@ -294,26 +441,24 @@ def count_words(docs: DataFrame, pattern: str, tokens: set[bytes]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]):
         find = regex.compile(pattern).findall
-        parts: Counter = Counter()
-
-        def out():
-            words: Counter = Counter()
-            for part, n in parts.items():
-                for piece in find(" " + part):
-                    words[piece] += n
-            raw = {w.encode("utf-8", "surrogatepass"): n for w, n in words.items()}
-            raw = {w: n for w, n in raw.items() if len(w) <= FOLD_BYTES and w not in tokens}
-            return pa.RecordBatch.from_arrays([pa.array(list(raw), pa.binary()), pa.array(list(raw.values()), pa.int64())], ["word", "n"])
-
+        known = Head(pa.array(list(tokens), pa.binary()), np.empty(0, np.int32), np.zeros(len(tokens), np.int64))
         for batch in batches:
-            for part in slices(batch):
-                for text in part.column(0).to_pylist():
-                    parts.update(set((text or "").split(" ")))
-                if len(parts) > FLUSH:
-                    yield out()
-                    parts.clear()
-        if parts:
-            yield out()
+            for some in pieces_of(batch, 0):
+                begins, parts_of, parts = split_texts(some.column(0))
+                owner = np.repeat(np.arange(some.num_rows), np.diff(begins))
+                seen = np.sort(owner * len(parts) + parts_of)
+                seen = seen[np.diff(seen, prepend=-1) > 0]
+                texts = np.bincount(seen % max(len(parts), 1), minlength=len(parts))
+                spaced = after_space(parts)
+                plain = letter_words(spaced, pattern)
+                counts: dict[str, int] = {}
+                for part, n in zip(spaced.filter(pa.array(~plain)).to_pylist(), texts[~plain].tolist()):
+                    for word in find(part):
+                        counts[word] = counts.get(word, 0) + n
+                words = pa.concat_arrays([spaced.filter(pa.array(plain)).cast(pa.binary()), pa.array([w.encode("utf-8", "surrogatepass") for w in counts], pa.binary())])
+                n = np.concatenate([texts[plain], np.array(list(counts.values()), np.int64)]).astype(np.int64)
+                kept = (known.find(words) < 0) & (pc.binary_length(words).to_numpy() <= FOLD_BYTES)
+                yield pa.RecordBatch.from_arrays([words.filter(pa.array(kept)), pa.array(n[kept])], ["word", "n"])
 
     return docs.select("text").mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -336,17 +481,30 @@ def fold_head(docs: DataFrame, ranks: dict[bytes, int], tables: str, pattern: st
     return path
 
 
-def read_head(path: str | None) -> Iterator[tuple[str, bytes]]:
-    """The words of a head with their ids as bytes, some at a time."""
-    if path is None:
-        return
-    system, folder = fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", path))
-    for info in system.get_file_info(fs.FileSelector(folder)):
-        if not info.base_name.endswith(".parquet"):
-            continue
-        with system.open_input_file(info.path) as source:
-            for some in pq.ParquetFile(source).iter_batches(10_000, columns=["word", "ids"]):
-                yield from ((w.decode("utf-8", "surrogatepass"), pack(ids)) for w, ids in zip(some.column(0).to_pylist(), some.column(1).to_pylist()))
+def read_head(path: str | None, ranks: dict[bytes, int]) -> Head:
+    """The tokens that may be words, and the words left in a folder, if any."""
+    tokens = [(t, r) for t, r in ranks.items() if is_text(t)]  # others are part of a character: never a word
+    words, ids = [pa.array([t for t, _ in tokens], pa.binary())], [np.array([r for _, r in tokens], np.int32)]
+    sizes = [np.ones(len(tokens), np.int32)]
+    if path is not None:
+        system, folder = fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", path))
+        for info in system.get_file_info(fs.FileSelector(folder)):
+            if not info.base_name.endswith(".parquet"):
+                continue
+            with system.open_input_file(info.path) as source:
+                for some in pq.ParquetFile(source).iter_batches(100_000, columns=["word", "ids"]):
+                    words.append(some.column(0).cast(pa.binary()))
+                    ids.append(some.column(1).flatten().to_numpy())
+                    sizes.append(pc.list_value_length(some.column(1)).to_numpy())
+    return Head(pa.concat_arrays(words), np.concatenate(ids), np.concatenate(sizes))
+
+
+def is_text(token: bytes) -> bool:
+    try:
+        token.decode()
+    except UnicodeDecodeError:
+        return False
+    return True
 
 
 def _short_plans(spark: SparkSession) -> None:
@@ -382,33 +540,23 @@ def encode_texts(df: DataFrame, rank_path: str, pattern: str, text_col: str = "t
         encoder = _encoders.get(key)
         if encoder is None:
             _encoders.clear()
-            tokens = shared.value
-            known = {}
-            for token, rank in tokens.items():
-                try:
-                    known[token.decode()] = pack([rank])
-                except UnicodeDecodeError:  # part of a character: never a word
-                    continue
-            known.update(read_head(words))
-            encoder = _encoders[key] = Encoder(tokens, pattern, known)
+            encoder = _encoders[key] = Encoder(shared.value, pattern, read_head(words, shared.value))
         for batch in batches:
-            for part in slices(batch):
-                raw, others = zip(*(encoder.encode(t) for t in part.column(at).to_pylist()))
-                ends = np.concatenate([[0], np.cumsum([len(r) // 4 for r in raw])]).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(raw), dtype="<i4")))
-                ends = np.concatenate([[0], np.cumsum([len(o) for o in others])]).astype(np.int32)
-                yield part, [ids, pa.ListArray.from_arrays(pa.array(ends), word_bytes([w for o in others for w in o]))]
+            for some in pieces_of(batch, at):
+                yield some, list(encoder.encode_all(some.column(at)))
 
     new = {f.name for f in FIELDS}
     ints = T.ArrayType(T.IntegerType())
-    cut = append_columns(df, make, [T.StructField("bpe ids", ints), T.StructField("bpe words", T.ArrayType(ints))])
+    lists = T.ArrayType(ints)
+    cut = append_columns(df, make, [T.StructField("bpe runs", lists), T.StructField("bpe places", ints), T.StructField("bpe words", lists)])
     names = cut.columns
     cut = cut.toDF(*(f"c{i}" for i in range(len(names))))
-    keep = [F.col(f"c{i}").alias(n) for i, n in enumerate(names[:-2]) if n.lower() not in new]
-    found, others = F.col(f"c{len(names) - 2}"), F.col(f"c{len(names) - 1}")
-    folded = F.when(F.size(others) > 0, let(rank_literal(tables), lambda t: F.transform(others, lambda w: encode_word(w, t))))
-    placed = let(folded, lambda words: F.flatten(F.transform(found, lambda i: F.when(i >= 0, F.array(i)).otherwise(F.get(words, -1 - i)))))
-    whole = cut.select(*keep, F.when(F.size(others) == 0, found).otherwise(placed).alias("ids"))
+    keep = [F.col(f"c{i}").alias(n) for i, n in enumerate(names[:-3]) if n.lower() not in new]
+    runs, places, others = (F.col(f"c{len(names) - k}") for k in (3, 2, 1))
+    folded = let(rank_literal(tables), lambda t: F.transform(others, lambda w: encode_word(w, t)))
+    after = let(folded, lambda words: F.transform(places, lambda i: F.get(words, i)))  # one word after every run but the last
+    placed = let(after, lambda a: F.flatten(F.flatten(F.transform(runs, lambda run, k: F.array(run, F.coalesce(F.get(a, k), F.array().cast(ints)))))))
+    whole = cut.select(*keep, F.when(F.size(others) == 0, F.flatten(runs)).otherwise(placed).alias("ids"))
     return whole.select(*whole.columns[:-1], F.size("ids").cast("bigint").alias("n_tokens"), "ids", ids_le(F.col("ids"), max(ranks.values(), default=-1)).alias("ids_le"))
 
 
