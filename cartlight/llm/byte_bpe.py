@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cartlight.llm.common import append_columns, narrow, position
+from cartlight.llm.common import SLICE, append_columns, narrow, position
 from cartlight.session import materialize, work_path
 
 #: More than any token id.
@@ -137,7 +137,19 @@ def let(value: Column, use) -> Column:
 
 
 def encode_word(word: Column, table: Column) -> Column:
-    """Token ids of a word, an array of its bytes as integers from 0 to 255.
+    """Token ids of a word, an array of its bytes as integers from 0 to 255."""
+
+    def piece(byte: Column, i: Column) -> Column:
+        rank = F.coalesce(F.get(table["twos"], byte * 256 + F.get(word, i + 1)), F.lit(NONE)).cast("bigint")
+        own_id = F.get(table["bytes"], byte).bitwiseAND(F.lit(SPAN - 1))
+        return F.shiftleft(rank, 2 * SPAN_BITS) + F.shiftleft(i.cast("bigint"), SPAN_BITS) + own_id
+
+    end = F.array(F.lit(NONE << 2 * SPAN_BITS | NONE).cast("bigint"))
+    return fold_merges(F.concat(end, F.transform(word, piece)), table)
+
+
+def fold_merges(state: Column, table: Column) -> Column:
+    """Token ids of a word, folded from an array of one number a byte.
 
     The state is an array of one number a piece, after an end that joins
     nothing: the rank of the piece with its neighbour to the right, where the
@@ -157,15 +169,8 @@ def encode_word(word: Column, table: Column) -> Column:
         second = F.get(table["second"], (pair % F.size(table["second"])).cast("int"))
         return F.when(F.shiftright(first, SPAN_BITS) == pair, own_id(first)).when(F.shiftright(second, SPAN_BITS) == pair, own_id(second)).otherwise(number(NONE))
 
-    def start(w: Column) -> Column:
-        def piece(byte: Column, i: Column) -> Column:
-            rank = F.coalesce(F.get(table["twos"], byte * 256 + F.get(w, i + 1)), F.lit(NONE)).cast("bigint")
-            return F.shiftleft(rank, 2 * SPAN_BITS) + F.shiftleft(i.cast("bigint"), SPAN_BITS) + own_id(F.get(table["bytes"], byte))
-
-        return F.concat(F.array(number(NONE << 2 * SPAN_BITS | NONE)), F.transform(w, piece))
-
     def join(state: Column, least: Column, i: Column) -> Column:
-        """Pieces i (from 1) and i + 1 become one."""
+        """Pieces i (from 1, the end included) and i + 1 become one."""
         new, before, after = F.shiftright(least, 2 * SPAN_BITS), F.get(state, i - 2), F.get(state, i + 1)
         pairs = F.array(F.shiftleft(own_id(before), SPAN_BITS) + new, F.shiftleft(new, SPAN_BITS) + F.coalesce(own_id(after), number(NONE)))
         kept = F.array(before.bitwiseAND(number(low_bits)), least.bitwiseAND(number(low_bits - NONE)) + new)
@@ -182,8 +187,7 @@ def encode_word(word: Column, table: Column) -> Column:
     def ids(state: Column) -> Column:
         return F.transform(F.slice(state, 2, REST), lambda piece: own_id(piece).cast("int"))
 
-    folded = F.aggregate(F.slice(word, 1, F.size(word) - 1), start(word), step, ids)
-    return F.when(F.size(word) < 2, F.transform(word, lambda b: F.get(table["bytes"], b))).otherwise(folded)
+    return F.aggregate(F.slice(state, 1, F.size(state) - 2), state, step, ids)
 
 
 # --- long words ---------------------------------------------------------------------------------
@@ -227,10 +231,24 @@ def pack(ids: list[int]) -> bytes:
     return np.array(ids, dtype="<i4").tobytes()
 
 
-def word_bytes(words: list[bytes]) -> pa.Array:
-    """Words as arrays of their bytes."""
-    ends = np.concatenate([[0], np.cumsum([len(w) for w in words], dtype=np.int64)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(words), dtype=np.uint8).astype(np.int32)))
+class States:
+    """Words before their first merge, as ``fold_merges`` takes them."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        single = [bytes([b]) for b in range(256)]
+        self.bytes = np.array([ranks.get(b, NONE) for b in single], np.int64)
+        self.twos = np.array([ranks.get(a + b, NONE) for a in single for b in single], np.int64)
+
+    def __call__(self, words: list[bytes]) -> pa.Array:
+        lengths = np.array([len(w) for w in words], np.int64)
+        raw = np.frombuffer(b"".join(words), np.uint8).astype(np.int64)
+        places, begins = np.arange(len(raw)), bounds(lengths)[:-1]
+        ranks = np.append(self.twos[raw[:-1] * 256 + raw[1:]], NONE) if len(raw) else raw
+        ranks[(begins + lengths - 1)[lengths > 0]] = NONE
+        out = np.full(len(raw) + len(words), NONE << 2 * SPAN_BITS | NONE, np.int64)
+        starts = np.repeat(np.arange(1, len(words) + 1), lengths)
+        out[places + starts] = ranks << 2 * SPAN_BITS | places - np.repeat(begins, lengths) << SPAN_BITS | self.bytes[raw]
+        return list_array(bounds(lengths + 1), pa.array(out))
 
 
 def pieces_of(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
@@ -283,7 +301,7 @@ class Head:
     """
 
     def __init__(self, words: pa.Array, ids: np.ndarray, sizes: np.ndarray):
-        self.ids, self.sizes, self.starts = ids.astype(np.int32), sizes.astype(np.int32), bounds(sizes)[:-1]
+        self.ids, self.sizes, self.starts = ids.astype(np.int32), sizes.astype(np.int32), bounds(sizes)[:-1].astype(np.int32)
         self.bytes, self.begins, self.lengths = self.flat(words)
         self.hashes = self.hashed(self.bytes, self.begins, self.lengths)
         self.order = np.argsort(self.hashes).astype(np.int32)
@@ -340,16 +358,22 @@ class Encoder:
             head = Head(pa.array([w.encode("utf-8", "surrogatepass") for w in head], pa.binary()), np.frombuffer(b"".join(head.values()), "<i4"), sizes)
         self.ranks, self.find, self.letters, self.head = ranks, regex.compile(pattern).findall, LETTERS in pattern, head
         words = pa.Array.from_buffers(pa.string(), len(head.sizes), [None, pa.py_buffer(bounds(head.lengths).astype(np.int32)), pa.py_buffer(head.bytes)])
-        self.plain = letter_words(words, pattern)
+        self.plain, self.states = letter_words(words, pattern), States(ranks)
 
     def encode(self, text: str | None) -> tuple[bytes, list[bytes]]:
         """Ids as little-endian 32-bit integers, where -1 - k is the place of word k of the list, and that list."""
-        runs, which, words = (a[0].as_py() for a in self.encode_all(pa.array([text], pa.string())))
-        out = [i for k, run in enumerate(runs) for i in [*run, *(-1 - w for w in which[k : k + 1])]]
-        return pack(out), [bytes(w) for w in words]
+        runs, _, which, numbers, words = self.encode_all(pa.array([text], pa.string()))
+        runs, which = runs[0].as_py(), which[0].as_py()
+        return pack([i for k, run in enumerate(runs) for i in [*run, *(-1 - w for w in which[k : k + 1])]]), [words[k] for k in numbers]
 
-    def encode_all(self, texts: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array]:
-        """Per text: the runs of ids between its other words, for each of these its place in the list, and the list of distinct ones as bytes.
+    def encode_all(self, texts: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array, list[int], list[bytes]]:
+        """Columns of many texts, and their other words.
+
+        Per text: the runs of ids between its other words, as lists and as
+        little-endian bytes, and the place of the word after each run but the
+        last among the text's distinct ones. Then these words of all texts, one
+        text after the other, as places in the last list. The result of
+        ``columns`` has the words' states instead.
 
         Words are numbers below: one known by the head, one of this batch's
         ``extra`` words (tokens and long words) after those, or -1 - k for
@@ -425,12 +449,19 @@ class Encoder:
         cuts = np.argsort(np.concatenate([2 * text_at - 1, 2 * at]), kind="stable")
         inner = np.concatenate([np.concatenate([before[text_at], before[at]])[cuts], before[-1:]])
         per_text = np.bincount(owner[at], minlength=len(first))
-        runs = list_array(bounds(per_text + 1), list_array(inner, pa.array(ids[taken])))
+        flat, outer = ids[taken], bounds(per_text + 1)
+        raw = pa.Array.from_buffers(pa.binary(), len(inner) - 1, [None, pa.py_buffer((inner * 4).astype(np.int32)), pa.py_buffer(flat.astype("<i4"))])
+        runs, raw = list_array(outer, list_array(inner, pa.array(flat))), list_array(outer, raw)
         listed, which = np.unique(owner[at] * (len(others) + 1) + (-1 - order[at]), return_inverse=True)
         of_text, word = np.divmod(listed, len(others) + 1)
         lists = bounds(np.bincount(of_text, minlength=len(first)))
         which = list_array(bounds(per_text), pa.array((which - lists[owner[at]]).astype(np.int32)))
-        return runs, which, list_array(lists, word_bytes([others[k] for k in word.tolist()]))
+        self.lists = lists
+        return runs, raw, which, word.tolist(), others
+
+    def columns(self, texts: pa.Array) -> list[pa.Array]:
+        runs, raw, which, word, others = self.encode_all(texts)
+        return [runs, raw, which, list_array(self.lists, self.states([others[k] for k in word]))]
 
 
 def count_words(docs: DataFrame, pattern: str, tokens: set[bytes]) -> DataFrame:
@@ -475,9 +506,16 @@ def fold_head(docs: DataFrame, ranks: dict[bytes, int], tables: str, pattern: st
         least = row["level"]
     if least is None:
         return None
-    byte = F.transform(F.split(F.decode("word", "ISO-8859-1"), ""), F.ascii)
-    path = work_path(docs.sparkSession, "bpe-head")
-    counts.filter(level >= least).select("word", let(rank_literal(tables), lambda t: encode_word(byte, t)).alias("ids")).write.parquet(path)
+    def begin(batches: Iterator[pa.RecordBatch]):
+        states = States(ranks_of.value)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), states(batch.column(0).to_pylist())], ["word", "state"])
+
+    spark = docs.sparkSession
+    ranks_of = spark.sparkContext.broadcast({t: r for t, r in ranks.items() if len(t) < 3})
+    path = work_path(spark, "bpe-head")
+    begun = counts.filter(level >= least).select("word").mapInArrow(begin, "word binary, state array<bigint>")
+    begun.select("word", let(rank_literal(tables), lambda t: fold_merges(F.col("state"), t)).alias("ids")).write.parquet(path)
     return path
 
 
@@ -543,27 +581,31 @@ def encode_texts(df: DataFrame, rank_path: str, pattern: str, text_col: str = "t
             encoder = _encoders[key] = Encoder(shared.value, pattern, read_head(words, shared.value))
         for batch in batches:
             for some in pieces_of(batch, at):
-                yield some, list(encoder.encode_all(some.column(at)))
+                columns = encoder.columns(some.column(at))
+                for start in range(0, some.num_rows, SLICE):
+                    yield some.slice(start, SLICE), [c.slice(start, SLICE) for c in columns]
+                del columns
+                pa.default_memory_pool().release_unused()
 
     new = {f.name for f in FIELDS}
     ints = T.ArrayType(T.IntegerType())
-    lists = T.ArrayType(ints)
-    cut = append_columns(df, make, [T.StructField("bpe runs", lists), T.StructField("bpe places", ints), T.StructField("bpe words", lists)])
+    fields = {"runs": T.ArrayType(ints), "runs_le": T.ArrayType(T.BinaryType()), "places": ints, "words": T.ArrayType(T.ArrayType(T.LongType()))}
+    cut = append_columns(df, make, [T.StructField(f"bpe {n}", t) for n, t in fields.items()])
     names = cut.columns
     cut = cut.toDF(*(f"c{i}" for i in range(len(names))))
-    keep = [F.col(f"c{i}").alias(n) for i, n in enumerate(names[:-3]) if n.lower() not in new]
-    runs, places, others = (F.col(f"c{len(names) - k}") for k in (3, 2, 1))
-    folded = let(rank_literal(tables), lambda t: F.transform(others, lambda w: encode_word(w, t)))
+    kept = {f"c{i}": n for i, n in enumerate(names[:-4]) if n.lower() not in new}
+    runs, runs_le, places, others = (F.col(f"c{len(names) - k}") for k in (4, 3, 2, 1))
+    folded = let(rank_literal(tables), lambda t: F.transform(others, lambda w: fold_merges(w, t)))
+    none = F.array().cast(ints)
     after = let(folded, lambda words: F.transform(places, lambda i: F.get(words, i)))  # one word after every run but the last
-    placed = let(after, lambda a: F.flatten(F.flatten(F.transform(runs, lambda run, k: F.array(run, F.coalesce(F.get(a, k), F.array().cast(ints)))))))
-    whole = cut.select(*keep, F.when(F.size(others) == 0, F.flatten(runs)).otherwise(placed).alias("ids"))
-    return whole.select(*whole.columns[:-1], F.size("ids").cast("bigint").alias("n_tokens"), "ids", ids_le(F.col("ids"), max(ranks.values(), default=-1)).alias("ids_le"))
-
-
-def ids_le(ids: Column, largest: int) -> Column:
-    """Ids up to ``largest`` as little-endian unsigned 32-bit integers."""
-    table = F.split(F.lit(",".join(i.to_bytes(4, "little").hex() for i in range(largest + 1))), ",")
-    return let(table, lambda t: F.unhex(F.array_join(F.transform(ids, lambda i: F.get(t, i)), "")))
+    placed = cut.select(*kept, runs.alias("runs"), runs_le.alias("runs_le"), after.alias("after"))
+    ids = F.flatten(F.flatten(F.transform("runs", lambda run, k: F.array(run, F.coalesce(F.get("after", k), none)))))
+    hexes = F.split(F.lit(",".join(i.to_bytes(4, "little").hex() for i in range(max(ranks.values(), default=-1) + 1))), ",")
+    word_hex = let(hexes, lambda t: F.transform("after", lambda w: F.array_join(F.transform(w, lambda i: F.get(t, i)), "")))
+    raw = let(word_hex, lambda words: F.unhex(F.array_join(F.transform("runs_le", lambda run, k: F.concat(F.hex(run), F.coalesce(F.get(words, k), F.lit("")))), "")))
+    whole = placed.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(kept)), ids.alias("ids"), raw.alias("ids_le"))
+    named = (F.col(f"k{i}").alias(n) for i, n in enumerate(kept.values()))
+    return whole.select(*named, F.size("ids").cast("bigint").alias("n_tokens"), "ids", "ids_le")
 
 
 def decode_ids(ids: Column, rank_path: str) -> Column:

@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -125,6 +126,35 @@ def test_fold_of_higher_order_functions(spark, reference_encoder):
         assert r.ids == reference_encoder._encode_single_piece(r.w.encode()) == byte_bpe.merge_long(r.w.encode(), ranks)
 
 
+def test_encoder_on_many_texts_at_once(reference_encoder):
+    """Texts of one batch share what is looked up; words beyond the head come as states, each once a text."""
+    ranks = byte_bpe.load_ranks(RANKS)
+    words = [w for w in ("the", " the", " Haanth", " é中", "'s") if w.encode() not in ranks or w == " the"]
+    encoder = byte_bpe.Encoder(ranks, public_tokenizers.PATTERN, {w: byte_bpe.pack(byte_bpe.merge_long(w.encode(), ranks)) for w in words})
+    rng = random.Random(8)
+    signs = [*"ab \n.é中😀", " the", " Haanth", " zzyzxq", "  ", " don't", " " + "q" * 250]
+    texts = [None, "", " ", "zzyzxq zzyzxq", *("".join(rng.choice(signs) for _ in range(rng.randint(0, 30))) for _ in range(800)), ""]
+    runs, raw, which, numbers, others = encoder.encode_all(pa.array(texts, pa.string()))
+    numbers = iter(numbers)
+    for text, run, le, places in zip(texts, runs.to_pylist(), raw.to_pylist(), which.to_pylist()):
+        listed = [others[next(numbers)] for _ in range(max(places, default=-1) + 1)]
+        assert len(set(listed)) == len(listed) and [np.frombuffer(b, "<i4").tolist() for b in le] == run and len(run) == len(places) + 1
+        ids = [i for k, r in enumerate(run) for i in [*r, *(byte_bpe.merge_long(listed[places[k]], ranks) if k < len(places) else [])]]
+        assert ids == reference_encoder.encode_ordinary(text or "")
+    assert next(numbers, None) is None
+
+
+def test_head_compares_words_that_hash_alike(monkeypatch):
+    words = [b"a", b"", b" the", "é中".encode(), b"a" * 300]
+    take = lambda ws: pa.array(ws, pa.binary())
+    head = byte_bpe.Head(take(words), np.arange(5, dtype=np.int32), np.ones(5, np.int64))
+    assert head.find(take([b"b", *words[::-1], b" thf", b"a" * 299]).slice(1)).tolist() == [4, 3, 2, 1, 0, -1, -1]
+    assert head.find(take([])).tolist() == [] and byte_bpe.Head(take([]), np.empty(0, np.int32), np.empty(0, np.int64)).find(take([b"a"])).tolist() == [-1]
+    monkeypatch.setattr(byte_bpe.Head, "hashed", staticmethod(lambda raw, begins, lengths: np.zeros(len(lengths), np.uint64)))
+    alike = byte_bpe.Head(take(words), np.arange(5, dtype=np.int32), np.ones(5, np.int64)).find(take([b"b", *words, b"x"])).tolist()
+    assert alike[0] == alike[-1] == -1 and all(got in (-1, k) for k, got in enumerate(alike[1:-1])) and max(alike) >= 0
+
+
 def test_lm_scores_both_sides(docs_of):
     rng = random.Random(3)
     texts = [" ".join(x for _ in range(40) for x in rng.choice([("red", "apple", "tree"), ("blue", "whale", "sea")])) for _ in range(60)]
