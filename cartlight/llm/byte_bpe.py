@@ -53,8 +53,10 @@ SPAN = 1 << SPAN_BITS
 HEAD = 1_500_000
 #: Word counts up to here are told apart exactly when the head is chosen.
 EXACT = 64
-#: Bytes of text that a worker cuts at a time; a longer text is cut alone.
-PIECE = 1 << 22
+#: Bytes of text that a worker cuts at a time to count and to encode words; a longer text is cut alone.
+COUNTED, ENCODED = 1 << 22, 1 << 21
+#: Words hashed at a time when a head is read.
+HASHED = 1 << 16
 #: Bytes of a word up to which merges are folded over an array; beyond, a heap avoids work that grows with the square.
 FOLD_BYTES = 200
 #: The rank of a pair that joins nothing, and the id of an end.
@@ -251,13 +253,13 @@ class States:
         return list_array(bounds(lengths + 1), pa.array(out))
 
 
-def pieces_of(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
-    """Slices with about PIECE bytes of a text column each, one row at least."""
+def pieces_of(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Slices with at most ``most`` bytes of a text column each, one row at least."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     ends = np.cumsum(sizes)
     start = 0
     while start < batch.num_rows:
-        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + PIECE, side="right")))
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + most, side="right")))
         yield batch.slice(start, stop - start)
         start = stop
 
@@ -303,7 +305,9 @@ class Head:
     def __init__(self, words: pa.Array, ids: np.ndarray, sizes: np.ndarray):
         self.ids, self.sizes, self.starts = ids.astype(np.int32), sizes.astype(np.int32), bounds(sizes)[:-1].astype(np.int32)
         self.bytes, self.begins, self.lengths = self.flat(words)
-        self.hashes = self.hashed(self.bytes, self.begins, self.lengths)
+        self.hashes = np.empty(len(words), np.uint64)
+        for k in range(0, len(words), HASHED):
+            self.hashes[k : k + HASHED] = self.hashed(*self.flat(words.slice(k, HASHED)))
         self.order = np.argsort(self.hashes).astype(np.int32)
         self.hashes = self.hashes[self.order]
 
@@ -474,7 +478,7 @@ def count_words(docs: DataFrame, pattern: str, tokens: set[bytes]) -> DataFrame:
         find = regex.compile(pattern).findall
         known = Head(pa.array(list(tokens), pa.binary()), np.empty(0, np.int32), np.zeros(len(tokens), np.int64))
         for batch in batches:
-            for some in pieces_of(batch, 0):
+            for some in pieces_of(batch, 0, COUNTED):
                 begins, parts_of, parts = split_texts(some.column(0))
                 owner = np.repeat(np.arange(some.num_rows), np.diff(begins))
                 seen = np.sort(owner * len(parts) + parts_of)
@@ -580,7 +584,7 @@ def encode_texts(df: DataFrame, rank_path: str, pattern: str, text_col: str = "t
             _encoders.clear()
             encoder = _encoders[key] = Encoder(shared.value, pattern, read_head(words, shared.value))
         for batch in batches:
-            for some in pieces_of(batch, at):
+            for some in pieces_of(batch, at, ENCODED):
                 columns = encoder.columns(some.column(at))
                 for start in range(0, some.num_rows, SLICE):
                     yield some.slice(start, SLICE), [c.slice(start, SLICE) for c in columns]
