@@ -603,7 +603,8 @@ def encode_texts(df: DataFrame, rank_path: str, pattern: str, text_col: str = "t
     none = F.array().cast(ints)
     after = let(folded, lambda words: F.transform(places, lambda i: F.get(words, i)))  # one word after every run but the last
     placed = cut.select(*kept, runs.alias("runs"), runs_le.alias("runs_le"), after.alias("after"))
-    ids = F.flatten(F.flatten(F.transform("runs", lambda run, k: F.array(run, F.coalesce(F.get("after", k), none)))))
+    # a reader of ids alone folds "after" into this column: inside the lambda of the runs it would be computed for every run
+    ids = let(F.col("after"), lambda words: F.flatten(F.flatten(F.transform("runs", lambda run, k: F.array(run, F.coalesce(F.get(words, k), none))))))
     hexes = F.split(F.lit(",".join(i.to_bytes(4, "little").hex() for i in range(max(ranks.values(), default=-1) + 1))), ",")
     word_hex = let(hexes, lambda t: F.transform("after", lambda w: F.array_join(F.transform(w, lambda i: F.get(t, i)), "")))
     raw = let(word_hex, lambda words: F.unhex(F.array_join(F.transform("runs_le", lambda run, k: F.concat(F.hex(run), F.coalesce(F.get(words, k), F.lit("")))), "")))

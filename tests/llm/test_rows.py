@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -104,6 +105,18 @@ def test_byte_bpe(docs_of, reference_encoder, head):
         assert bytes(r.back) == (r.text or "").encode() and np.frombuffer(r.ids_le, "<u4").tolist() == r.ids
 
 
+def test_byte_bpe_folds_a_word_once_whatever_is_read(docs_of):
+    """A text of other words only: ids alone cost no more than all results, where every run of ids folded all its words."""
+    rng = random.Random(1)
+    docs = docs_of([(1, " ".join("".join(rng.choice("bcdfgxz") for _ in range(12)) for _ in range(1200)))])
+    took = []
+    for columns in (["ids_le"], ["ids", "ids_le"], ["n_tokens"]):
+        start = time.time()
+        byte_bpe.encode_texts(docs, RANKS, public_tokenizers.PATTERN, head=0).select(*columns).collect()
+        took.append(time.time() - start)
+    assert took[2] < 3 * took[1] + 4
+
+
 def test_encoder_on_random_texts(reference_encoder):
     ranks = byte_bpe.load_ranks(RANKS)
     encoder = byte_bpe.Encoder(ranks, public_tokenizers.PATTERN, {" the": byte_bpe.pack([ranks[b" the"]])})
