@@ -331,6 +331,17 @@ def test_members_travel_only_with_a_stranger(spark):
     assert got == [(2, i, 0) for i in range(300)] + [(2, 302, 302)]
 
 
+def test_simhash_copies_leave_too(spark):
+    """A text that says one line fifty times and little else: equal in SimHash, far apart as a set; its copy by set goes with it."""
+    line = " ".join(f"w{i}" for i in range(21))
+    tail = lambda c, n: " ".join(f"{c}{i}" for i in range(n))
+    texts = {2: f"{line} " * 50 + tail("a", 60), 1: f"{line} " * 50 + tail("b", 60), 4: f"{line} " * 50 + tail("a", 58), 3: tail("c", 200)}
+    bits = simhash_golay.differing(*(np.array([simhash_golay.fingerprint(texts[i])], dtype=np.uint64) for i in (1, 2)))
+    assert bits <= 4 and jaccard(texts[1], texts[2]) < 0.3 and jaccard(texts[2], texts[4]) >= 0.8
+    table = spark.createDataFrame([(i, t, None, None, None) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in corpus_pipeline.dedup_stage(spark, table, SF).collect()) == [1, 3]
+
+
 def test_clashing_ids_lose_no_text(spark):
     """Text b under id 2 is in the group of id 1; the other text of id 2 stays, as does that of a clashing unique id."""
     text = lambda c: " ".join(f"{c}{i}" for i in range(60))
