@@ -54,7 +54,7 @@ HEAD = 1_500_000
 #: Word counts up to here are told apart exactly when the head is chosen.
 EXACT = 64
 #: Bytes of text that a worker cuts at a time to count and to encode words; a longer text is cut alone.
-COUNTED, ENCODED = 1 << 22, 1 << 21
+COUNTED, ENCODED = 1 << 22, 1 << 20
 #: Words hashed at a time when a head is read.
 HASHED = 1 << 16
 #: Bytes of a word up to which merges are folded over an array; beyond, a heap avoids work that grows with the square.
